@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.quality_model import quality_scores
 from strandline.session import table
 
 
@@ -10,7 +11,11 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+def op10_quality_discriminant(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op8_exact_dedup": op8_exact_dedup, "op10_quality_discriminant": op10_quality_discriminant}
 ORACLES = {
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
