@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.near_dedup import near_groups
 from strandline.llm.quality_model import quality_scores
 from strandline.session import table
 
@@ -15,7 +16,15 @@ def op10_quality_discriminant(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup, "op10_quality_discriminant": op10_quality_discriminant}
+def op4_minhash_near_dedup(spark, sf_dir):
+    return near_groups(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+QUERIES = {
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_quality_discriminant": op10_quality_discriminant,
+}
 ORACLES = {
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
