@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.language import identify
 from strandline.llm.near_dedup import near_groups
 from strandline.llm.quality_model import quality_scores
 from strandline.llm.quality_rules import STOP_WORDS, quality_rules
@@ -25,7 +26,12 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_language_profiles(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_language_profiles": op3_language_profiles,
     "op1_quality_rules": op1_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
