@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.language import identify
 from strandline.llm.near_dedup import near_groups
+from strandline.llm.packing import pack
 from strandline.llm.quality_model import quality_scores
 from strandline.llm.quality_rules import STOP_WORDS, quality_rules
 from strandline.session import table
@@ -30,7 +33,12 @@ def op3_language_profiles(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_hierarchical_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op5_hierarchical_packing": op5_hierarchical_packing,
     "op3_language_profiles": op3_language_profiles,
     "op1_quality_rules": op1_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
