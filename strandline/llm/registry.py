@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import queries_text
+from strandline.llm import queries_pages, queries_text
 
-QUERIES = dict(queries_text.QUERIES)
-ORACLES = dict(queries_text.ORACLES)
+QUERIES = queries_text.QUERIES | queries_pages.QUERIES
+ORACLES = queries_text.ORACLES | queries_pages.ORACLES
