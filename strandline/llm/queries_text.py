@@ -8,6 +8,7 @@ from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.language import identify
 from strandline.llm.near_dedup import near_groups
 from strandline.llm.packing import pack
+from strandline.llm.piece_bpe import encode
 from strandline.llm.quality_model import quality_scores
 from strandline.llm.quality_rules import STOP_WORDS, quality_rules
 from strandline.session import table
@@ -37,7 +38,12 @@ def op5_hierarchical_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_piece_dropout(spark, sf_dir):
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=17, digests=True)
+
+
 QUERIES = {
+    "op2_piece_dropout": op2_piece_dropout,
     "op5_hierarchical_packing": op5_hierarchical_packing,
     "op3_language_profiles": op3_language_profiles,
     "op1_quality_rules": op1_quality_rules,
