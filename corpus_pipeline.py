@@ -1,23 +1,55 @@
-"""The corpus pipeline: the stages in order, each written as Parquet and read again as the next one's docs."""
+"""The corpus pipeline: quality, language, exact copies, near copies, packing.
+
+Each stage works on all rows its predecessor kept; it is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.exact_dedup import drop_copies
+from strandline.llm.language import drop_unknown
+from strandline.llm.near_dedup import drop_near
+from strandline.llm.packing import pack
+from strandline.llm.quality_model import drop_poor
 from strandline.session import scratch_path, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant predicts 0 go."""
+    return drop_poor(docs, table(spark, sf_dir, "labels"))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or unlike every language learnt from docs, go."""
+    return drop_unknown(docs)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the row with the smallest doc_id stays."""
+    return drop_near(docs, k=5, percent=80)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 1024 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality_stage), ("language", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("packing", packing_stage)]
+
+#: The classifiers, the tokenizer and the packing aren't expressible in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; every stage's rows are written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, name)

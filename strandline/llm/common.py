@@ -42,3 +42,10 @@ def keep_only(docs: DataFrame, id_col: str, dropped: DataFrame, broadcast_rows:
     ids = dropped.select(F.col(id_col).alias("__dropped"))
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
     return docs.join(ids, docs[id_col] == F.col("__dropped"), "left_anti")
+
+
+def only(docs: DataFrame, id_col: str, wanted: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose id is in wanted (one row an id), joined as in keep_only."""
+    ids = wanted.select(F.col(id_col).alias("__wanted"))
+    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    return docs.join(ids, docs[id_col] == F.col("__wanted"), "left_semi")

@@ -145,8 +145,8 @@ def frames(stream, chunk: int = 1 << 18) -> Iterator[bytes]:
             if not rest:
                 break
         if one is None:
-            if len(rest) < 4:
-                rest += stream.read(chunk)
+            while len(rest) < 4 and (more := stream.read(chunk)):
+                rest += more
             if rest[:4] != ZSTD_MAGIC:
                 raise ValueError("no Zstandard frame where a record should begin")
             one, parts = unpacker.decompressobj(), []
