@@ -65,7 +65,8 @@ _URL_SQL = f"""
         SELECT border, round(coalesce(sum(n) FILTER (says = 'allow' AND bin < border), 0) / any_value(allows) + coalesce(sum(n) FILTER (says = 'block' AND bin >= border), 0) / any_value(blocks), 9) AS lost
         FROM binned, total, (SELECT unnest(range(-500, 502)) AS border) GROUP BY border
     ),
-    threshold AS (SELECT coalesce((SELECT border FROM wrong WHERE lost IS NOT NULL ORDER BY lost, border LIMIT 1), 0) * 0.02 AS threshold)
+    best AS (SELECT border, row_number() OVER (ORDER BY border) - 1 AS k, count(*) OVER () AS n FROM wrong WHERE lost = (SELECT min(lost) FROM wrong)),
+    threshold AS (SELECT coalesce((SELECT border FROM best WHERE k = (n - 1) // 2), 0) * 0.02 AS threshold)
     SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict
     FROM t LEFT JOIN score USING (rn) CROSS JOIN threshold
 """

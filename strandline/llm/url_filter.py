@@ -79,7 +79,7 @@ def log_ratios(labelled: DataFrame) -> DataFrame:
 
 
 def threshold_of(scored: DataFrame) -> float:
-    """The bin border that misjudges the fewest of (verdict, score), each verdict weighing 1; the lowest on ties.
+    """The bin border that misjudges the fewest of (verdict, score), each verdict weighing 1; the middle one on ties.
 
     0 if one of the verdicts has no score.
     """
@@ -93,7 +93,8 @@ def threshold_of(scored: DataFrame) -> float:
         lost = sum(r["n"] for r in found if r["verdict"] == "allow" and r["bin"] < border) / total["allow"]
         let = sum(r["n"] for r in found if r["verdict"] == "block" and r["bin"] >= border) / total["block"]
         wrong.append((round(lost + let, 9), border))
-    return min(wrong)[1] * BIN
+    best = [border for lost, border in wrong if lost == min(wrong)[0]]
+    return best[(len(best) - 1) // 2] * BIN
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
