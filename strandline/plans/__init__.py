@@ -1 +1,3 @@
-"""Part of strandline."""
+"""Named queries; importing this package registers them."""
+
+from strandline.plans import q_scalar  # noqa: F401
