@@ -2,7 +2,7 @@
 
 A stream's state is the machine's fields, kept per key in the state store; rows of a key are taken in
 the order of their sequence number within a micro-batch. Rows that arrive in a later micro-batch are
-later to the machine. State ends after an idle time, so it doesn't grow with keys that are gone.
+later to the machine. With an idle time, state of keys that are gone ends after it.
 """
 
 from __future__ import annotations
@@ -93,8 +93,8 @@ def batch(rows: DataFrame, machine: str) -> DataFrame:
     return rows.groupBy("key").applyInPandas(group, out)
 
 
-def stream(rows: DataFrame, machine: str, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a streaming DataFrame, in append mode."""
+def stream(rows: DataFrame, machine: str, idle_ms: int | None = None) -> DataFrame:
+    """The same over a streaming DataFrame, in append mode. An idle time needs a trigger that keeps running."""
     run, out, state_schema, start, state_of = MACHINES[machine]
 
     def group(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -104,6 +104,8 @@ def stream(rows: DataFrame, machine: str, idle_ms: int = 3_600_000) -> DataFrame
         own = start(tuple(state.get) if state.exists else None)
         yield run(own, pd.concat(list(pdfs)).sort_values("seq", kind="stable"))
         state.update(tuple(state_of(own)))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return rows.groupBy("key").applyInPandasWithState(group, out, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("key").applyInPandasWithState(group, out, state_schema, "append", timeout)
