@@ -8,12 +8,13 @@
 2. Documents of equal sets form a class, whatever its size; only its smallest id goes on.
 3. Equal band keys form buckets. A bucket of m members yields m - 1 candidate edges, from one centre
    to the others (a star), never all pairs. Edges are confirmed on the full sets.
-4. A star alone can miss a link between two of its points. So buckets are looked at again: as long as
-   the members of a bucket are in more than one component, it gets a new centre, the member with the
-   most links, and edges only to members in other components. When few pairs are open, those that are
-   left over (same bucket, different components, sizes that allow a link, not yet confirmed or
-   refuted) are confirmed one by one. After that every pair that shares a bucket is either in one
-   component or refuted on full sets, so no link is lost to the stars.
+4. A star alone can miss a link between two of its points. So the buckets whose members are in more
+   than one component are looked at again. Members that provably can't link to another component go
+   (``_reachable``). The others are gathered in clusters of buckets that share members, and a cluster's
+   members are compared with each other in blocks: every pair of blocks is one bounded group, in which
+   a matrix product counts what the sets share, and only links between different components leave it.
+   After that every pair that shares a bucket is in one component or refuted on full sets, so no link
+   is lost to the stars, and no pairs are emitted.
 5. Components are found by rounds of large-star and small-star on tables; nothing is collected.
 
 A pair at the threshold shares no bucket with a probability of about 1e-8 (``bands_for``).
@@ -26,12 +27,13 @@ from hashlib import blake2b
 from math import ceil, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import textkernel as tk
-from strandline.llm.common import join_sized, keep_only
+from strandline.llm.common import join_sized, keep_only, only
 from strandline.session import materialize
 
 MISS = 1e-8
@@ -140,41 +142,125 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-class _Links:
-    """Edges confirmed or refuted so far, and the labels that follow from them."""
-
-    def __init__(self, spark, shingles: DataFrame, percent: int):
-        self.shingles, self.percent, self.checked, self.labels = shingles, percent, None, None
-        self.spark = spark
-
-    def check(self, edges: DataFrame) -> int:
-        """Confirm new edges (a < b) on full sets; how many there were."""
-        if self.checked is not None:
-            edges = edges.join(self.checked.select("a", "b"), ["a", "b"], "left_anti")
-        edges = materialize(edges, "candidates")
-        n = edges.count()
-        if not n:
-            return 0
-        one = self.shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
-        two = self.shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two"))
-        pairs = edges.join(two, "b").join(one, "a").select("a", "b", "one", "two")
-        done = materialize(pairs.mapInArrow(_confirm(self.percent), "a long, b long, linked boolean"), "checked")
-        self.checked = done if self.checked is None else self.checked.union(done)
-        self.labels = materialize(components(self.checked.where("linked")), "labels")
-        return n
-
-    def degrees(self) -> DataFrame:
-        linked = self.checked.where("linked")
-        return linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-
-    def open(self, buckets: DataFrame) -> DataFrame:
-        """key, doc_id, n_shingles, label of the members of buckets with two components or more."""
-        named = buckets.join(self.labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
-        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("key", "members")
-        return named.join(split, "key")
-
-
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6) -> DataFrame:
+def _confirmed(edges: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) that hold on full sets."""
+    one = shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
+    two = shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two"))
+    pairs = edges.join(two, "b").join(one, "a").select("a", "b", "one", "two")
+    return pairs.mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b")
+
+
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, doc_id, n_shingles, label, smallest of the buckets with two components or more."""
+    named = buckets.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
+    return _split(named)
+
+
+def _reachable(still: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """still without the members that can have no link to another component, whoever the partner is.
+
+    A link to a partner in another component can only share shingles that some other component has
+    too. Counting those bounds what a member can share; the partner has at least the size that the
+    threshold asks for, and the bucket's smallest one. In a group of copies that differ from one
+    original by words of their own, this settles every member that is too far from the original.
+    """
+    own = shingles.join(still.select("doc_id", "label").distinct(), "doc_id")
+    each = materialize(own.select("doc_id", "label", "shingles").mapInArrow(_exploded, "doc_id long, label long, shingle long"), "open_shingles")
+    shared = each.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    reach = each.join(shared, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("reach"))
+    partner = F.greatest(F.col("smallest"), F.expr(f"(n_shingles * {percent} + 99) div 100"))
+    able = still.join(reach, "doc_id").where(F.col("reach") * (100 + percent) >= percent * (F.col("n_shingles") + partner))
+    return _split(able.select("key", "doc_id", "n_shingles", "label"))
+
+
+def _split(named: DataFrame) -> DataFrame:
+    facts = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("smallest"))
+    return named.join(facts.where("lo <> hi").select("key", "smallest"), "key")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """What each set of left shares with each of right, as a matrix product over width shingles at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    row_a, row_b = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right))
+    all_a, all_b = np.concatenate(left), np.concatenate(right)
+    at_a, at_b = np.searchsorted(both, all_a), np.searchsorted(both, all_b)
+    in_a, in_b = (np.flatnonzero((at < len(both)) & (both[np.minimum(at, len(both) - 1)] == x)) if len(both) else np.zeros(0, int) for at, x in ((at_a, all_a), (at_b, all_b)))
+    for start in range(0, len(both), width):
+        size = min(width, len(both) - start)
+        m = []
+        for n, row, at, inside in ((len(left), row_a, at_a, in_a), (len(right), row_b, at_b, in_b)):
+            own = inside[(at[inside] >= start) & (at[inside] < start + size)]
+            x = np.zeros((n, size), np.float32)
+            x[row[own], at[own] - start] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _block_links(percent: int):
+    """Links between different components of a pair of blocks; a link that adds nothing to those found stays out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        ids, labels, side = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy(), pdf["side"].to_numpy()
+        if len(np.unique(labels)) > 1:
+            sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+            sizes = np.array([len(s) for s in sets])
+            one = np.flatnonzero(side <= 1)  # side 0: both blocks are the same one
+            two = np.flatnonzero(side != 1)
+            if len(one) and len(two):
+                shared = shared_counts([sets[i] for i in one], [sets[i] for i in two]).astype(np.int64)
+                linked = (100 * shared >= percent * (sizes[one][:, None] + sizes[two][None, :] - shared)) & (labels[one][:, None] != labels[two][None, :])
+                parent = {x: x for x in labels.tolist()}
+
+                def find(x: int) -> int:
+                    while parent[x] != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                for i, j in zip(*np.nonzero(linked), strict=True):
+                    x, y = find(int(labels[one[i]])), find(int(labels[two[j]]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((int(ids[one[i]]), int(ids[two[j]])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _compared(still: DataFrame, shingles: DataFrame, percent: int, block_docs: int = 200, block_shingles: int = 100_000) -> DataFrame:
+    """Links between components among the members of open buckets, by pairs of blocks of each cluster.
+
+    A block holds about block_docs documents and block_shingles shingles, so a group has a bounded size;
+    a cluster of n blocks sends each member to n groups.
+    """
+    centre = still.groupBy("key").agg(F.min("doc_id").alias("centre"))
+    cluster = components(still.join(centre, "key").where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
+    members = still.select("doc_id", "n_shingles", "label").distinct()
+    placed = members.join(cluster, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "label", F.coalesce("component", "doc_id").alias("cluster"))
+    counts = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("long").alias("blocks"))
+    dealt = placed.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    paired = dealt.select("doc_id", "label", "cluster", "block", other.alias("other"))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    groups = paired.select("doc_id", "label", "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), side.alias("side"))
+    with_sets = groups.join(shingles, "doc_id").select("cluster", "lo", "hi", "doc_id", "label", "side", "shingles")
+    return with_sets.groupBy("cluster", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            own = batch.slice(at, 512)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in own.column(2)]
+            sizes = [len(s) for s in sets]
+            ids, labels = (np.repeat(np.asarray(own.column(j)), sizes) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels), pa.array(np.concatenate(sets))], names=["doc_id", "label", "shingle"])
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     A text's set holds its distinct windows of k words (A-Z lower-cased); a text of fewer words has its
@@ -183,56 +269,38 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     component_id is the smallest doc_id reachable. Rows that repeat an id share one verdict. Ids must
     not be null: rows of null ids are returned with a null component and kept false. Other columns are
     not read.
-
-    rounds bounds the extra star rounds, not the work: what they leave open is confirmed pair by pair.
     """
-    spark = docs.sparkSession
     bands, rows = bands_for(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(_signed(k, bands, rows), "doc_id long, n_shingles long, set_digest string, bands array<long>"), "signed")
     facts = signed.select("doc_id", "n_shingles", "set_digest")
     total = facts.count()
     sets = facts.where("set_digest is not null and doc_id is not null").groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    sets = materialize(sets, "sets")
-    many = sets.where("size > 1")
+    many = materialize(sets.where("size > 1"), "sets")
+    named = join_sized(facts.withColumn("__digest", F.coalesce("set_digest", F.lit(""))).drop("set_digest"), many.withColumnRenamed("set_digest", "__digest"), "__digest", "size", total, "doc_id")
+    named = materialize(named.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("__rep"), F.coalesce("size", F.lit(1)).alias("size")), "named")
 
-    reps = signed.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    copies = named.where("doc_id <> __rep").select("doc_id").distinct()
+    reps = keep_only(signed.where("set_digest is not null and doc_id is not null"), "doc_id", copies)
     exploded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("centre")).where("members > 1")
+    shared = exploded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre <> last").select("key", "centre")
     buckets = materialize(exploded.join(shared, "key").select("key", "doc_id", "n_shingles", "centre"), "buckets")
 
-    involved = buckets.select("doc_id").distinct()
-    own_text = texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = _Links(spark, materialize(own_text.mapInArrow(_shingled(k), "doc_id long, shingles binary"), "shingles"), percent)
-
-    centres = buckets.where("centre = doc_id").select("key", F.col("n_shingles").alias("n_centre"))
-    stars = buckets.where("centre <> doc_id").join(centres, "key").where(_sizes("n_shingles", "n_centre", percent))
-    found = links.check(stars.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
-    buckets = buckets.select("key", "doc_id", "n_shingles")
-    for _ in range(rounds if found else 0):
-        still = materialize(links.open(buckets), "open")
-        left, rough = still.agg(F.count(F.lit(1)), F.sum(F.when(F.col("members") > 8, F.col("members")))).first()
-        if not left or not rough:
-            break
-        ranked = still.where("members > 8").join(links.degrees().withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        best = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("key", "doc_id"), "doc_id", "label", "n_shingles")).alias("c"))
-        new = still.join(best, "key").where("label <> c.label").where(_sizes("n_shingles", "c.n_shingles", percent))
-        if not links.check(new.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()):
-            break
-    if found:
-        still = materialize(links.open(buckets), "open")
-        other = still.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"))
-        pairs = still.join(other, "key").where("doc_id < b and label <> label_b").where(_sizes("n_shingles", "n_b", percent))
-        links.check(pairs.select(F.col("doc_id").alias("a"), "b").distinct())
-
-    named = join_sized(facts.withColumn("__digest", F.coalesce("set_digest", F.lit(""))).drop("set_digest"), many.withColumnRenamed("set_digest", "__digest"), "__digest", "size", total, "doc_id")
-    named = named.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("__rep"), "size")
-    if not found:
-        component = F.col("__rep")
-    else:
-        sized = links.labels.join(sets.select(F.col("rep").alias("node"), "size"), "node").select(F.col("node").cast("string").alias("__node"), "component", F.col("size").alias("__size"))
-        named = join_sized(named.withColumn("__node", F.coalesce(F.col("__rep").cast("string"), F.lit(""))), sized, "__node", "__size", total, "doc_id")
-        component = F.coalesce("component", "__rep")
+    own_text = only(texts, "doc_id", materialize(buckets.select("doc_id").distinct(), "involved")).dropDuplicates(["doc_id"])
+    shingles = materialize(own_text.mapInArrow(_shingled(k), "doc_id long, shingles binary"), "shingles")
+    sized = shared.join(reps.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre")), "centre").select("key", "n_centre")
+    stars = buckets.where("centre <> doc_id").join(sized, "key").where(_sizes("n_shingles", "n_centre", percent))
+    links = materialize(_confirmed(stars.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), shingles, percent), "links")
+    labels = materialize(components(links), "labels")
+    still = materialize(_reachable(_open(buckets.select("key", "doc_id", "n_shingles"), labels), shingles, percent), "open")
+    if still.limit(1).count():
+        more = materialize(_compared(still, shingles, percent), "more")
+        labels = materialize(components(links.union(more)), "labels")
+
+    component = F.coalesce("component", "__rep")
+    sizes = named.where("doc_id = __rep").select(F.col("doc_id").alias("node"), F.col("size").alias("__size")).dropDuplicates(["node"])
+    by_rep = labels.join(sizes, "node").select(F.col("node").cast("string").alias("__node"), "component", "__size")
+    named = join_sized(named.withColumn("__node", F.coalesce(F.col("__rep").cast("string"), F.lit(""))), by_rep, "__node", "__size", total, "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 

@@ -1,8 +1,8 @@
 """Vectorised kernels over the UTF-8 buffers of Arrow string columns.
 
 A word is a run of bytes other than space and 0x09 to 0x0D, which no multi-byte sequence contains.
-Rows are worked on in slices of about ``SLICE`` bytes, so that the temporary arrays stay small
-whatever the batch size is; one long text makes a slice of its own.
+Rows are worked on in slices of about ``SLICE`` bytes and ``ROWS`` rows at most, so that the temporary
+arrays stay small whatever the batch size is; one long text makes a slice of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE, ROWS = 1 << 18, 2048
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,9 +52,9 @@ class Texts:
 
 
 def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """The batch in parts of about SLICE bytes of text."""
+    """The batch in parts of about SLICE bytes of text and ROWS rows at most."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_at)), 0), np.int64)
-    part = np.cumsum(sizes) // SLICE
+    part = np.cumsum(sizes) // SLICE + np.arange(len(sizes)) // ROWS
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
