@@ -68,12 +68,12 @@ def alignment(signal: DataFrame, reference: DataFrame, key: str, at: str, value:
     return best.select(key, *[F.col(f"__b.{c}").alias(c) for c in ("shift", "mismatches", "largest")])
 
 
-def intern(strings: DataFrame, text: str, position: str, align: int = 4) -> tuple[DataFrame, DataFrame]:
+def intern(strings: DataFrame, text: str, position: str) -> tuple[DataFrame, DataFrame]:
     """A string pool: distinct strings in the order of their first use with byte offsets, and each use's offset."""
     first = strings.groupBy(text).agg(F.min(position).alias("first"))
     size = F.octet_length(text) + 1
     pool = first.withColumn("offset", F.coalesce(F.sum(size).over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    return pool, strings.join(F.broadcast(pool.select(text, "offset")) if align else pool, text)
+    return pool, strings.join(pool.select(text, "offset"), text)
 
 
 def compare(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
