@@ -125,23 +125,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Each round halves the paths at least, so the rounds grow with the logarithm of the longest one.
     """
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if mark == before:
-            break
-        before = mark
+    rounds = 0
+    while not _stars(now):
+        rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError(f"components are open after {max_rounds} rounds")
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         now = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-    else:
-        raise RuntimeError(f"components are open after {max_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """If edges (u, v) are stars already: each u has one v, and no v has an edge of its own."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return not nodes.where("out > 1 or out > 0 and in > 0").limit(1).count()
+
+
 def _confirmed(edges: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) that hold on full sets."""
     one = shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
