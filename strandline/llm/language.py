@@ -69,11 +69,13 @@ class Space:
             self.codes, self.rows = merged[order], rows[order]
         return self.rows[np.searchsorted(self.codes, codes)]
 
-    def bundles(self, texts: list[str | None]) -> np.ndarray:
-        """One vector per text, float32; texts without a letter are 0."""
+    def bundles(self, texts: list[str | None], sizes: list[int] | None = None) -> np.ndarray:
+        """One vector per text, float32; texts without a letter are 0. sizes: gets the n-grams of each text."""
         out = np.zeros((len(texts), self.dimension), np.float32)
         for i, text in enumerate(texts):
             codes, counts = self.grams(text)
+            if sizes is not None:
+                sizes.append(int(counts.sum()))
             if len(codes):
                 rows = self.bound(codes)
                 out[i] = counts.astype(np.float32) @ self.vectors[rows].astype(np.float32)
@@ -132,7 +134,7 @@ def prototypes(docs: DataFrame, max_rows: int = 20_000, dimension: int = 512, n:
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], n: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, cosine of each row.
+    """doc_id, lang_pred, score, cosine and n_grams of each row.
 
     A null text, a text without a letter, or no profile at all gives 'und' and score 0. The score is the
     best language's share of exp(_SHARP * cosine); ties go to the first language by name.
@@ -145,7 +147,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], n: int = 3, seed:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 own = batch.slice(at, 256)
-                x = _unit(space.bundles(own.column(1).to_pylist()))
+                sizes: list[int] = []
+                x = _unit(space.bundles(own.column(1).to_pylist(), sizes))
                 known = np.abs(x).max(1) > 0 if names else np.zeros(len(x), bool)
                 cosine = x @ matrix.T if names else np.zeros((len(x), 1), np.float32)
                 best = cosine.argmax(1)
@@ -153,10 +156,10 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], n: int = 3, seed:
                 score = np.where(known, 1 / weight.sum(1), 0.0)
                 lang = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 top = np.where(known, cosine.max(1), 0.0)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(lang, pa.string()), pa.array(score.astype(np.float64)), pa.array(top.astype(np.float64))], names=["doc_id", "lang_pred", "score", "cosine"])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(lang, pa.string()), pa.array(score.astype(np.float64)), pa.array(top.astype(np.float64)), pa.array(sizes, pa.int64())], names=["doc_id", "lang_pred", "score", "cosine", "n_grams"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cosine double")
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cosine double, n_grams long")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit) -> DataFrame:
@@ -164,10 +167,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     learn = docs.where(~held_out(F.col(id_col)))
     profiles = prototypes(learn, id_col=id_col, text_col=text_col, lang_col=lang_col, **fit)
     found = predict(docs, profiles, fit.get("n", 3), fit.get("seed", 7), id_col, text_col)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cosine")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cosine", "n_grams")
 
 
-def drop_unknown(docs: DataFrame, least_cosine: float = 0.06, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows in no learnt language: without a letter, or below least_cosine to each profile."""
-    out = identify(docs, id_col, text_col, lang_col).where((F.col("lang_pred") == UNKNOWN) | (F.col("cosine") < least_cosine))
+def drop_unknown(docs: DataFrame, least_cosine: float = 0.06, least_grams: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows in no learnt language: without a letter, or below least_cosine to each profile.
+
+    A text of fewer than least_grams n-grams is too short to tell, and stays if it has a letter.
+    """
+    unlike = (F.col("cosine") < least_cosine) & (F.col("n_grams") >= least_grams)
+    out = identify(docs, id_col, text_col, lang_col).where((F.col("lang_pred") == UNKNOWN) | unlike)
     return keep_only(docs, id_col, materialize(out.select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "unknown"))
