@@ -230,6 +230,14 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.select("path", "records").repartition(min(tasks, 10_000)).mapInArrow(run, _READ)
 
 
+def _samples(pages: DataFrame, rows: int, most: int = 20_000) -> list[bytes]:
+    """The first most characters of rows pages with the smallest hashed ids: the ids are found first, so a task sends only those."""
+    with_html = pages.where(F.col("html").isNotNull())
+    ids = with_html.select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(rows).select(F.col("page_id").alias("__id"))
+    picked = with_html.join(F.broadcast(ids.distinct()), F.col("page_id") == F.col("__id"), "left_semi").select("page_id", F.substring("html", 1, most).alias("html"))
+    return [r["html"].encode("utf-8", "replace") for r in picked.orderBy("page_id").limit(rows).collect()]
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 1000, sample_rows: int = 400, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> DataFrame:
     """Write pages as archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
@@ -250,8 +258,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 1000, sample_rows: int = 400
     later = materialize(named.where((F.col("size") >= least_bytes) & (F.col("page_id") < F.col("response"))).select(F.col("page_id").alias("__id"), F.col("__same").alias("__sum"), "response").distinct(), "revisits")
     marked = keyed.join(later, (F.col("page_id") == F.col("__id")) & (F.col("__same") == F.col("__sum")), "left")
     records = marked.select("page_id", "url", F.when(F.col("response").isNull(), F.col("payload")).alias("payload"), "digest", "size", F.col("response").alias("refers_to"))
-    samples = base.where(F.col("html").isNotNull()).select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, 20_000).alias("html")).orderBy("h").limit(sample_rows).collect()
-    trained = dictionary([r["html"].encode("utf-8", "replace") for r in samples])
+    trained = dictionary(_samples(base, sample_rows))
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     manifest = materialize(write_archives(records, folder, trained, date), "manifest")
     return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "path", "position")
