@@ -24,6 +24,8 @@ from strandline.session import materialize
 UNKNOWN = "und"
 #: Softmax sharpness of the score.
 _SHARP = 20.0
+#: The quantile of the learning rows' own cosines from which drop_unknown sets its border.
+LOW_SHARE = 0.01
 
 
 class Space:
@@ -133,11 +135,12 @@ def prototypes(docs: DataFrame, max_rows: int = 20_000, dimension: int = 512, n:
     return {lang: _unit(v).astype(np.float32) for lang, v in sorted(out.items()) if np.abs(v).max() > 0}
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], n: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, cosine and n_grams of each row.
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], n: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """doc_id, lang_pred, score, cosine and n_grams of each row; with lang_col also own, the cosine to the row's labelled language.
 
     A null text, a text without a letter, or no profile at all gives 'und' and score 0. The score is the
-    best language's share of exp(_SHARP * cosine); ties go to the first language by name.
+    best language's share of exp(_SHARP * cosine); ties go to the first language by name. own is null for
+    a language without a profile and for such texts.
     """
     names = list(profiles)
     matrix = np.stack([profiles[k] for k in names]) if names else np.zeros((0, 64), np.float32)
@@ -156,10 +159,15 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], n: int = 3, seed:
                 score = np.where(known, 1 / weight.sum(1), 0.0)
                 lang = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 top = np.where(known, cosine.max(1), 0.0)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(lang, pa.string()), pa.array(score.astype(np.float64)), pa.array(top.astype(np.float64)), pa.array(sizes, pa.int64())], names=["doc_id", "lang_pred", "score", "cosine", "n_grams"])
+                out = [own.column(0), pa.array(lang, pa.string()), pa.array(score.astype(np.float64)), pa.array(top.astype(np.float64)), pa.array(sizes, pa.int64())]
+                if lang_col is not None:
+                    out.append(pa.array([float(c[at_name[label]]) if k and label in at_name else None for c, k, label in zip(cosine, known, own.column(2).to_pylist(), strict=True)], pa.float64()))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "cosine", "n_grams", "own"][: len(out)])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cosine double, n_grams long")
+    at_name = {k: i for i, k in enumerate(names)}
+    label = [] if lang_col is None else [F.col(lang_col).cast("string").alias("lang")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *label)
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cosine double, n_grams long" + ", own double" * len(label))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit) -> DataFrame:
@@ -170,11 +178,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cosine", "n_grams")
 
 
-def drop_unknown(docs: DataFrame, least_cosine: float = 0.06, least_grams: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def drop_unknown(docs: DataFrame, least_cosine: float | None = None, least_grams: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows in no learnt language: without a letter, or below least_cosine to each profile.
 
-    A text of fewer than least_grams n-grams is too short to tell, and stays if it has a letter.
+    Without a least_cosine it is half the LOW_SHARE quantile of the learning rows' cosine to their own
+    language. Chance resemblance doesn't set it: texts of random letters reach 0.2, as letters and word
+    lengths are shared, not the 1 / sqrt(dimension) of random vectors. A text of fewer than least_grams
+    n-grams is too short to tell, isn't calibrated on, and stays if it has a letter.
     """
-    unlike = (F.col("cosine") < least_cosine) & (F.col("n_grams") >= least_grams)
-    out = identify(docs, id_col, text_col, lang_col).where((F.col("lang_pred") == UNKNOWN) | unlike)
+    learn = docs.where(~held_out(F.col(id_col)))
+    profiles = prototypes(learn, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    found = materialize(predict(docs, profiles, id_col=id_col, text_col=text_col, lang_col=lang_col), "languages")
+    long = F.col("n_grams") >= least_grams
+    if least_cosine is None:
+        low = found.where(long & ~held_out(F.col("doc_id"))).agg(F.percentile_approx("own", LOW_SHARE)).first()[0]
+        least_cosine = -1.0 if low is None else low / 2
+    out = found.where((F.col("lang_pred") == UNKNOWN) | long & (F.col("cosine") < least_cosine))
     return keep_only(docs, id_col, materialize(out.select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "unknown"))

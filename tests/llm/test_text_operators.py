@@ -8,6 +8,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import bytebpe, exact_dedup, language, near_dedup, packing, piece_bpe, quality_model, quality_rules
 
@@ -235,6 +236,30 @@ def test_language_bound_is_a_share_of_hashed_ids(docs):
     assert set(few) <= set(all_) and any(not np.allclose(few[k], all_[k]) for k in few)
 
 
+def test_foreign_and_random_texts_are_dropped(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = [
+        "La mattina dopo il vecchio pescatore tornò alla spiaggia con le reti ancora bagnate e trovò che il mare aveva portato via la sua piccola barca.",
+        "Następnego ranka stary rybak wrócił na plażę z mokrymi jeszcze sieciami i zobaczył, że morze zabrało jego małą łódź.",
+        "Seuraavana aamuna vanha kalastaja palasi rannalle vielä märkien verkkojensa kanssa ja huomasi, että meri oli vienyt hänen pienen veneensä.",
+        "Másnap reggel az öreg halász visszatért a partra a még nedves hálóival, és látta, hogy a tenger elvitte a kis csónakját.",
+        "На следующее утро старый рыбак вернулся на берег с ещё мокрыми сетями и увидел, что море унесло его маленькую лодку.",
+    ]
+    rng = np.random.default_rng(1)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    random = [" ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(100)) for _ in range(60)]
+    planted = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(foreign + random)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in language.drop_unknown(docs.unionByName(planted)).select("doc_id").collect()}
+    assert not [foreign[i - 10_000_000] for i in kept if 10_000_000 <= i < 10_000_000 + len(foreign)]
+    assert sum(i >= 10_000_000 for i in kept) <= 2
+    lettered = [r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert sum(i in kept for i in lettered) >= 0.995 * len(lettered)
+
+
+def test_a_given_border_is_used(docs):
+    assert language.drop_unknown(docs, least_cosine=1.1, least_grams=0).count() == 0
+
+
 def test_letter_vectors_bind_by_place():
     space = language.Space(256)
     a, b = space.bundles(["abc", "acb"])
