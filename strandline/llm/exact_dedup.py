@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import join_sized, keep_only
+from strandline.llm.common import join_sized
 from strandline.session import materialize
 
 _PARTIAL = "digest string, n_bytes long, alt long, keep_id long, size long"
@@ -206,10 +206,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all their columns."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return keep_only(docs, id_col, materialize(dropped, "dropped"))
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """docs without the rows that exact_dedup drops; all their columns. Rows with a null id stay.
+
+    A verdict is that of an id and its text: another text under the same id has its own. Up to broadcast_rows
+    dropped rows (20 MB at 40 bytes) are counted and broadcast; more are joined by a shuffle.
+    """
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"), F.unhex("text_sha256").alias("__digest"))
+    gone = materialize(gone, "dropped")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    return docs.join(gone, (docs[id_col] == F.col("__dropped")) & (digest == F.col("__digest")), "left_anti")
 
 
 def live_groups(changes: DataFrame, id_col: str = "doc_id", text_col: str = "text", op_col: str = "op", order_col: str = "seq") -> DataFrame:

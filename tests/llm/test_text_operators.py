@@ -96,6 +96,15 @@ def test_exact_dedup_null_ids_and_empty(spark, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_drop_copies_judges_an_id_with_each_of_its_texts(spark, broadcast_rows):
+    def kept(*rows):
+        return sorted(tuple(r) for r in exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_rows=broadcast_rows).collect())
+
+    assert kept((5, "A"), (9, "A"), (5, "B")) == [(5, "B"), (9, "A")]
+    assert kept((5, "A"), (9, "A"), (9, "B"), (12, "B")) == [(9, "A"), (12, "B")]
+
+
 def test_drop_copies_keeps_columns(edge):
     out = exact_dedup.drop_copies(edge)
     assert out.columns == edge.columns
