@@ -166,3 +166,24 @@ def palette_image(spark, sf):
 
     files = rows.select(F.col("user_id").cast("string").alias("path"), build("c").alias("content"))
     return containers.read(files, "art1").select(_user(), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("colour").cast("long").alias("colour"))
+
+
+@query(
+    "palette_images",
+    f"""WITH s AS (SELECT user_id, n, (x % 11) * 97 AS c FROM ({SIGNAL_SQL})), t AS (SELECT user_id, (max(n) // 64 + 1) * 64 AS m FROM s GROUP BY user_id), p AS (SELECT user_id, unnest(range(0, m)) AS n FROM t)
+        SELECT p.user_id, p.n // 64 AS tile, p.n % 64 // 8 AS y, p.n % 8 AS x, coalesce(s.c, 0) AS colour FROM p LEFT JOIN s ON s.user_id = p.user_id AND s.n = p.n""",
+)
+def palette_images(spark, sf):
+    """All of each user's samples as images of exact palette colours, one 8 x 8 image for each 64; the last is padded with colour 0."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    s = signal(spark, sf).select("user_id", (F.row_number().over(w) - 1).alias("n"), ((F.col("x") % 11) * 97).alias("c"))
+    rows = s.groupBy("user_id", F.expr("n div 64").alias("tile")).agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("s")).select("user_id", "tile", F.col("s.c").alias("c"))
+
+    @F.pandas_udf("binary")
+    def build(values: pd.Series) -> pd.Series:
+        padded = ([int(c) for c in v] + [0] * (64 - len(v)) for v in values)
+        return pd.Series([containers.build_art1([v[8 * y : 8 * y + 8] for y in range(8)]) for v in padded])
+
+    files = rows.select(F.concat_ws("/", "user_id", "tile").alias("path"), build("c").alias("content"))
+    at = F.split("path", "/")
+    return containers.read(files, "art1").select(at[0].cast("long").alias("user_id"), at[1].cast("long").alias("tile"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("colour").cast("long").alias("colour"))

@@ -114,3 +114,8 @@ def test_asof_ties_and_misses(spark):
     marks = spark.createDataFrame([(-50, 1), (13, 2), (612, 3)], "k long, v int")
     got = {r.k: r.v for r in lookup.asof_bucketed(wide, marks, "k", ["v"], 100).collect()}
     assert got == {k: 1 if k < 13 else 2 if k < 612 else 3 for k in range(0, 1000, 7)}
+
+
+def test_palette_images_hold_every_sample(spark, sf):
+    sizes = [r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()]
+    assert registry.QUERIES["palette_images"](spark, sf).count() == sum(-(-n // 64) * 64 for n in sizes)
