@@ -119,6 +119,26 @@ def alignment_shift(spark, sf):
     return L.alignment(s, r, "user_id", "n", "x", range(9), 4)
 
 
+@query(
+    "alignment_signal",
+    f"""WITH s AS (SELECT user_id, n, x // 500 AS x FROM ({SIGNAL_SQL})), m AS (SELECT user_id, count(*) AS m FROM s GROUP BY 1),
+            r AS (SELECT s.user_id, n - 3 AS j, x FROM s JOIN m ON m.user_id = s.user_id WHERE n >= 3 AND n < m - least(17, m - 4)), c AS (
+            SELECT r.user_id, k AS shift, count(*) AS n, sum((s.x <> r.x)::INT) AS mismatches, max(abs(s.x - r.x)) AS largest FROM r, (SELECT unnest(range(0, 21)) AS k) JOIN s ON s.user_id = r.user_id AND s.n = r.j + k GROUP BY ALL)
+        SELECT c.user_id, shift::INT AS shift, mismatches::BIGINT AS mismatches, largest FROM c JOIN (SELECT user_id, count(*) AS m FROM r GROUP BY 1) a ON a.user_id = c.user_id AND a.m = c.n
+        QUALIFY row_number() OVER (PARTITION BY c.user_id ORDER BY mismatches, abs(shift - 4), shift) = 1""",
+)
+def alignment_signal(spark, sf):
+    """alignment over whole signals: all from the offset 3 on, less the largest shift at the end, at shifts of 16 around the anchor 4 from 0 on.
+
+    A signal too short for that keeps one sample of reference, and shifts that run past its end don't count.
+    """
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    all_ = Window.partitionBy("user_id")
+    s = signal(spark, sf).select("user_id", (F.row_number().over(w) - 1).alias("n"), F.expr("x div 500").alias("x"), F.count(F.lit(1)).over(all_).alias("m"))
+    r = s.where("n >= 3 and n < m - least(17, m - 4)").select("user_id", (F.col("n") - 3).alias("n"), "x")
+    return L.alignment(s.select("user_id", "n", "x"), r, "user_id", "n", "x", range(21), 4)
+
+
 @query(
     "pin_compare",
     """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN ['missing left'] WHEN b.k IS NULL THEN ['missing right'] ELSE list_filter([CASE WHEN a.n IS DISTINCT FROM b.n THEN 'n' END, CASE WHEN a.t IS DISTINCT FROM b.t THEN 't' END], lambda x: x IS NOT NULL) END AS reasons

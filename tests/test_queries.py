@@ -119,3 +119,13 @@ def test_asof_ties_and_misses(spark):
 def test_palette_images_hold_every_sample(spark, sf):
     sizes = [r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()]
     assert registry.QUERIES["palette_images"](spark, sf).count() == sum(-(-n // 64) * 64 for n in sizes)
+
+
+def test_alignment_signal_compares_past_the_first_samples(spark, tmp_path):
+    values = [500.0 * (i * i % 13 if i >= 30 else 0) for i in range(60)]  # only past a prefix do shifts differ
+    rows = [(i, 1, v) for i, v in enumerate(values)] + [(1000 + i, 2, 500.0 * i) for i in range(4)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    x = [int(v * 100) // 500 for v in values]
+    best = min((sum(a != b for a, b in zip(x[3:43], x[k : k + 40], strict=True)), abs(k - 4), k) for k in range(21))
+    got = {r.user_id: (r.mismatches, abs(r.shift - 4), r.shift) for r in registry.QUERIES["alignment_signal"](spark, str(tmp_path)).collect()}
+    assert got[1] == best == (0, 1, 3) and set(got) == {1, 2}
