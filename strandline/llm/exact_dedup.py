@@ -1,8 +1,8 @@
 """Exact dedup by a cuckoo-filter index that holds live digests.
 
 The index answers "seen before?" from 16-bit fingerprints in two candidate buckets. A fingerprint hit
-is verified against the content kept with the bucket slot: the full SHA-256, the byte length and an
-independent 64-bit hash of the text. A live digest can be deleted again. When an insertion finds no
+is verified against what the bucket slot keeps of the content: the full SHA-256, the byte length and an
+independent 64-bit hash of the text (the texts themselves would go through the shuffle). A live digest can be deleted again. When an insertion finds no
 place after a run of displacements, the filter doubles and is filled again from its stored keys.
 
 Two levels keep hot groups bounded. Each task indexes the rows it reads and passes on one row per
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import join_sized
+from strandline.llm.common import join_sized, keep_only
 from strandline.session import materialize
 
 _PARTIAL = "digest string, n_bytes long, alt long, keep_id long, size long"
@@ -212,11 +212,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A verdict is that of an id and its text: another text under the same id has its own. Up to broadcast_rows
     dropped rows (20 MB at 40 bytes) are counted and broadcast; more are joined by a shuffle.
     """
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"), F.unhex("text_sha256").alias("__digest"))
-    gone = materialize(gone, "dropped")
-    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", F.unhex("text_sha256").alias("digest"))
     digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
-    return docs.join(gone, (docs[id_col] == F.col("__dropped")) & (digest == F.col("__digest")), "left_anti")
+    return keep_only(docs, {"doc_id": docs[id_col].cast("long"), "digest": digest}, materialize(gone.distinct(), "dropped"), broadcast_rows)
 
 
 def live_groups(changes: DataFrame, id_col: str = "doc_id", text_col: str = "text", op_col: str = "op", order_col: str = "seq") -> DataFrame:

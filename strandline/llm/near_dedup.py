@@ -1,22 +1,26 @@
 """Near-duplicate groups: one-permutation MinHash with optimal densification, bands, star edges, exact links.
 
-1. One pass over the texts gives each document its set of word shingles (64-bit hashes), a digest of
-   that set and its band keys. The signature is a one-permutation hash: every shingle falls in one of
-   K bins and a bin keeps its smallest value. An empty bin copies a filled one, chosen by hashing
+1. One pass over the texts gives each row its set of word shingles (64-bit hashes), a digest of that
+   set, its band keys and a row number. The signature is a one-permutation hash: every shingle falls in
+   one of K bins and a bin keeps its smallest value. An empty bin copies a filled one, chosen by hashing
    (bin, attempt) until it meets one: each bin on its own, so that bins stay nearly independent even
    for very short texts.
-2. Documents of equal sets form a class, whatever its size; only its smallest id goes on.
+2. Rows of equal sets form a class, whatever its size; only its first row goes on. Rows, not ids, are
+   what is linked, so texts that share an id are judged each.
 3. Equal band keys form buckets. A bucket of m members yields m - 1 candidate edges, from one centre
    to the others (a star), never all pairs. Edges are confirmed on the full sets.
-4. A star alone can miss a link between two of its points. So the buckets whose members are in more
-   than one component are looked at again. Members that provably can't link to another component go
-   (``_reachable``). The others are gathered in clusters of buckets that share members, and a cluster's
-   members are compared with each other in blocks: every pair of blocks is one bounded group, in which
-   a matrix product counts what the sets share, and only links between different components leave it.
-   After that every pair that shares a bucket is in one component or refuted on full sets, so no link
-   is lost to the stars, and no pairs are emitted.
+4. A star alone can miss a link between two of its points. So in buckets whose other members are in
+   more than one component the centre, which is settled, makes way for the next one, for some rounds of
+   stars. What is still open then is mostly many texts just below the threshold. Members that provably
+   can't link to another component go (``_reachable``). The others are gathered in clusters of buckets
+   that share members, and a cluster's members are compared with each other in blocks: every pair of
+   blocks is one bounded group, in which a matrix product counts what the sets share, and only links
+   between different components leave it. After that every pair that shares a bucket is in one component
+   or refuted on full sets, so no link is lost to the stars, and no pairs are emitted.
 5. Components are found by rounds of large-star and small-star on tables; nothing is collected.
 
+Joins on band keys, centres, hubs, shingles and clusters go by the known size of the key: heavy keys are
+broadcast or dealt out in parts (``join_sized``, ``_confirmed``), as one may hold a third of all rows.
 A pair at the threshold shares no bucket with a probability of about 1e-8 (``bands_for``).
 """
 
@@ -29,11 +33,11 @@ from math import ceil, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import textkernel as tk
-from strandline.llm.common import join_sized, keep_only, only
+from strandline.llm.common import HEAVY, join_sized, keep_only, only
 from strandline.session import materialize
 
 MISS = 1e-8
@@ -83,9 +87,9 @@ def _signed(k: int, bands: int, rows: int):
                 _, sets = _sets(texts, k)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 keys = band_keys(signatures(np.repeat(np.arange(texts.n), sizes), np.concatenate(sets), texts.n, bands * rows), bands, rows)
-                digests = [blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
+                digests = [_digest(s) for s in sets]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, texts.n * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sizes), pa.array(digests, pa.string()), flat], names=["doc_id", "n_shingles", "set_digest", "bands"])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sizes), pa.array(digests, pa.string()), flat, own.column(2)], names=["doc_id", "n_shingles", "set_digest", "bands", "text_hash"])
 
     return run
 
@@ -93,36 +97,44 @@ def _signed(k: int, bands: int, rows: int):
 def _shingled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, texts in tk.slices(batch):
+            for _, texts in tk.slices(batch):
                 _, sets = _sets(texts, k)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_digest", "shingles"])
 
     return run
 
 
+def _digest(shingles: np.ndarray) -> str | None:
+    return blake2b(shingles.tobytes(), digest_size=16).hexdigest() if len(shingles) else None
+
+
 def _confirm(percent: int):
-    """Sets of an edge's ends -> the edge, and if 100 * shared >= percent * united."""
+    """Rows (a, part, side, b, shingles), the centre's own (side 0) before its members' -> the edges (a, b) that hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, np.uint64)
         for batch in batches:
-            linked = []
-            last, a = None, None
-            for x, one, two in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if x != last:
-                    last, a = x, np.frombuffer(one.as_buffer(), np.uint64)
-                b = np.frombuffer(two.as_buffer(), np.uint64)
-                at = np.searchsorted(a, b)
-                shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                linked.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            ends: tuple[list[int], list[int]] = [], []
+            for a, side, b, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                values = np.frombuffer(own.as_buffer(), np.uint64)
+                if not side:
+                    centre = values.copy()
+                    continue
+                at = np.searchsorted(centre, values)
+                shared = int((centre[np.minimum(at, len(centre) - 1)] == values).sum())
+                if 100 * shared >= percent * (len(centre) + len(values) - shared):
+                    ends[0].append(a)
+                    ends[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
 
     return run
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest reachable node) of every node of an edge, by large-star and small-star.
+    """node, component (its smallest reachable node) of every node that reaches a smaller one, by large-star and small-star.
 
     Each round halves the paths at least, so the rounds grow with the logarithm of the longest one.
+    Beyond max_rounds, which only a path of 2 ** max_rounds nodes could need, it raises. Hubs are split.
     """
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     rounds = 0
@@ -131,10 +143,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if rounds > max_rounds:
             raise RuntimeError(f"components are open after {max_rounds} rounds")
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
+        total = 2 * now.count()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size"))
+        large = join_sized(both, low, "u", "size", total, "v", "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
+        small = join_sized(large, down, "u", "size", total, "v", "inner")
         now = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
@@ -146,18 +159,37 @@ def _stars(edges: DataFrame) -> bool:
     return not nodes.where("out > 1 or out > 0 and in > 0").limit(1).count()
 
 
-def _confirmed(edges: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) that hold on full sets."""
-    one = shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
-    two = shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two"))
-    pairs = edges.join(two, "b").join(one, "a").select("a", "b", "one", "two")
-    return pairs.mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b")
+def _confirmed(edges: DataFrame, shingles: DataFrame, percent: int, part: int = 1000) -> DataFrame:
+    """The edges (a, b) that hold on full sets, of distinct edges from centres a.
+
+    A centre's edges are dealt out in parts of about part edges (of a 1 / HEAVY share, if that is more),
+    and its set goes once to each part, before the members' sets.
+    """
+    edges = materialize(edges, "candidates")
+    limit = max(part, edges.count() // HEAVY)
+    degrees = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / limit).cast("long").alias("parts"))
+    split = F.broadcast(degrees.where("parts > 1").select("a", "parts"))  # at most HEAVY centres
+    dealt = edges.join(split, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    members = dealt.join(shingles, F.col("b") == F.col("row")).select("a", "part", F.lit(1).alias("side"), "b", "shingles")
+    centres = degrees.join(shingles, F.col("a") == F.col("row")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"), "shingles")
+    rows = members.union(centres).repartition("a", "part").sortWithinPartitions("a", "part", "side")
+    return rows.mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (key, row, n_shingles) with the label of each row's component; a row without links is its own."""
+    return members.join(labels, F.col("row") == F.col("node"), "left").select("key", "row", "n_shingles", F.coalesce("component", "row").alias("label"))
 
 
-def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, doc_id, n_shingles, label, smallest of the buckets with two components or more."""
-    named = buckets.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
-    return _split(named)
+def _open(labelled: DataFrame, tag: str) -> DataFrame:
+    """The members of the buckets with two components or more, with the centre, its size and label, and the smallest size."""
+    labelled = materialize(labelled, tag)
+    facts = labelled.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("smallest"), F.count(F.lit(1)).alias("members"),
+        F.min("row").alias("centre"), F.min_by("n_shingles", "row").alias("n_centre"), F.min_by("label", "row").alias("centre_label"),
+    )
+    facts = facts.where("lo <> hi").drop("lo", "hi")
+    return materialize(join_sized(labelled, facts, "key", "members", labelled.count(), "row", "inner"), tag)
 
 
 def _reachable(still: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -168,18 +200,13 @@ def _reachable(still: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
     threshold asks for, and the bucket's smallest one. In a group of copies that differ from one
     original by words of their own, this settles every member that is too far from the original.
     """
-    own = shingles.join(still.select("doc_id", "label").distinct(), "doc_id")
-    each = materialize(own.select("doc_id", "label", "shingles").mapInArrow(_exploded, "doc_id long, label long, shingle long"), "open_shingles")
-    shared = each.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    reach = each.join(shared, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("reach"))
+    own = shingles.join(still.select("row", "label").distinct(), "row")
+    each = materialize(own.select("row", "label", "shingles").mapInArrow(_exploded, "row long, label long, shingle long"), "open_shingles")
+    shared = each.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("shingle", "rows")
+    reach = join_sized(each, shared, "shingle", "rows", each.count(), "row", "inner").groupBy("row").agg(F.count(F.lit(1)).alias("reach"))
     partner = F.greatest(F.col("smallest"), F.expr(f"(n_shingles * {percent} + 99) div 100"))
-    able = still.join(reach, "doc_id").where(F.col("reach") * (100 + percent) >= percent * (F.col("n_shingles") + partner))
-    return _split(able.select("key", "doc_id", "n_shingles", "label"))
-
-
-def _split(named: DataFrame) -> DataFrame:
-    facts = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("smallest"))
-    return named.join(facts.where("lo <> hi").select("key", "smallest"), "key")
+    able = still.join(reach, "row").where(F.col("reach") * (100 + percent) >= percent * (F.col("n_shingles") + partner))
+    return _open(able.select("key", "row", "n_shingles", "label"), "able")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -207,7 +234,7 @@ def _block_links(percent: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
-        ids, labels, side = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy(), pdf["side"].to_numpy()
+        rows, labels, side = pdf["row"].to_numpy(), pdf["label"].to_numpy(), pdf["side"].to_numpy()
         if len(np.unique(labels)) > 1:
             sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
             sizes = np.array([len(s) for s in sets])
@@ -228,29 +255,29 @@ def _block_links(percent: int):
                     x, y = find(int(labels[one[i]])), find(int(labels[two[j]]))
                     if x != y:
                         parent[max(x, y)] = min(x, y)
-                        found.append((int(ids[one[i]]), int(ids[two[j]])))
+                        found.append((int(rows[one[i]]), int(rows[two[j]])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _compared(still: DataFrame, shingles: DataFrame, percent: int, block_docs: int = 200, block_shingles: int = 100_000) -> DataFrame:
+def _compared(still: DataFrame, shingles: DataFrame, percent: int, block_docs: int = 1000, block_shingles: int = 400_000) -> DataFrame:
     """Links between components among the members of open buckets, by pairs of blocks of each cluster.
 
-    A block holds about block_docs documents and block_shingles shingles, so a group has a bounded size;
+    A block holds about block_docs rows and block_shingles shingles, so a group has a bounded size;
     a cluster of n blocks sends each member to n groups.
     """
-    centre = still.groupBy("key").agg(F.min("doc_id").alias("centre"))
-    cluster = components(still.join(centre, "key").where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
-    members = still.select("doc_id", "n_shingles", "label").distinct()
-    placed = members.join(cluster, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "label", F.coalesce("component", "doc_id").alias("cluster"))
-    counts = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("long").alias("blocks"))
-    dealt = placed.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    cluster = components(still.where("row <> centre").select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct())
+    members = still.select("row", "n_shingles", "label").distinct()
+    placed = materialize(members.join(cluster, F.col("row") == F.col("node"), "left").select("row", "n_shingles", "label", F.coalesce("component", "row").alias("cluster")), "placed")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("long")
+    counts = placed.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members"))
+    dealt = join_sized(placed, counts, "cluster", "members", placed.count(), "row").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    paired = dealt.select("doc_id", "label", "cluster", "block", other.alias("other"))
+    paired = dealt.select("row", "label", "cluster", "block", other.alias("other"))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    groups = paired.select("doc_id", "label", "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), side.alias("side"))
-    with_sets = groups.join(shingles, "doc_id").select("cluster", "lo", "hi", "doc_id", "label", "side", "shingles")
+    groups = paired.select("row", "label", "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), side.alias("side"))
+    with_sets = groups.join(shingles, "row").select("cluster", "lo", "hi", "row", "label", "side", "shingles")
     return with_sets.groupBy("cluster", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
 
 
@@ -260,52 +287,79 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = batch.slice(at, 512)
             sets = [np.frombuffer(x.as_buffer(), np.int64) for x in own.column(2)]
             sizes = [len(s) for s in sets]
-            ids, labels = (np.repeat(np.asarray(own.column(j)), sizes) for j in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels), pa.array(np.concatenate(sets))], names=["doc_id", "label", "shingle"])
+            rows, labels = (np.repeat(np.asarray(own.column(j)), sizes) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(labels), pa.array(np.concatenate(sets))], names=["row", "label", "shingle"])
+
 
+def _links(buckets: DataFrame, shingles: DataFrame, percent: int, star_rounds: int) -> DataFrame:
+    """node, component of every row with a link: of buckets (key, row, n_shingles, centre, n_centre) and the rows' sets."""
+    edges = buckets.where("row <> centre").where(_sizes("n_shingles", "n_centre", percent)).select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct()
+    links = materialize(_confirmed(edges, shingles, percent), "links")
+    labels = materialize(components(links), "labels")
+    still = buckets
+    for _ in range(star_rounds - 1):
+        still = _open(_labelled(still.where("row <> centre").select("key", "row", "n_shingles"), labels), "open")
+        edges = still.where("label <> centre_label").where(_sizes("n_shingles", "n_centre", percent)).select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct()
+        more = materialize(_confirmed(edges, shingles, percent), "more")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = materialize(components(links), "labels")
+    still = _open(_labelled(still.where("row <> centre").select("key", "row", "n_shingles"), labels), "open")
+    if still.limit(1).count():
+        still = _reachable(still, shingles, percent)
+    if still.limit(1).count():
+        labels = materialize(components(links.union(materialize(_compared(still, shingles, percent), "more"))), "labels")
+    return labels
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, star_rounds: int) -> DataFrame:
+    """doc_id, n_shingles, text_hash, component_id, kept of each row of docs."""
+    bands, rows = bands_for(percent / 100)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_hash(F.col(text_col)).alias("text_hash"))
+    signed = texts.mapInArrow(_signed(k, bands, rows), "doc_id long, n_shingles long, set_digest string, bands array<long>, text_hash long")
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    facts = signed.select("row", "doc_id", "n_shingles", "set_digest", "text_hash")
+    total = facts.count()
+    sets = facts.where("set_digest is not null").groupBy("set_digest").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size"))
+    named = join_sized(facts, materialize(sets.where("size > 1"), "sets"), "set_digest", "size", total, "row")
+    alone = F.col("size").isNull()
+    named = named.select("row", "doc_id", "n_shingles", "set_digest", "text_hash", F.coalesce("rep", "row").alias("node"), F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("least_id"), F.coalesce("size", F.lit(1)).alias("size"))
+    named = materialize(named, "named")
+
+    reps = keep_only(signed.where("set_digest is not null"), {"row": F.col("row")}, named.where("row <> node").select("row"))
+    exploded = reps.select("row", "n_shingles", F.explode("bands").alias("key"))
+    shared = exploded.groupBy("key").agg(F.min("row").alias("centre"), F.min_by("n_shingles", "row").alias("n_centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = join_sized(exploded, shared, "key", "members", total * bands, "row", "inner")
+    buckets = materialize(buckets.select("key", "row", "n_shingles", "centre", "n_centre"), "buckets")
+
+    involved = materialize(named.join(buckets.select(F.col("row").alias("__row")).distinct(), F.col("row") == F.col("__row"), "left_semi").select("row", "doc_id", "set_digest"), "involved")
+    no_id = F.lit(-(1 << 63)).cast("long")
+    own_text = only(texts, {"id": F.coalesce("doc_id", no_id)}, involved.select(F.coalesce("doc_id", no_id).alias("id")).distinct())
+    sets_of = own_text.select(F.lit(0), "text").mapInArrow(_shingled(k), "set_digest string, shingles binary")
+    shingles = materialize(sets_of.join(involved.select("row", F.col("set_digest").alias("__digest")), F.col("set_digest") == F.col("__digest")).dropDuplicates(["set_digest"]).select("row", "shingles"), "shingles")
+    labels = _links(buckets, shingles, percent, star_rounds)
+
+    facts_of = named.where("row = node").select(F.col("row").alias("__row"), "least_id", "size")
+    labels = labels.union(labels.select("component", "component").distinct())  # the smallest node has no row of its own
+    by_node = materialize(labels.join(facts_of, F.col("node") == F.col("__row")).select("node", "component", "least_id", "size"), "nodes")
+    least = by_node.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    found = join_sized(by_node.select("node", "component", "size"), least, "component", "nodes", by_node.count(), "node").select("node", "component_id", "size")
+    out = join_sized(named.drop("size"), found, "node", "size", total, "row")
+    component = F.when(F.col("size").isNull(), F.col("least_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "text_hash", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     A text's set holds its distinct windows of k words (A-Z lower-cased); a text of fewer words has its
     whole sequence as the one element. Texts without words, and nulls, have no element, link with
-    nothing and are their own component. Two documents are linked if 100 * shared >= percent * united;
-    component_id is the smallest doc_id reachable. Rows that repeat an id share one verdict. Ids must
-    not be null: rows of null ids are returned with a null component and kept false. Other columns are
-    not read.
+    nothing and are their own component. Two texts are linked if 100 * shared >= percent * united;
+    component_id is the smallest doc_id reachable. Rows that repeat an id and its text are one document
+    and share its verdict; another text under the same id is another document. Null ids take part, and
+    are kept only in groups without an id, whose component_id is null. Other columns are not read.
     """
-    bands, rows = bands_for(percent / 100)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInArrow(_signed(k, bands, rows), "doc_id long, n_shingles long, set_digest string, bands array<long>"), "signed")
-    facts = signed.select("doc_id", "n_shingles", "set_digest")
-    total = facts.count()
-    sets = facts.where("set_digest is not null and doc_id is not null").groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    many = materialize(sets.where("size > 1"), "sets")
-    named = join_sized(facts.withColumn("__digest", F.coalesce("set_digest", F.lit(""))).drop("set_digest"), many.withColumnRenamed("set_digest", "__digest"), "__digest", "size", total, "doc_id")
-    named = materialize(named.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("__rep"), F.coalesce("size", F.lit(1)).alias("size")), "named")
-
-    copies = named.where("doc_id <> __rep").select("doc_id").distinct()
-    reps = keep_only(signed.where("set_digest is not null and doc_id is not null"), "doc_id", copies)
-    exploded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre <> last").select("key", "centre")
-    buckets = materialize(exploded.join(shared, "key").select("key", "doc_id", "n_shingles", "centre"), "buckets")
-
-    own_text = only(texts, "doc_id", materialize(buckets.select("doc_id").distinct(), "involved")).dropDuplicates(["doc_id"])
-    shingles = materialize(own_text.mapInArrow(_shingled(k), "doc_id long, shingles binary"), "shingles")
-    sized = shared.join(reps.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre")), "centre").select("key", "n_centre")
-    stars = buckets.where("centre <> doc_id").join(sized, "key").where(_sizes("n_shingles", "n_centre", percent))
-    links = materialize(_confirmed(stars.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), shingles, percent), "links")
-    labels = materialize(components(links), "labels")
-    still = materialize(_reachable(_open(buckets.select("key", "doc_id", "n_shingles"), labels), shingles, percent), "open")
-    if still.limit(1).count():
-        more = materialize(_compared(still, shingles, percent), "more")
-        labels = materialize(components(links.union(more)), "labels")
-
-    component = F.coalesce("component", "__rep")
-    sizes = named.where("doc_id = __rep").select(F.col("doc_id").alias("node"), F.col("size").alias("__size")).dropDuplicates(["node"])
-    by_rep = labels.join(sizes, "node").select(F.col("node").cast("string").alias("__node"), "component", "__size")
-    named = join_sized(named.withColumn("__node", F.coalesce(F.col("__rep").cast("string"), F.lit(""))), by_rep, "__node", "__size", total, "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return _grouped(docs, k, percent, id_col, text_col, star_rounds).drop("text_hash")
 
 
 def _sizes(a: str, b: str, percent: int):
@@ -314,6 +368,14 @@ def _sizes(a: str, b: str, percent: int):
 
 
 def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; all their columns."""
-    dropped = near_groups(docs, k, percent, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col))
-    return keep_only(docs, id_col, materialize(dropped.distinct(), "near"))
+    """docs without the rows that near_groups doesn't keep; all their columns.
+
+    A verdict is that of an id and its text, told by a 64-bit hash, so another text under the id has its
+    own. Rows with a null id stay.
+    """
+    gone = _grouped(docs, k, percent, id_col, text_col, 3).where("not kept and doc_id is not null").select("doc_id", "text_hash")
+    return keep_only(docs, {"doc_id": docs[id_col].cast("long"), "text_hash": _text_hash(docs[text_col])}, materialize(gone.distinct(), "near"))
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -5,7 +5,9 @@ covariance is shrunk towards its diagonal and towards the pooled covariance; its
 computed once, inverted and sent with the scoring tasks. The score is the posterior of label 1 from
 the difference of Mahalanobis log-densities and the log ratio of the priors.
 
-The moments are sums over all labelled rows, taken by Spark; only they reach the driver.
+The moments are sums over the labelled rows, taken by Spark; only they reach the driver. Beyond a
+stated number of labelled rows a share of them, chosen by hashed id, is used. A score is a function of
+the text alone, so scoring and filtering are one projection of each row, without a join.
 """
 
 from __future__ import annotations
@@ -14,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import textkernel as tk
-from strandline.llm.common import held_out, keep_only
-from strandline.session import materialize
+from strandline.llm.common import hashed_share, held_out
 
 #: Statistics of a text, each a logarithm or a log-odds, so that classes are nearer to Gaussians.
 FEATURES = ("log_words", "log_word_bytes", "symbols", "capitals", "exclamations", "bars", "digits", "same_word", "repeated_windows", "repeated_lines", "spread")
@@ -30,7 +31,7 @@ _CLASS[65:91] = 2
 _CLASS[ord("!")] = 3
 _CLASS[ord("|")] = 4
 _CLASS[48:58] = 5
-_SCHEMA = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
+_SCHEMA = ", ".join(f"{f} double" for f in FEATURES)
 
 
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -76,15 +77,22 @@ def statistics(texts: tk.Texts) -> np.ndarray:
     return out
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for own, texts in tk.slices(batch):
-            x = statistics(texts)
-            yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["doc_id", *FEATURES])
+def _columns(texts: pa.Array) -> np.ndarray:
+    """One row of FEATURES per text of an Arrow column."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    return np.concatenate([np.empty((0, len(FEATURES))), *(statistics(own) for _, own in tk.slices(batch, 0))])
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_featured, _SCHEMA)
+def features(text: Column) -> Column:
+    """A struct of FEATURES; null and empty texts have the same."""
+
+    @F.arrow_udf(f"struct<{_SCHEMA.replace(' double', ':double')}>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = _columns(texts)
+            yield pa.StructArray.from_arrays([pa.array(x[:, j]) for j in range(x.shape[1])], names=list(FEATURES))
+
+    return of(text)
 
 
 class Discriminant:
@@ -114,13 +122,21 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def fit(featured: DataFrame, labels: DataFrame, label_col: str = "quality") -> Discriminant:
-    """The discriminant of labels (doc_id, label_col of 0 or 1). Null labels and labels of absent rows don't count."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
+    """The discriminant of labels (doc_id, label_col of 0 or 1), joined with docs by id.
+
+    Null labels and labels of absent rows don't count; of labels that repeat an id the smallest counts,
+    and every row of docs with that id. max_rows bounds the fit: with more labels those are used whose
+    hashed id falls in the share max_rows / labels, so that about max_rows small rows are broadcast.
+    """
     d = len(FEATURES)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).dropDuplicates(["__id"])
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y"))
+    marked = marked.where(hashed_share(F.col("__id"), max_rows, marked.count())).groupBy("__id").agg(F.min("__y").alias("__y"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    x = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__id")).select("__y", features(F.col("text")).alias("x"))
     rows = (
-        featured.join(marked, F.col("doc_id") == F.col("__id"))
+        x.select("__y", "x.*")
         .groupBy("__y")
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in pairs])
         .collect()
@@ -135,25 +151,32 @@ def fit(featured: DataFrame, labels: DataFrame, label_col: str = "quality") -> D
     return Discriminant(counts, sums, products)
 
 
+def score_of(text: Column, model: Discriminant) -> Column:
+    """The score of a text under a fitted model."""
+
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(model.score(_columns(texts)))
+
+    return of(text)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 from threshold on).
 
     Learns from labels whose id isn't held out. Null and empty texts are scored alike, by their
     statistics. Labels, language, source and id are no inputs of a score; other columns aren't read.
     """
-    featured = materialize(features(docs, id_col, text_col), "features")
-    model = fit(featured.where(~held_out(F.col("doc_id"))), labels)
+    model = _fitted(docs, labels, id_col, text_col)
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), score_of(F.col(text_col), model).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.column_stack([np.asarray(batch.column(1 + j)) for j in range(len(FEATURES))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    out = featured.mapInArrow(scored, "doc_id long, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Discriminant:
+    return fit(docs.where(~held_out(F.col(id_col).cast("long"))), labels.where(~held_out(F.col("doc_id").cast("long"))), id_col=id_col, text_col=text_col)
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that quality_scores predicts 0; all their columns."""
-    poor = quality_scores(docs, labels, threshold, id_col, text_col).where(F.col("predicted") == 0).select(F.col("doc_id").alias(id_col))
-    return keep_only(docs, id_col, materialize(poor.distinct(), "poor"))
+    """docs without the rows that quality_scores predicts 0; all their columns. Each row is judged by its own text."""
+    return docs.where(score_of(F.col(text_col), _fitted(docs, labels, id_col, text_col)) >= threshold)

@@ -265,8 +265,80 @@ def test_foreign_and_random_texts_are_dropped(spark):
     assert sum(i in kept for i in lettered) >= 0.995 * len(lettered)
 
 
-def test_a_given_border_is_used(docs):
-    assert language.drop_unknown(docs, least_cosine=1.1, least_grams=0).count() == 0
+def test_language_stage_judges_rows_not_ids(spark, docs):
+    english = docs.where("lang = 'en' and n_chars > 400").first().text
+    rows = [(1, english, None), (1, "12345 !!", None), (None, english, None), (None, "", None), (2, None, "en"), (3, "zzq xkw qqj vvx wkk " * 90, "xx")]
+    frame = docs.select("doc_id", "text", "lang").withColumn("__found", F.lit(7)).withColumn("__own", F.lit("x"))
+    planted = spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, lang string, `__found` int, `__own` string").withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    out = language.drop_unknown(frame.unionByName(planted))
+    assert out.columns == frame.columns
+    kept = Counter((r.doc_id, r.text) for r in out.where("`__own` = 'y'").collect())
+    assert kept == {(10_000_001, english): 1, (None, english): 1, (10_000_003, rows[-1][1]): 1}  # xx is learnt from its one row
+    assert language.drop_unknown(planted.where("lang is null")).count() == 0
+    assert language.drop_unknown(docs, share=2.0).count() < 0.1 * docs.count()
+
+
+def test_one_varied_text_needs_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    text = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 100_000))
+    space = language.Space()
+    tracemalloc.start()
+    got = space.bundles([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    codes, counts = space.grams(text)
+    assert np.allclose(got, sum(space._bind(codes[i : i + 5000]).astype(np.float64).T @ counts[i : i + 5000] for i in range(0, len(codes), 5000)), rtol=1e-4, atol=0.5)
+
+
+def test_bundles_and_cosines_equal_plain_loops(spark, docs, texts):
+    """Letters' vectors rotated by place and multiplied, summed over all n-grams, normalised, by plain Python lists."""
+    space = language.Space(128)
+
+    def vector(letter):
+        return space._letters(np.array([ord(letter) if letter != " " else 0]))[0].tolist()
+
+    def plain(text):
+        spaced = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        while "  " in spaced:
+            spaced = spaced.replace("  ", " ")
+        total = [0] * 128
+        for i in range(len(spaced) - 2):
+            bound = [1] * 128
+            for place, letter in enumerate(reversed(spaced[i : i + 3])):
+                v = vector(letter)
+                bound = [x * v[(at - place) % 128] for at, x in enumerate(bound)]
+            total = [x + y for x, y in zip(total, bound, strict=True)]
+        return total
+
+    def unit(v):
+        size = sum(x * x for x in v) ** 0.5
+        return [x / size for x in v]
+
+    few = docs.where("n_chars between 20 and 300 and lang is not null").orderBy("doc_id").limit(12)
+    rows = few.collect()
+    sums = {}
+    for r in rows:
+        one = unit(plain(r.text))
+        assert np.allclose(space.bundles([r.text])[0], plain(r.text))
+        sums[r.lang] = [x + y for x, y in zip(sums.get(r.lang, [0] * 128), one, strict=True)]
+    profiles = {k: unit(v) for k, v in sorted(sums.items())}
+    got = language.prototypes(few, dimension=128)
+    assert list(got) == list(profiles) and all(np.allclose(got[k], profiles[k], atol=1e-5) for k in got)
+    for r in language.predict(few, got).collect():
+        cosine = {k: sum(a * b for a, b in zip(unit(plain(texts[r.doc_id])), v, strict=True)) for k, v in profiles.items()}
+        best = max(cosine, key=cosine.get)
+        assert r.lang_pred == best and abs(r.cosine - cosine[best]) < 1e-4
+        assert abs(r.score - 1 / sum(np.exp(20 * (c - cosine[best])) for c in cosine.values())) < 1e-3
+
+
+def test_identify_edges(edge, nothing):
+    frame = edge.withColumn("lang", F.when(F.col("doc_id") < 4, F.lit("en")))
+    got = language.identify(frame).collect()
+    assert len(got) == len(ROWS) and {r.lang_pred for r in got if r.doc_id in (4, 5, 9)} == {"und"}
+    assert language.identify(nothing.withColumn("lang", F.lit("en"))).count() == 0
 
 
 def test_letter_vectors_bind_by_place():
