@@ -1,13 +1,13 @@
 """Main text of a page by composite text density.
 
-The page is parsed into a tree with implied end tags. Subtrees that are no article text by their
-element, role, or a word of class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) are pruned. Every node left gets its composite density: characters
-per tag, adjusted by the share of characters and tags that belong to links. A node's sum is that of
-its block children's densities and its own inline text's. The node with the largest sum is the core;
-the smallest density on the path from the body to it is the threshold. From the core the selection
-widens to an enclosing article or main element, or else upwards as long as at least half of the new
-siblings' characters lie in nodes that reach the threshold.
+The page is parsed into a tree with implied end tags. Every node gets its composite density: characters
+per tag, adjusted by the share of characters and tags that belong to links. A node's sum is that of its
+block children's densities and its own inline text's. The node with the largest sum is the core; the
+smallest density on the path from the body to it is the threshold. From the core the selection widens
+upwards as long as at least half of the characters that come in lie in nodes that reach the threshold
+and are not few, and drops block nodes that don't reach it. Only then elements and roles that hold no article text (menus, headers,
+footers, sidebars, notices, forms, scripts, styles) and, as the weakest sign, names of class or id take
+blocks out of what was selected; they also can't be the core themselves.
 """
 
 from __future__ import annotations
@@ -35,114 +35,214 @@ SIBLINGS = {
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "thead": (("tbody", "thead", "tfoot"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
 }
-#: Elements, roles and words of class or id that mark no article text.
+#: Elements and roles that hold no article text. RAW ones hold no text at all.
 PRUNED = frozenset("aside audio button canvas datalist dialog footer form head header iframe input map menu nav noscript object search select svg template textarea video".split()) | RAW
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Names of class or id that hint at none, alone, as the last part of a name, or as its first before a part of PARTS.
 WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar "
     "navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related responses share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-KEPT = frozenset(("html", "body", "article", "main"))
+PARTS = frozenset("area bar block body box button buttons container content form inner item items link links list message outer panel post posts row section slot text unit wrap wrapper".split())
+#: First parts that turn a name into a remark about the page.
+REMARKS = frozenset("has is no not with without".split())
+CORES = frozenset(("article", "main"))
+#: Elements deeper than this are not nested further, as in browsers; their text stays.
+DEEPEST = 512
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^<>\"']*+)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*+([^\s/>=]?[^\s/>=]*+)(\s*+=\s*+)?")
+_BARE = re.compile(r"[^\s>]*+")
+_PAIR = re.compile(r"([^\s/=]+)(?:\s*+=\s*+([^\s]++))?")
 _SPACES = re.compile(r"\s+")
+_HIDDEN = re.compile(r"display\s*+:\s*+none")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "own", "own_tags", "density")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "own", "own_tags", "density", "pruned", "hinted", "dropped")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []  # items: texts and nodes, in page order
         self.density = 0.0
+        self.pruned = self.hinted = self.dropped = False
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
-    if tag in PRUNED:
-        return True
-    if not attrs or tag in KEPT:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id") and not WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+class Lexer:
+    """Texts, start and end tags of a page in one pass. A quote that is never closed is no quote."""
+
+    def __init__(self, page: str):
+        self.page, self.n = page, len(page)
+        self.none_after = {'"': len(page) + 1, "'": len(page) + 1}
+
+    def _closing(self, quote: str, at: int) -> int:
+        """Where the quote is closed, or -1; that there is none further on is found once."""
+        if at >= self.none_after[quote]:
+            return -1
+        end = self.page.find(quote, at)
+        if end < 0:
+            self.none_after[quote] = at
+        return end
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """The attributes from a place inside a tag on, and the place after the tag."""
+        page, found = self.page, []
+        while at < self.n:
+            m = _ATTR.match(page, at)
+            name, at = m[1], m.end()
+            if m[2]:
+                quote = page[at : at + 1]
+                end = self._closing(quote, at + 1) if quote in ('"', "'") else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+                found.append((name.lower(), value))
+            elif name:
+                found.append((name.lower(), ""))
+            if page[at : at + 1] == ">":
+                return found, at + 1
+            if not m[0] and at == m.start():  # nothing was read
+                at += 1
+        return found, self.n
+
+    def tokens(self) -> Iterator[tuple[str, str, list[tuple[str, str]]]]:
+        """('text', text, []), ('start', tag, attributes), ('end', tag, [])."""
+        page, n, at = self.page, self.n, 0
+        while at < n:
+            less = page.find("<", at)
+            if less < 0:
+                yield "text", page[at:], []
+                return
+            if less > at:
+                yield "text", page[at:less], []
+            m = _TAG.match(page, less)
+            if m:
+                at, tag = m.end(), m[2].lower()
+                attrs = [(x[1].lower(), x[2] or "") for x in _PAIR.finditer(m[3])] if m[3] and not m[1] else []
+                yield "end" if m[1] else "start", tag, attrs
+            elif page.startswith("<!--", less):
+                end = page.find("--", less + 2 if page.startswith("<!-->", less) else less + 4)
+                while end >= 0 and page[end + 2 : end + 3] not in (">", "") and not page.startswith("!>", end + 2):
+                    end = page.find("--", end + 1)
+                at = n if end < 0 else page.find(">", end) + 1 or n
+                tag = ""
+            elif page.startswith("<![CDATA[", less):
+                end = page.find("]]>", less + 9)
+                yield "data", page[less + 9 : n if end < 0 else end], []
+                at, tag = (n if end < 0 else end + 3), ""
+            elif page[less + 1 : less + 2] in ("!", "?") or page.startswith("</", less) and not _NAME.match(page, less + 2):
+                at, tag = page.find(">", less) + 1 or n, ""
+            else:
+                closes = page.startswith("</", less)
+                name = _NAME.match(page, less + 1 + closes)
+                if not name:
+                    yield "text", "<", []
+                    at = less + 1
+                    continue
+                attrs, at = self.attributes(name.end())
+                tag = name[0].lower()
+                yield "end" if closes else "start", tag, attrs
+            if tag in RAW and page[less + 1] != "/":
+                if tag == "plaintext":
+                    return
+                close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+                if not close:
+                    return
+                at = page.find(">", close.start()) + 1 or n
+
+
+def _named(value: str) -> bool:
+    """If a class or id hints at no article text."""
+    for name in value.lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", name) if p]
+        if parts and parts[0] not in REMARKS and (parts[-1] in WORDS or parts[0] in WORDS and all(p in PARTS or p in WORDS for p in parts[1:])):
             return True
     return False
 
 
+def _marks(node: Node, attrs: list[tuple[str, str]]) -> None:
+    node.pruned = node.tag in PRUNED
+    if node.tag in ("html", "body"):
+        return
+    for name, value in attrs:
+        if name in ("class", "id"):
+            node.hinted = node.hinted or _named(html.unescape(value))
+        elif name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDDEN.search(value.lower()):
+            node.pruned = True
+
+
+class Stack:
+    """The open elements, with the number of each kind, so that looking for one that isn't open costs nothing."""
+
+    def __init__(self, *nodes: Node):
+        self.nodes, self.open = list(nodes), {}
+        self.lost: dict[str, int] = {}  # elements beyond the deepest level that are still to be closed
+
+    def push(self, node: Node) -> None:
+        if len(self.nodes) < DEEPEST:
+            self.nodes.append(node)
+            self.open[node.tag] = self.open.get(node.tag, 0) + 1
+        else:
+            self.lost[node.tag] = self.lost.get(node.tag, 0) + 1
+
+    def cut(self, depth: int) -> None:
+        for node in self.nodes[depth:]:
+            self.open[node.tag] -= 1
+        del self.nodes[depth:]
+
+    def end(self, tags: tuple[str, ...], within: tuple[str, ...]) -> None:
+        """Close the nearest open element of tags, unless one of within is nearer."""
+        if not any(self.open.get(tag) for tag in tags):
+            return
+        for depth in range(len(self.nodes) - 1, 1, -1):
+            if self.nodes[depth].tag in tags:
+                self.cut(depth)
+                return
+            if self.nodes[depth].tag in within:
+                return
+
+    def close(self, tag: str) -> None:
+        """An end tag; that of an inline element closes nothing beyond its block."""
+        if self.lost.get(tag):
+            self.lost[tag] -= 1
+        elif self.open.get(tag):
+            for depth in range(len(self.nodes) - 1, 1, -1):
+                if self.nodes[depth].tag == tag:
+                    self.cut(depth)
+                    return
+                if tag not in BLOCK and self.nodes[depth].tag in BLOCK:
+                    return
+
+
 def parse(page: str) -> Node:
-    """The tree below an html node, without pruned subtrees, comments and markup declarations."""
+    """The tree below an html node, without the content of RAW elements, comments and markup declarations."""
     root = Node("html", None)
     body = Node("body", root)
     root.items.append(body)
-    stack, skip = [root, body], 0  # skip: depth from which the stack is in a pruned subtree
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
-        if text and not skip:
-            stack[-1].items.append(html.unescape(text))
-        if not m:
-            break
-        at = m.end()
-        if m[3]:
-            tag, attrs = m[3].lower(), m[4]
-            if tag in ("html", "body"):
-                continue
-            if tag in ENDS_P:
-                _end(stack, ("p",), ("article", "aside", "body", "button", "div", "li", "main", "section", "table", "td"))
-            if tag in SIBLINGS:
+    stack = Stack(root, body)
+    for kind, value, attrs in Lexer(page).tokens():
+        if kind == "text":
+            stack.nodes[-1].items.append(html.unescape(value))
+        elif kind == "data":
+            stack.nodes[-1].items.append(value)
+        elif kind == "start" and value not in ("html", "body"):
+            if value in ENDS_P:
+                stack.end(("p",), ("article", "aside", "body", "button", "div", "li", "main", "section", "table", "td"))
+            if value in SIBLINGS:
                 for _ in range(3):
-                    _end(stack, *SIBLINGS[tag])
-            if skip and len(stack) < skip:
-                skip = 0
-            node = Node(tag, stack[-1])
-            wanted = not skip and not _unwanted(tag, attrs)
-            if wanted:
-                stack[-1].items.append(node)
-            if tag in RAW:
-                close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-                end = page.find(">", close.start()) if close else -1
-                at = end + 1 if end >= 0 else n
-            elif tag not in VOID and not attrs.rstrip().endswith("/"):
-                stack.append(node)
-                if not wanted and not skip:
-                    skip = len(stack)
-            elif tag not in VOID and tag not in BLOCK:
-                pass
-            elif tag not in VOID:  # a slash ends no block
-                stack.append(node)
-                if not wanted and not skip:
-                    skip = len(stack)
-        elif m[2]:
-            tag = m[2].lower()
-            if tag in ("html", "body", "br"):
-                continue
-            for depth in range(len(stack) - 1, 1, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if tag not in BLOCK and stack[depth].tag in BLOCK:
-                    break
-            if skip and len(stack) < skip:
-                skip = 0
-        elif m[1] and not skip:
-            stack[-1].items.append(m[1])
+                    stack.end(*SIBLINGS[value])
+            node = Node(value, stack.nodes[-1])
+            _marks(node, attrs)
+            node.parent.items.append(node)
+            if value not in VOID and value not in RAW:
+                stack.push(node)
+        elif kind == "end" and value not in ("html", "body", "br"):
+            stack.close(value)
     return root
 
 
-def _end(stack: list[Node], tags: tuple[str, ...], within: tuple[str, ...]) -> None:
-    """Close the nearest open element of tags, unless one of within is nearer."""
-    for depth in range(len(stack) - 1, 1, -1):
-        if stack[depth].tag in tags:
-            del stack[depth:]
-            return
-        if stack[depth].tag in within:
-            return
-
-
 def _order(root: Node) -> list[Node]:
     """Every node after its parent."""
     found = [root]
@@ -152,7 +252,7 @@ def _order(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> list[Node]:
-    """Characters, tags, links and composite density of every node."""
+    """Characters, tags, links and composite density of every node of the whole tree."""
     nodes = _order(root)
     for node in nodes:
         node.chars = node.own = sum(len(_SPACES.sub("", x)) for x in node.items if isinstance(x, str))
@@ -179,14 +279,27 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def density_sum(node: Node) -> float:
+    """The densities of a node's block children, but those that hold no article text, and of its own inline text."""
+    return sum(x.density for x in node.items if isinstance(x, Node) and x.tag in BLOCK and not x.pruned) + node.own / max(node.own_tags, 1)
+
+
 def select(root: Node) -> Node:
-    """The subtree that holds the main text."""
+    """The subtree that holds the main text, by density alone; what is no part of it is marked as dropped.
+
+    The core is the node of the largest density sum outside elements that hold no article text. From it
+    the selection widens upwards while at least half of the characters that would come in lie in nodes
+    that reach the threshold, the smallest density on the path from the body to the core, and these are
+    many (WIDER of what there is) or come with a heading. Of what comes in, nodes below the threshold are
+    dropped, but for headings and unlinked paragraphs; in the core, those that are mostly links.
+    """
     nodes = measure(root)
     core, most = root.items[0], -1.0
+    outside = {id(root)}
     for node in nodes:
-        if node.tag in BLOCK and node.tag != "html":
-            total = sum(x.density for x in node.items if isinstance(x, Node) and x.tag in BLOCK) + node.own / max(node.own_tags, 1)
-            if total > most:
+        if node.parent is not None and id(node.parent) in outside and not node.pruned and not node.hinted:
+            outside.add(id(node))
+            if node.tag in BLOCK and (total := density_sum(node)) > most:
                 core, most = node, total
     path = []
     node = core
@@ -194,23 +307,47 @@ def select(root: Node) -> Node:
         path.append(node)
         node = node.parent
     threshold = min(x.density for x in path[:-1])
-    for tag in ("article", "main"):
-        for node in reversed(path):
-            if node.tag == tag:
-                return node
+    for node in _order(core)[1:]:  # lists of links are sparse even inside the core
+        node.dropped = node.tag in BLOCK and node.density < threshold and node.link_tags >= 3 and 2 * node.link_chars > node.chars
     for node, up in zip(path, path[1:], strict=False):
         if up.tag == "html":
             return node
-        others = [x for x in up.items if isinstance(x, Node) and x is not node]
-        around = up.own + sum(x.chars for x in others if x.tag in BLOCK)
-        dense = up.own + sum(x.chars for x in others if x.tag in BLOCK and x.density >= threshold)
-        if 2 * dense < around:
+        others = [x for x in up.items if isinstance(x, Node) and x is not node and x.tag in BLOCK and not x.pruned and not x.hinted]
+        low = [x for x in others if x.density < threshold]
+        around = up.own + sum(x.chars for x in others)
+        dense = around - sum(x.chars for x in low)
+        if 2 * dense < around or dense < WIDER * node.chars and not any(x.tag in HEADINGS for x in others):
             return node
+        for x in low:
+            x.dropped = not (x.tag in HEADINGS or x.tag == "p" and not x.link_chars)
     return core
 
 
-def blocks(root: Node) -> Iterator[str]:
-    """The texts of the blocks in page order, white space made one space, without empty ones."""
+#: Block siblings that hold less than this share of the selected characters are no further part of it.
+WIDER = 0.2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+
+def spare(root: Node) -> None:
+    """Hints and forms don't count where they hold an article or main element, or a form most of the page's unlinked text."""
+    nodes = _order(root)
+    plain = {id(node): sum(len(_SPACES.sub("", x)) for x in node.items if isinstance(x, str)) if node.tag != "a" else 0 for node in nodes}
+    for node in reversed(nodes):
+        if node.parent is not None and node.tag != "a":
+            plain[id(node.parent)] += plain[id(node)]
+    for node in reversed(nodes):
+        if node.tag in CORES:
+            up = node
+            while up is not None and (up is node or up.tag not in CORES):
+                up.hinted = False
+                up.pruned = up.pruned and up.tag != "form"
+                up = up.parent
+        if node.tag == "form" and 2 * plain[id(node)] > plain[id(root)]:
+            node.pruned = False
+
+
+def blocks(root: Node, hints: bool = True) -> Iterator[str]:
+    """The texts of the blocks in page order, white space made one space, without empty ones and what is no article text."""
     parts: list[str] = []
     work: list = [root]
     while work:
@@ -222,6 +359,8 @@ def blocks(root: Node) -> Iterator[str]:
             parts.clear()
             if text:
                 yield text
+        elif item.pruned or item.dropped or hints and item.hinted:
+            continue
         elif item.tag == "br":
             parts.append(" ")
         else:
@@ -234,7 +373,12 @@ def blocks(root: Node) -> Iterator[str]:
 
 def main_text(page: str | None) -> str:
     """The main text of a page; empty if there is none."""
-    return "\n".join(blocks(select(parse(page)))) if page else ""
+    if not page:
+        return ""
+    root = parse(page)
+    spare(root)
+    core = select(root)
+    return "\n".join(blocks(core)) or "\n".join(blocks(core, False))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +390,6 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row; null or empty html gives an empty text. Other columns aren't read."""
+    """page_id, url, text, n_chars of every row; null or empty html gives an empty text. Repeated rows are extracted each; other columns aren't read."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

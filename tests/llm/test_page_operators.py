@@ -86,6 +86,96 @@ def test_extract_equals_the_planted_article(spark, sf):
         assert r.text == brute_text(html[r.page_id])
 
 
+def test_density_decides_without_names_and_semantic_elements(spark, sf, monkeypatch):
+    """Planted articles in plain divs, with no word of class or id known: density finds most, and without it none is found."""
+    monkeypatch.setattr(html_text, "WORDS", frozenset())
+    pages = [r.html.replace("<article>", "<div>").replace("</article>", "</div>") for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    want = [brute_text(p.replace('<div class="ad">', '<ad>').replace("<div>", "<article>").replace("</div>", "</article>")) for p in [q.replace('</div>', '</ad>', 1) for q in pages]]
+    assert sum(html_text.main_text(p) == w for p, w in zip(pages, want, strict=True)) >= 0.9 * len(pages)
+    monkeypatch.setattr(html_text, "select", lambda root: root)
+    assert sum(html_text.main_text(p) == w for p, w in zip(pages, want, strict=True)) == 0
+
+
+def plain_densities(tree, path=()):
+    """(tag, items) -> {path: (characters, tags, characters and tags of links)}, counted from the leaves up by recursion."""
+    tag, items = tree
+    found, c, t, lc, lt = {}, 0, 0, 0, 0
+    c += sum(len("".join(x.split())) for x in items if isinstance(x, str))
+    for i, x in enumerate(x for x in items if not isinstance(x, str)):
+        below = plain_densities(x, (*path, i))
+        found |= below
+        kc, kt, klc, klt = below[(*path, i)]
+        c, t, lc, lt = c + kc, t + kt + 1, lc + klc, lt + klt
+    if tag == "a":
+        lc, lt = c, t + 1
+    return found | {path: (c, t, lc, lt)}
+
+
+def test_densities_equal_plain_recursion():
+    import random
+    from math import e, log
+
+    rng = random.Random(3)
+
+    def tree(depth):
+        items = [rng.choice(["some text here", "x", " more  words of it "]) if depth == 0 or rng.random() < 0.4 else tree(depth - 1) for _ in range(rng.randint(0, 4))]
+        return (rng.choice(["div", "section", "a", "b", "ul"]), items)
+
+    def markup(node):
+        return f"<{node[0]}>" + "".join(x if isinstance(x, str) else markup(x) for x in node[1]) + f"</{node[0]}>"
+
+    for _ in range(60):
+        root = ("div", [tree(3) for _ in range(3)])
+        counts = plain_densities(root)
+        share = counts[()][2] / counts[()][0] if counts[()][0] else 0.0
+        top = html_text.parse(markup(root))
+        html_text.measure(top)
+
+        def check(node, path, counts=counts, share=share):
+            c, t, lc, lt = counts[path]
+            assert (node.chars, node.tags, node.link_chars, node.link_tags) == (c, t, lc, lt)
+            if c:
+                inner = max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0001)
+                want = c / max(t, 1) * max(log(inner) / log(max(log(c / max(c - lc, 1) * lc + share * c + e), 1.0001)), 0)
+                assert abs(node.density - want) < 1e-9 * max(1, want)
+            for i, x in enumerate(x for x in node.items if isinstance(x, html_text.Node)):
+                check(x, (*path, i))
+
+        check(top.items[0].items[0], ())
+
+
+def test_widening_takes_sections_and_drops_sparse_siblings():
+    long = "A sentence of the article that goes on for a while. " * 5
+    sections = "".join(f"<section><h2>Part {i}</h2><p>{long}</p><p>{long}</p></section>" for i in range(3))
+    links = "<div>" + "".join(f'<span><a href="/{i}">go {i}</a></span> ' for i in range(9)) + "</div>"
+    got = html_text.main_text(f"<body><div><h1>Title</h1>{links}{sections}</div></body>")
+    assert got.count("sentence") == 30 and got.startswith("Title\nPart 0") and "go 1" not in got
+
+
+@pytest.mark.parametrize("name", ["page no-sidebar", "header-fixed-wrap", "social-policy", "has-comments"])
+def test_names_that_only_mention_a_word_cut_nothing(name):
+    body = "<p>" + "A sentence of the article that goes on. " * 4 + "</p>"
+    want = "\n".join([" ".join(("A sentence of the article that goes on. " * 4).split())] * 3)
+    assert html_text.main_text(f'<body><div class="{name}">{body * 3}</div></body>') == want
+    assert html_text.main_text(f'<body><div class="content widget"><article>{body * 3}</article></div></body>') == want
+    assert html_text.main_text(f"<body><form><div>{body * 3}</div><input></form></body>") == want
+
+
+def test_broken_tags_leave_no_markup():
+    assert html_text.main_text('<p>Hello there <a title="x>link</a> end of it</p>') == "Hello there link end of it"
+    assert html_text.main_text("<p>One <a href=/x/>link</a> two <b/>three<p/>four</p>") == "One link two three\nfour"
+    assert html_text.main_text('<p class="a > b">text</p x="y"> after <') == "text\nafter <"
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000 + '"', '<a b="' * 160_000, "<a b='c\" " * 100_000, "<h1>" * 200_000, "<b>" * 100_000 + "<li>x" * 100_000, "<!--" * 200_000, "<p><b>" * 100_000])
+def test_a_broken_page_takes_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 6
+
+
 # WARC
 
 
