@@ -36,15 +36,15 @@ _URL_SQL = f"""
         FROM u
     ),
     t AS (
-        SELECT *, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block' END AS says,
+        SELECT *, substr(md5(host || path), 1, 1) IN ('0', '1', '2') AS left_out, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block' END AS says,
                '^^' || regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^a-z0/._-]', '~', 'g') AS s
         FROM v
     ),
     g AS (
-        SELECT rn, says, strpos('{ALPHABET}', s[i]) - 1 AS a, strpos('{ALPHABET}', s[i + 1]) - 1 AS b, strpos('{ALPHABET}', s[i + 2]) - 1 AS c
-        FROM (SELECT rn, says, s, unnest(range(1, length(s) - 1)) AS i FROM t)
+        SELECT rn, says, left_out, strpos('{ALPHABET}', s[i]) - 1 AS a, strpos('{ALPHABET}', s[i + 1]) - 1 AS b, strpos('{ALPHABET}', s[i + 2]) - 1 AS c
+        FROM (SELECT rn, says, left_out, s, unnest(range(1, length(s) - 1)) AS i FROM t)
     ),
-    seen AS (SELECT says AS verdict, a, b, c, count(*) AS n3 FROM g WHERE says IS NOT NULL GROUP BY ALL),
+    seen AS (SELECT says AS verdict, a, b, c, count(*) AS n3 FROM g WHERE says IS NOT NULL AND NOT left_out GROUP BY ALL),
     two AS (SELECT verdict, b, c, sum(n3) AS n2 FROM seen GROUP BY ALL), one AS (SELECT verdict, c, sum(n3) AS n1 FROM seen GROUP BY ALL),
     after3 AS (SELECT verdict, a, b, sum(n3) AS t3, count(*) AS u3 FROM seen GROUP BY ALL),
     after2 AS (SELECT verdict, b, sum(n2) AS t2, count(*) AS u2 FROM two GROUP BY ALL), after1 AS (SELECT verdict, sum(n1) AS t1 FROM one GROUP BY ALL),
@@ -59,7 +59,7 @@ _URL_SQL = f"""
     est2 AS (SELECT *, CASE WHEN t2 > 0 THEN (n2 + u2 * p1) / (t2 + u2) ELSE p1 END AS p2 FROM grid),
     est3 AS (SELECT a, b, c, sum(CASE WHEN verdict = 'allow' THEN 1 ELSE -1 END * ln(CASE WHEN t3 > 0 THEN (n3 + u3 * p2) / (t3 + u3) ELSE p2 END)) AS llr FROM est2 GROUP BY ALL),
     score AS (SELECT rn, avg(llr) AS score FROM g JOIN est3 USING (a, b, c) GROUP BY rn),
-    binned AS (SELECT says, greatest(-500, least(500, floor(score / 0.02)))::INT AS bin, count(*) AS n FROM score JOIN t USING (rn) WHERE says IS NOT NULL GROUP BY ALL),
+    binned AS (SELECT says, greatest(-500, least(500, floor(score / 0.02)))::INT AS bin, count(*) AS n FROM score JOIN t USING (rn) WHERE says IS NOT NULL AND left_out GROUP BY ALL),
     total AS (SELECT sum(n) FILTER (says = 'allow') AS allows, sum(n) FILTER (says = 'block') AS blocks FROM binned),
     wrong AS (
         SELECT border, round(coalesce(sum(n) FILTER (says = 'allow' AND bin < border), 0) / any_value(allows) + coalesce(sum(n) FILTER (says = 'block' AND bin >= border), 0) / any_value(blocks), 9) AS lost
