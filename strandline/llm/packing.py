@@ -5,11 +5,12 @@ to the context tier it fits: the smallest one that holds it. Windows are opened
 down. The gap of a window is filled with the longest whole fragments that fit, which come from
 shorter tiers, and closed by cutting one more; the cut's rest goes back to its own tier. So a window
 holds exactly its tier's length. At the end of a partition the last window has nothing left to fill it
-and is cut into windows of smaller powers of two. Windows of a tier are dealt in order to step groups
-of equal tokens.
+and and is cut into windows of smaller powers of two.
 
-Each task packs the rows it reads, with a bounded pool of fragments: there is no shuffle, no sequence
-spans two tasks, and a task that is run again gives the same sequences.
+Each task packs the rows it reads, with a bounded pool of fragments: no text or id is shuffled, no
+sequence spans two tasks, and a task that is run again gives the same sequences. Step groups of equal
+tokens are dealt out over all tasks: a window's place in its tier is its place in its task and the
+windows of that tier in the tasks before, so every group but a tier's last is full.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.bytebpe import ByteBpe
+from strandline.session import materialize
 
 END = 0
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, task int, nth long"
 _FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
 _TYPES = [pa.int32() if c.endswith(" int") else pa.int64() for c in SCHEMA.split(", ")]
 
@@ -35,9 +37,9 @@ _TYPES = [pa.int32() if c.endswith(" int") else pa.int64() for c in SCHEMA.split
 class Packer:
     """Packs (doc_id, ids) into windows. tiers: powers of two, the longest is the context."""
 
-    def __init__(self, partition: int, tiers: tuple[int, ...] = (1024, 512, 256, 128), pool: int = 2048, step_tokens: int = 8192):
-        self.tiers, self.context, self.pool, self.step_tokens = sorted(tiers), max(tiers), pool, step_tokens
-        self.base, self.windows = partition << 32, 0
+    def __init__(self, partition: int, tiers: tuple[int, ...] = (1024, 512, 256, 128), pool: int = 2048):
+        self.tiers, self.context, self.pool = sorted(tiers), max(tiers), pool
+        self.task, self.base, self.windows = partition, partition << 32, 0
         self.per_tier: dict[int, int] = {}
         self.waiting: list[tuple] = []  # (length, arrival, doc_id, start, ids, doc_tokens), shortest first
         self.arrivals = 0
@@ -96,10 +98,9 @@ class Packer:
 
     def _window(self, pieces: list[tuple], size: int) -> None:
         nth = self.per_tier[size] = self.per_tier.get(size, -1) + 1
-        group = self.base + (size.bit_length() << 27) + nth // max(1, self.step_tokens // size)
         offset = 0
         for length, _, doc_id, start, ids, n in pieces:
-            self.rows.append((doc_id, start, length, crc32(ids.astype("<u4").tobytes()), n, self.base + self.windows, offset, size, group))
+            self.rows.append((doc_id, start, length, crc32(ids.astype("<u4").tobytes()), n, self.base + self.windows, offset, size, self.task, nth))
             offset += length
         self.windows += 1
 
@@ -114,11 +115,12 @@ class Packer:
         return self.take()
 
 
-def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (1024, 512, 256, 128), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (1024, 512, 256, 128), step_tokens: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: its place in the document and in a sequence, tier and step group.
 
     A document is its ids under the tokenizer file, then id 0; a null or empty text is id 0 alone. Each
-    id lies in exactly one piece. Rows that repeat an id are packed each. Other columns aren't read.
+    id lies in exactly one piece. Rows that repeat an id are packed each. A step group holds step_tokens
+    in windows of one tier, or one window of a longer tier. Other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,4 +134,15 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (1024, 512, 2
                 yield packer.take()
         yield packer.finish()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA), "pieces")
+    return _grouped(pieces, step_tokens)
+
+
+def _grouped(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """pieces with step_group for task and nth. The table of windows before each task has a row a task and tier."""
+    windows = pieces.where("offset = 0").groupBy("task", "tier").agg(F.count(F.lit(1)).alias("windows"))
+    earlier = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = windows.select("task", "tier", F.coalesce(F.sum("windows").over(earlier), F.lit(0)).alias("before"))
+    place = F.col("before") + F.col("nth")
+    group = F.shiftleft(F.col("tier").cast("long"), 40) + F.expr("(before + nth) div greatest(1, {} div tier)".format(step_tokens))
+    return pieces.join(before, ["task", "tier"]).select(*[F.col(c) for c in _FIELDS[:8]], place.alias("tier_place"), group.alias("step_group"))

@@ -373,10 +373,59 @@ def test_packing_covers_every_id_once(request, which):
         own.sort(key=lambda p: p.offset)
         ends = np.cumsum([p.length for p in own])
         assert [p.offset for p in own] == [0, *ends[:-1]] and ends[-1] == own[0].tier <= 1024 and int(ends[-1]) & int(ends[-1] - 1) == 0
-    groups = defaultdict(int)
+
+
+def test_step_groups_are_full_over_all_tasks(docs, nothing):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens, windows = defaultdict(Counter), defaultdict(set)
+    rows = packing.pack(docs.repartition(5, "doc_id"), path, step_tokens=4096).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) == 5
     for r in rows:
-        groups[r.step_group, r.tier] += r.length
-    assert all(v <= max(8192, tier) for (_, tier), v in groups.items())
+        tokens[r.tier][r.step_group] += r.length
+        windows[r.tier].add((r.tier_place, r.sequence_id))
+    for tier, groups in tokens.items():
+        assert all(n == max(4096, tier) for g, n in groups.items() if g != max(groups)) and groups[max(groups)] <= max(4096, tier)
+        assert sorted(place for place, _ in windows[tier]) == list(range(len(windows[tier])))
+    assert sum(len(g) for g in tokens.values()) <= sum(map(sum, (g.values() for g in tokens.values()))) // 4096 + len(tokens)
+    assert packing.pack(nothing, path).count() == 0
+
+
+def test_windows_equal_a_plain_packer():
+    """Routing to tiers, longest-fit filling and closing cuts, replayed with a plain list that is searched whole."""
+    rng = np.random.default_rng(8)
+    sizes = [int(x) for x in np.minimum(rng.geometric(1 / 180, 300), 3000)]
+    packer = packing.Packer(3, (256, 128, 64), pool=10**6)
+    for i, n in enumerate(sizes):
+        packer.add(i, np.arange(n, dtype=np.uint32))
+    got = defaultdict(list)
+    for r in packer.finish().to_pylist():
+        got[r["sequence_id"]].append((r["doc_id"], r["start"], r["length"]))
+    want, waiting, arrivals = [], [], 0
+    for i, n in enumerate(sizes):
+        for start in range(0, n - n % 256, 256):
+            want.append([(i, start, 256)])
+        if n % 256:
+            arrivals += 1
+            waiting.append((n % 256, arrivals, i, n - n % 256))
+    while waiting:
+        first = max(waiting)
+        waiting.remove(first)
+        size = min(t for t in (64, 128, 256) if t >= first[0])
+        own, gap = [first[2:] + first[:1]], size - first[0]
+        while gap and waiting:
+            fit = [f for f in waiting if f[0] <= gap]
+            f = max(fit) if fit else min(waiting)
+            waiting.remove(f)
+            if not fit:
+                arrivals += 1
+                waiting.append((f[0] - gap, arrivals, f[2], f[3] + gap))
+            own.append((f[2], f[3], min(f[0], gap)))
+            gap -= own[-1][2]
+        want.append(own)
+    plain = [sorted(w) for w in want[:-1]]
+    assert [sorted(w) for w in list(got.values())[: len(plain)]] == plain
+    assert all(sum(x[2] for x in w) & (sum(x[2] for x in w) - 1) == 0 for w in got.values())
+    assert sum(x[2] for w in got.values() for x in w) == sum(sizes)
 
 
 def test_byte_bpe_equals_tokenizers():
@@ -461,3 +510,35 @@ def test_discriminant_separates_gaussians():
     x = [rng.normal(m, s, (400, 3)) for m, s in ((0, 1), (2, 0.5))]
     model = quality_model.Discriminant(np.array([400.0, 400.0]), np.array([a.sum(0) for a in x]), np.array([a.T @ a for a in x]))
     assert (model.score(x[0]) < 0.5).mean() > 0.95 and (model.score(x[1]) > 0.5).mean() > 0.95
+
+
+@pytest.mark.parametrize("most", [1 << 20, 64])
+def test_stars_of_cut_keys_reach_every_member(spark, most, monkeypatch):
+    """A key with half of all rows is spread over tasks; its stars and their centres' star still span it, and emit no more edges than rows."""
+    own = near_dedup._runs
+    monkeypatch.setattr(near_dedup, "_runs", lambda turn: own(turn, most))
+    rng = np.random.default_rng(6)
+    keys = [7] * 1000 + rng.integers(0, 300, 1000).tolist()
+    rows = [(k, i, 10, i) for i, k in enumerate(keys)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        starred = near_dedup._starred(spark.createDataFrame(rows, near_dedup._MEMBER)).cache()
+        edges = [(r.a, r.b) for r in near_dedup._edges(starred, 80).collect()]
+        again = near_dedup._starred(spark.createDataFrame([(k, r, n, 1) for k, r, n, _ in rows], near_dedup._MEMBER)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    members = defaultdict(list)
+    for k, i, *_ in rows:
+        members[k].append(i)
+    assert len(edges) <= len(rows)
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    for own_rows in members.values():
+        seen, work = {own_rows[0]}, [own_rows[0]]
+        while work:
+            work += (new := near[work.pop()] - seen)
+            seen |= new
+        assert set(own_rows) <= seen
+    assert all(r.border and r.row == r.centre for r in again)  # one label: only centres of keys that may be cut
