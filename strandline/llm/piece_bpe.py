@@ -29,7 +29,7 @@ BLANK = 0x2581
 LONG = 96
 _NONE = np.int64(0x7FFFFFFFFFFFFFFF)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_SHARE = float(1 << 64)
+_SHARE, _MASK = float(1 << 64), (1 << 64) - 1
 
 
 class PieceModel:
@@ -59,6 +59,7 @@ class PieceModel:
         order = sorted(normal.values(), key=lambda i: (-spec.pieces[i].score, i))
         self.rank = np.zeros(self.size, np.int64)
         self.rank[order] = np.arange(len(order))
+        self.ranks = self.rank.tolist()
         self.char = np.arange(0x110000, dtype=np.int64) + self.size  # no piece: the code point above all ids
         pairs = {}
         for piece, i in normal.items():
@@ -121,9 +122,19 @@ def _skip(key: np.ndarray, left: np.ndarray, middle: np.ndarray, piece: np.ndarr
     return h < np.uint64(min(rate * _SHARE, _SHARE - 2048))
 
 
+def _mix_one(x: int) -> int:
+    """mix of one value, in plain integers."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return x ^ (x >> 31)
+
+
 def agenda(model: PieceModel, points: list[int], key: int, rate: float) -> list[tuple[int, int]]:
     """(first character, symbol) of the pieces of one chunk by an agenda of its own."""
-    symbol = [int(model.char[p]) for p in points]
+    symbol = model.char[points].tolist()
+    rank, pairs, width = model.ranks, model.pairs, model.size
+    border = int(np.uint64(min(rate * _SHARE, _SHARE - 2048))) if rate > 0 else 0
+    a, b, c = int(_A), int(_B), int(_C)
     n = len(symbol)
     before, after, size = list(range(-1, n - 1)), [*range(1, n), -1], [1] * n
     heap: list[tuple[int, int, int, int, int]] = []
@@ -131,15 +142,15 @@ def agenda(model: PieceModel, points: list[int], key: int, rate: float) -> list[
     def push(i: int) -> None:
         j = after[i]
         if j >= 0:
-            piece = model.pairs.get(symbol[i] * model.size + symbol[j]) if max(symbol[i], symbol[j]) < model.size else None
-            if piece is not None and not _skip(np.array([key], np.uint64), np.array([i]), np.array([j]), np.array([piece]), rate)[0]:
-                heapq.heappush(heap, (int(model.rank[piece]), i, j, size[i] + size[j], piece))
+            piece = pairs.get(symbol[i] * width + symbol[j]) if symbol[i] < width and symbol[j] < width else None
+            if piece is not None and (not border or _mix_one((key + i * a + j * b + piece * c) & _MASK) >= border):
+                heapq.heappush(heap, (rank[piece], i, j, size[i] + size[j], piece))
 
     for i in range(n):
         push(i)
     while heap:
         _, i, j, length, piece = heapq.heappop(heap)
-        if after[i] != j or not size[i] or not size[j] or size[i] + size[j] != length or model.pairs.get(symbol[i] * model.size + symbol[j]) != piece:
+        if after[i] != j or not size[i] or not size[j] or size[i] + size[j] != length or pairs.get(symbol[i] * width + symbol[j]) != piece:
             continue
         symbol[i], size[i], size[j] = piece, length, 0
         after[i] = after[j]
@@ -247,7 +258,8 @@ def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17,
     """One row per row of docs: doc_id, ids, lossless (the ids decode to the text).
 
     digests: n_bytes, n_tokens and ids_crc32 (unsigned, of little-endian unsigned 32-bit ids) in place
-    of ids. A null text counts as empty and has no ids. Other columns are not read.
+    of ids. A null text counts as empty and has no ids. Rows of one id and text get the same ids; rows
+    that repeat an id with other texts are encoded each. Other columns are not read.
     """
     kept = "n_bytes long, n_tokens long, ids_crc32 long" if digests else "ids array<int>"
 

@@ -39,7 +39,7 @@ def op5_hierarchical_packing(spark, sf_dir):
 
 
 def op2_piece_dropout(spark, sf_dir):
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=17, digests=True)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=17)
 
 
 QUERIES = {

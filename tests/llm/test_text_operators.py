@@ -476,6 +476,54 @@ def test_arrays_take_the_agendas_merges(model, rate):
         assert model.expand(np.array(want)).tolist() == ids.tolist()
 
 
+def plain_dropout(model, text, doc_id, seed, rate):
+    """Ids of a text from the model file alone: the whole chunk is searched for its best candidate before every merge."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        spec.ParseFromString(f.read())
+    ids = {p.piece: i for i, p in enumerate(spec.pieces)}
+    score = {p.piece: p.score for p in spec.pieces if p.type == p.NORMAL}
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    a, b, c = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    text_key = mix((doc_id * a + mix(seed + 1)) & full)
+    out = []
+    for m in re.finditer(" *[^ ]+| +$", " " + text) if text else ():
+        key = mix((text_key + m.start() * b) & full)
+        parts = [x.replace(" ", "▁") for x in m.group()]
+        starts = list(range(len(parts)))
+        literal = {i for i, x in enumerate(m.group()) if x == "▁"}  # these are no blanks and merge with nothing
+        while True:
+            found = []
+            for i in range(len(parts) - 1):
+                joined = parts[i] + parts[i + 1]
+                if joined in score and parts[i] in score and parts[i + 1] in score and not literal & {starts[i], starts[i + 1]}:
+                    if rate == 0 or mix((key + starts[i] * a + starts[i + 1] * b + ids[joined] * c) & full) >= rate * 2.0**64:
+                        found.append((-score[joined], ids[joined], i))
+            if not found:
+                break
+            _, _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del starts[i + 1]
+        for at, x in zip(starts, parts, strict=True):
+            out += [ids[x]] if x in score and at not in literal else [ids[f"<0x{v:02X}>"] for v in x.encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_dropout_equals_a_plain_search(model, texts, rate):
+    own = [t for t in texts.values() if t and len(t) < 400][:25] + ["x" * 40 + "tionthering" * 12, "überholt " * 9 + "日本語のテキスト" * 20, "a ▁b  c ▁▁", "", "  "]
+    got = piece_bpe.encode_many(model, own, piece_bpe._keys(list(range(len(own))), 17), rate)
+    assert [x.tolist() for x in got] == [plain_dropout(model, t, i, 17, rate) for i, t in enumerate(own)]
+
+
 def test_encode_and_decode_frames(edge, nothing):
     path = public_tokenizers.path("piece_bpe_32k.model")
     encoded = piece_bpe.encode(edge, path)
