@@ -18,10 +18,10 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import join_sized
+from strandline.llm.common import join_sized, keep_only
 from strandline.session import materialize, scratch_path
 
 #: Fixed values of the formats.
@@ -87,7 +87,10 @@ def parse(record: bytes) -> dict:
     http, found, payload = block.partition(b"\r\n\r\n")
     if not found:
         raise ValueError("no HTTP header")
-    declared = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    declared = [int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    if len(declared) != 1:
+        raise ValueError(f"{len(declared)} Content-Length lines in the HTTP header")
+    declared = declared[0]
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     kind = fields["warc-type"]
     if kind == "response" and (len(payload) != declared or sha1(payload).hexdigest() != digest):
@@ -159,6 +162,12 @@ def frames(stream, chunk: int = 1 << 18) -> Iterator[bytes]:
         raise ValueError("the last frame is cut off")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark itself resolves it, so that archives and tables lie on one file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         uri = "file://" + "/" + uri[5:].lstrip("/")
@@ -243,21 +252,24 @@ def round_trip(pages: DataFrame, least_bytes: int = 1000, sample_rows: int = 400
 
     The payload is the html in UTF-8; null is empty. Of equal payloads of least_bytes or more, the row
     with the largest id is the response and the others revisit it. Smaller payloads, null ids and rows
-    that repeat the winner's id are responses. The dictionary is trained on at most sample_rows rows,
-    those with the smallest hashed ids. Other columns aren't read.
+    that repeat the winner's id are responses. The dictionary is trained on the first 20,000 characters
+    of at most sample_rows rows, those with the smallest hashed ids; it changes sizes alone. Other
+    columns aren't read. Verdicts are joined without payloads; of these only responses are written, once
+    the revisits' keys, where they are few enough, have been broadcast (``keep_only``).
     """
     spark = pages.sparkSession
-    folder = scratch_path(spark, "warc")
+    folder = qualified(spark, scratch_path(spark, "warc"))
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    keyed = base.select("page_id", "url", payload.alias("payload")).select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("__same"))
+    keyed = base.select("page_id", "url", payload.alias("payload")).select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
     total = base.select("page_id").count()
-    groups = keyed.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("__same").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies"))
-    groups = materialize(groups.where("copies > 1"), "payloads")
-    named = join_sized(keyed.select("page_id", "__same", "size", "digest"), groups, "__same", "copies", total, "page_id")
-    later = materialize(named.where((F.col("size") >= least_bytes) & (F.col("page_id") < F.col("response"))).select(F.col("page_id").alias("__id"), F.col("__same").alias("__sum"), "response").distinct(), "revisits")
-    marked = keyed.join(later, (F.col("page_id") == F.col("__id")) & (F.col("__same") == F.col("__sum")), "left")
-    records = marked.select("page_id", "url", F.when(F.col("response").isNull(), F.col("payload")).alias("payload"), "digest", "size", F.col("response").alias("refers_to"))
+    large = keyed.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "url", "digest", "size", F.sha2("payload", 256).alias("same"))
+    groups = materialize(large.groupBy("same").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "payloads")
+    named = join_sized(large, groups, "same", "copies", total, "page_id", "inner")
+    revisits = materialize(named.where("page_id < response").select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "digest", "size", F.col("response").alias("refers_to")), "revisits")
+    told = revisits.select("page_id", F.unhex("digest").alias("digest")).distinct()
+    responses = keep_only(keyed, {"page_id": F.when(F.col("size") >= least_bytes, F.col("page_id")), "digest": F.unhex("digest")}, told)
+    records = responses.withColumn("refers_to", F.lit(None).cast("long")).union(revisits)
     trained = dictionary(_samples(base, sample_rows))
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     manifest = materialize(write_archives(records, folder, trained, date), "manifest")

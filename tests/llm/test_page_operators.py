@@ -224,6 +224,13 @@ def test_damage_is_refused():
     with pytest.raises(ValueError, match="no Zstandard frame"):
         list(warc.frames(io.BytesIO(raw + b"junkjunk")))
     record = _record()
+    http = b"Content-Type: text/html; charset=utf-8\r\nContent-Length: 8"
+    short = record.replace(http, b"Content-Type: text/html; charset=utf-8")
+    block = short.split(b"\r\n\r\n", 1)[1][:-4]
+    old = record.split(b"\r\n\r\n", 1)[1][:-4]
+    short = short.replace(sha1(old).hexdigest().encode(), sha1(block).hexdigest().encode()).replace(b"Content-Length: %d\r\n\r\nHTTP" % len(old), b"Content-Length: %d\r\n\r\nHTTP" % len(block))
+    with pytest.raises(ValueError, match="0 Content-Length lines"):
+        warc.parse(short)
     for old, new, why in ((b"WARC/1.1", b"WARC/9", "not a"), (b"<p>x", b"<p>y", "digest"), (b"WARC-Date", b"WARC-Type", "header line"), (b"\r\n\r\n<p>", b"\r\n\r\n<p><b>", "block of"), (b"WARC-Record-ID: <urn:x-page:1>\r\n", b"", "no warc-record-id")):
         with pytest.raises(ValueError, match=why):
             warc.parse(record.replace(old, new))
