@@ -19,8 +19,9 @@
    or refuted on full sets, so no link is lost to the stars, and no pairs are emitted.
 5. Components are found by rounds of large-star and small-star on tables; nothing is collected.
 
-Joins on band keys, centres, hubs, shingles and clusters go by the known size of the key: heavy keys are
-broadcast or dealt out in parts (``join_sized``, ``_confirmed``), as one may hold a third of all rows.
+One key may hold a third of all rows. Buckets are read from ranges of (key, row), which cut hot keys
+(``_starred``); joins on centres, hubs, shingles and clusters go by the known size of the key: heavy ones
+are broadcast or dealt out in parts (``join_sized``, ``_confirmed``).
 A pair at the threshold shares no bucket with a probability of about 1e-8 (``bands_for``).
 """
 
@@ -176,20 +177,75 @@ def _confirmed(edges: DataFrame, shingles: DataFrame, percent: int, part: int =
     return rows.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members (key, row, n_shingles) with the label of each row's component; a row without links is its own."""
-    return members.join(labels, F.col("row") == F.col("node"), "left").select("key", "row", "n_shingles", F.coalesce("component", "row").alias("label"))
+_MEMBER = "key long, row long, n_shingles long, label long"
+_STARRED = f"{_MEMBER}, centre long, n_centre long, centre_label long, border boolean"
 
 
-def _open(labelled: DataFrame, tag: str) -> DataFrame:
-    """The members of the buckets with two components or more, with the centre, its size and label, and the smallest size."""
-    labelled = materialize(labelled, tag)
-    facts = labelled.groupBy("key").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("smallest"), F.count(F.lit(1)).alias("members"),
-        F.min("row").alias("centre"), F.min_by("n_shingles", "row").alias("n_centre"), F.min_by("label", "row").alias("centre_label"),
-    )
-    facts = facts.where("lo <> hi").drop("lo", "hi")
-    return materialize(join_sized(labelled, facts, "key", "members", labelled.count(), "row", "inner"), tag)
+def _starred(members: DataFrame, turn: int = 0) -> DataFrame:
+    """members (key, row, n_shingles, label) of buckets with two labels or more, each with its star's centre.
+
+    Members are dealt out by ranges of (key, row), so a hot key is spread over as many tasks as its share
+    of the rows asks for, and a task reads a key's members one after the other. A key that may go on in
+    the next task (border) has a star in each: of its members all are kept, or, if they have one label,
+    the centre alone. Where a key isn't cut, its first member is the centre; where it is, turn chooses.
+    """
+    dealt = members.select("key", "row", "n_shingles", "label").repartitionByRange("key", "row").sortWithinPartitions("key", "row")
+    return dealt.mapInArrow(_runs(turn), _STARRED)
+
+
+def _runs(turn: int, most: int = 1 << 20):
+    names = [c.split()[0] for c in _STARRED.split(", ")]
+
+    def stars(rows: np.ndarray, first: bool, last: bool) -> pa.RecordBatch:
+        """rows (4 x n) of whole runs of keys; the first and the last may go on outside."""
+        key, row, size, label = rows
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(start, len(key)))
+        border = np.zeros(len(start), bool)
+        border[0], border[-1] = first, border[-1] | last if len(start) > 1 else first | last
+        many = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+        centre = start + np.where(border, np.minimum(turn, count - 1), 0)
+        own = np.repeat(centre, count)
+        keep = np.repeat(many, count) | np.repeat(border, count) & (own == np.arange(len(key)))
+        columns = [*rows, row[own], size[own], label[own], np.repeat(border, count)]
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, first = np.zeros((4, 0), np.int64), True
+        for batch in batches:
+            rows = np.concatenate([rest, np.stack([np.asarray(c, np.int64) for c in batch.columns])], 1)
+            if not rows.shape[1]:
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on
+            whole = cut == 0 and rows.shape[1] >= most
+            done, rest = (rows, rows[:, :0]) if whole else (rows[:, :cut], rows[:, cut:])
+            if done.shape[1]:
+                yield stars(done, first, whole)
+                first = whole
+        if rest.shape[1]:
+            yield stars(rest, first, True)
+
+    return run
+
+
+def _tops(starred: DataFrame) -> DataFrame:
+    """The centres of cut keys, with the first of them as their own centre; a task has two of them at most."""
+    tops = starred.where("border and row = centre").select("key", "row", "n_shingles", "label")
+    first = tops.groupBy("key").agg(F.min("row").alias("centre"), F.min_by("n_shingles", "row").alias("n_centre"), F.min_by("label", "row").alias("centre_label"))
+    return tops.join(first, "key")
+
+
+def _edges(starred: DataFrame, percent: int) -> DataFrame:
+    """The candidate edges a, b of the stars, and of the centres of cut keys among each other."""
+    both = starred.select("row", "n_shingles", "label", "centre", "n_centre", "centre_label").union(_tops(starred).select("row", "n_shingles", "label", "centre", "n_centre", "centre_label"))
+    return both.where("label <> centre_label").where(_sizes("n_shingles", "n_centre", percent)).select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct()
+
+
+def _open(starred: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """The stars of what is still open: a centre is settled with all others of its bucket, unless that was cut."""
+    rest = starred.where("border or row <> centre").select("key", "row", "n_shingles")
+    named = rest.join(labels, F.col("row") == F.col("node"), "left").select("key", "row", "n_shingles", F.coalesce("component", "row").alias("label"))
+    return materialize(_starred(named, turn), "open")
 
 
 def _reachable(still: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -197,16 +253,15 @@ def _reachable(still: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
 
     A link to a partner in another component can only share shingles that some other component has
     too. Counting those bounds what a member can share; the partner has at least the size that the
-    threshold asks for, and the bucket's smallest one. In a group of copies that differ from one
+    threshold asks for. In a group of copies that differ from one
     original by words of their own, this settles every member that is too far from the original.
     """
     own = shingles.join(still.select("row", "label").distinct(), "row")
     each = materialize(own.select("row", "label", "shingles").mapInArrow(_exploded, "row long, label long, shingle long"), "open_shingles")
     shared = each.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("shingle", "rows")
     reach = join_sized(each, shared, "shingle", "rows", each.count(), "row", "inner").groupBy("row").agg(F.count(F.lit(1)).alias("reach"))
-    partner = F.greatest(F.col("smallest"), F.expr(f"(n_shingles * {percent} + 99) div 100"))
-    able = still.join(reach, "row").where(F.col("reach") * (100 + percent) >= percent * (F.col("n_shingles") + partner))
-    return _open(able.select("key", "row", "n_shingles", "label"), "able")
+    able = still.join(reach, "row").where(F.col("reach") * (100 + percent) >= percent * (F.col("n_shingles") + F.expr(f"(n_shingles * {percent} + 99) div 100")))
+    return materialize(_starred(able), "able")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -261,13 +316,14 @@ def _block_links(percent: int):
     return run
 
 
-def _compared(still: DataFrame, shingles: DataFrame, percent: int, block_docs: int = 1000, block_shingles: int = 400_000) -> DataFrame:
+def _compared(still: DataFrame, shingles: DataFrame, percent: int, block_docs: int = 500, block_shingles: int = 300_000) -> DataFrame:
     """Links between components among the members of open buckets, by pairs of blocks of each cluster.
 
     A block holds about block_docs rows and block_shingles shingles, so a group has a bounded size;
     a cluster of n blocks sends each member to n groups.
     """
-    cluster = components(still.where("row <> centre").select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct())
+    pairs = still.select("row", "centre").union(_tops(still).select("row", "centre"))
+    cluster = components(pairs.where("row <> centre").select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct())
     members = still.select("row", "n_shingles", "label").distinct()
     placed = materialize(members.join(cluster, F.col("row") == F.col("node"), "left").select("row", "n_shingles", "label", F.coalesce("component", "row").alias("cluster")), "placed")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("long")
@@ -291,24 +347,22 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(labels), pa.array(np.concatenate(sets))], names=["row", "label", "shingle"])
 
 
-def _links(buckets: DataFrame, shingles: DataFrame, percent: int, star_rounds: int) -> DataFrame:
-    """node, component of every row with a link: of buckets (key, row, n_shingles, centre, n_centre) and the rows' sets."""
-    edges = buckets.where("row <> centre").where(_sizes("n_shingles", "n_centre", percent)).select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct()
-    links = materialize(_confirmed(edges, shingles, percent), "links")
+def _links(starred: DataFrame, shingles: DataFrame, percent: int, star_rounds: int) -> DataFrame:
+    """node, component of every row with a link, from the first stars and the rows' sets."""
+    links = materialize(_confirmed(_edges(starred, percent), shingles, percent), "links")
     labels = materialize(components(links), "labels")
-    still = buckets
-    for _ in range(star_rounds - 1):
-        still = _open(_labelled(still.where("row <> centre").select("key", "row", "n_shingles"), labels), "open")
-        edges = still.where("label <> centre_label").where(_sizes("n_shingles", "n_centre", percent)).select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct()
-        more = materialize(_confirmed(edges, shingles, percent), "more")
+    for turn in range(1, star_rounds + 1):
+        starred = _open(starred, labels, turn)
+        if turn == star_rounds or not starred.limit(1).count():
+            break
+        more = materialize(_confirmed(_edges(starred, percent), shingles, percent), "more")
         if more.limit(1).count():
             links = links.union(more)
             labels = materialize(components(links), "labels")
-    still = _open(_labelled(still.where("row <> centre").select("key", "row", "n_shingles"), labels), "open")
-    if still.limit(1).count():
-        still = _reachable(still, shingles, percent)
-    if still.limit(1).count():
-        labels = materialize(components(links.union(materialize(_compared(still, shingles, percent), "more"))), "labels")
+    if starred.limit(1).count():
+        starred = _reachable(starred, shingles, percent)
+    if starred.limit(1).count():
+        labels = materialize(components(links.union(materialize(_compared(starred, shingles, percent), "more"))), "labels")
     return labels
 
 
@@ -328,16 +382,14 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
 
     reps = keep_only(signed.where("set_digest is not null"), {"row": F.col("row")}, named.where("row <> node").select("row"))
     exploded = reps.select("row", "n_shingles", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("row").alias("centre"), F.min_by("n_shingles", "row").alias("n_centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = join_sized(exploded, shared, "key", "members", total * bands, "row", "inner")
-    buckets = materialize(buckets.select("key", "row", "n_shingles", "centre", "n_centre"), "buckets")
+    starred = materialize(_starred(exploded.withColumn("label", F.col("row"))), "buckets")
 
-    involved = materialize(named.join(buckets.select(F.col("row").alias("__row")).distinct(), F.col("row") == F.col("__row"), "left_semi").select("row", "doc_id", "set_digest"), "involved")
+    involved = materialize(named.join(starred.select(F.col("row").alias("__row")).distinct(), F.col("row") == F.col("__row"), "left_semi").select("row", "doc_id", "set_digest"), "involved")
     no_id = F.lit(-(1 << 63)).cast("long")
     own_text = only(texts, {"id": F.coalesce("doc_id", no_id)}, involved.select(F.coalesce("doc_id", no_id).alias("id")).distinct())
     sets_of = own_text.select(F.lit(0), "text").mapInArrow(_shingled(k), "set_digest string, shingles binary")
     shingles = materialize(sets_of.join(involved.select("row", F.col("set_digest").alias("__digest")), F.col("set_digest") == F.col("__digest")).dropDuplicates(["set_digest"]).select("row", "shingles"), "shingles")
-    labels = _links(buckets, shingles, percent, star_rounds)
+    labels = _links(starred, shingles, percent, star_rounds)
 
     facts_of = named.where("row = node").select(F.col("row").alias("__row"), "least_id", "size")
     labels = labels.union(labels.select("component", "component").distinct())  # the smallest node has no row of its own
