@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,17 @@ def test_near_groups_edges(edge, nothing):
     assert near_dedup.near_groups(nothing, 3, 85).count() == 0
 
 
+def test_near_verdicts_are_of_rows(spark):
+    text, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, text), (5, text), (5, other), (7, None), (None, other), (None, "alone here"), (8, ""), (9, other), (9, other)]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, `__doc_id` int, `__text_hash` int")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(frame).collect())
+    assert got == {(1, 1, True): 1, (5, 1, False): 1, (5, 5, True): 1, (7, 7, True): 1, (None, 5, False): 1, (None, None, True): 1, (8, 8, True): 1, (9, 5, False): 2}
+    out = near_dedup.drop_near(frame)
+    assert out.columns == frame.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == {(1, text): 1, (5, other): 1, (7, None): 1, (None, other): 1, (None, "alone here"): 1, (8, ""): 1}
+
+
 def test_stars_lose_no_link(spark):
     """Mutants of one base: most are linked with the base alone, whose id isn't the smallest."""
     rng = np.random.default_rng(3)
@@ -206,6 +218,10 @@ def test_rules_count_as_brute_force(edge, docs):
             assert r.base_failed == failed and not (failed and r.kept)
 
 
+def test_rules_on_nothing(nothing):
+    assert quality_rules.quality_rules(nothing).count() == 0
+
+
 def test_rules_have_no_user_functions(docs):
     plan = quality_rules.quality_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
@@ -553,6 +569,68 @@ def test_quality_edges(spark, sf, edge, nothing):
     assert {r.score for r in quality_model.quality_scores(edge, none).collect()} == {0.5}
 
 
+def plain_statistics(text):
+    """The features of a text by regular expressions and counters."""
+    from math import log, log1p
+
+    def odds(part, whole):
+        return log((part + 0.5) / (max(whole - part, 0) + 0.5))
+
+    raw = (text or "").encode()
+    w = [m.encode() for m in WORD.findall(text or "")]
+    windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else Counter([tuple(w)] if w else [])
+    lines = Counter(x for x in raw.split(b"\n") if x)
+    counts = [sum(b in kind for b in raw) for kind in (b"#*$%&<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!", b"|", b"0123456789")]
+    return [
+        log1p(len(w)), log1p(sum(map(len, w)) / max(len(w), 1)), *(odds(c, len(raw)) for c in counts), odds(sum(a == b for a, b in zip(w, w[1:], strict=False)), len(w)),
+        odds(sum(windows.values()) - len(windows), sum(windows.values())), odds(sum(lines.values()) - len(lines), sum(lines.values())), log1p(len(set(w))) - 0.8 * log1p(len(w)),
+    ]
+
+
+def test_statistics_equal_plain_counts(docs):
+    own = [r.text for r in docs.limit(60).collect()] + [r[1] for r in ROWS if r[0] < 10] + ["a a a b\n\nA | B | C!!\nA | B | C!!", "  é #1 \x00"]
+    got = quality_model._columns(pa.array(own, pa.string()))
+    assert np.allclose(got, [plain_statistics(t) for t in own], atol=1e-9)
+
+
+def test_scores_equal_plain_densities(spark, docs):
+    """Moments, shrinkage, log-densities and the posterior from the texts, with an inverse and a determinant in place of Cholesky factors."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    mark = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.collect()
+    x = {r.doc_id: np.array(plain_statistics(r.text)) for r in rows}
+    by = [np.array([x[i] for i, q in mark.items() if q == k and i in x and crc32(str(i).encode()) % 4 != 2]) for k in (0, 1)]
+    n = [len(b) for b in by]
+    covs = [np.cov(b.T, bias=True) for b in by]
+    pooled = (covs[0] * n[0] + covs[1] * n[1]) / sum(n)
+    log = {}
+    for k in (0, 1):
+        c = 0.85 * covs[k] + 0.15 * pooled
+        c = 0.85 * c + 0.15 * np.diag(np.diag(c)) + 0.2 * np.eye(len(c))
+        for i, v in x.items():
+            d = v - by[k].mean(0)
+            log[i, k] = np.log(n[k] / sum(n)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * d @ np.linalg.inv(c) @ d
+    got = {r.doc_id: r.score for r in quality_model.quality_scores(docs, labels).collect()}
+    assert all(abs(got[i] - 1 / (1 + np.exp(np.clip(log[i, 0] - log[i, 1], -700, 700)))) < 1e-6 for i in x)
+
+
+def test_conflicting_labels_and_row_verdicts(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    upset = labels.union(labels.withColumn("quality", F.lit(1))).union(labels.limit(3).withColumn("quality", F.lit(None).cast("int")))
+    one, two = ({r.doc_id: r.score for r in quality_model.quality_scores(docs, x).collect()} for x in (labels, upset))
+    assert all(abs(one[i] - two[i]) < 1e-9 for i in one)  # of conflicting labels the smallest counts
+    rows = quality_model.quality_scores(docs, labels).where("predicted = 1").limit(1).collect()
+    good = docs.where(F.col("doc_id") == rows[0].doc_id).first().text
+    bad = "!!! ### buy !!! " * 60
+    rows = [(90_000_001, good, 1), (90_000_001, bad, 1), (None, good, 1), (None, bad, 1), (None, None, 1), (90_000_002, "", 1)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, `__id` int").unionByName(docs.select("doc_id", "text", F.lit(0).alias("__id")))
+    scores = sorted((r.doc_id or 0, r.score) for r in quality_model.quality_scores(both, labels).where("doc_id is null or doc_id > 90000000").collect())
+    assert len(scores) == 6 and scores[-1][1] in {s for i, s in scores if i == 0}  # null is empty
+    kept = Counter((r.doc_id, r.text) for r in quality_model.drop_poor(both, labels).where("`__id` = 1 and text <> ''").collect())
+    assert kept == {(90_000_001, good): 1, (None, good): 1}
+    assert np.array_equal(*quality_model._columns(pa.array([None, ""], pa.string())))
+
+
 def test_discriminant_separates_gaussians():
     rng = np.random.default_rng(1)
     x = [rng.normal(m, s, (400, 3)) for m, s in ((0, 1), (2, 0.5))]
