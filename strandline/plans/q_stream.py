@@ -35,20 +35,26 @@ def debounce_edges(spark, sf):
     return held.select("user_id", "n", "held", F.col("held").bitwiseAND(F.bitwise_not(before)).alias("pressed"), before.bitwiseAND(F.bitwise_not(F.col("held"))).alias("released"))
 
 
-@query("key_machine")
+_DIRECTION_SQL = "CASE (held & 48) WHEN 16 THEN 16 WHEN 32 THEN 32 ELSE 0 END + CASE (held & 192) WHEN 64 THEN 64 WHEN 128 THEN 128 ELSE 0 END"
+_ACTION_SQL = "CASE WHEN (pressed & 9) <> 0 THEN 'pause_toggle' WHEN (pressed & 272) <> 0 THEN 'next_track' WHEN (pressed & 544) <> 0 THEN 'previous_track' WHEN (pressed & 128) <> 0 THEN 'restart_track' END"
+
+
+@query(
+    "key_machine",
+    f"""WITH c AS (SELECT user_id, n, held, (held & 779) = 779 AS chord, coalesce(lag(held) OVER (PARTITION BY user_id ORDER BY n), 0) AS before FROM ({_HELD_SQL})),
+        d AS (SELECT *, CASE WHEN chord THEN 0 ELSE {_DIRECTION_SQL} END AS way FROM c), t AS (SELECT *, way <> coalesce(lag(way) OVER (PARTITION BY user_id ORDER BY n), 0) AS turned FROM d),
+        g AS (SELECT *, sum(turned::INT) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM t), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY n) - 1 AS place FROM g),
+        e AS (SELECT user_id, n, held, CASE WHEN chord THEN 0 ELSE held & ~before END AS pressed, CASE WHEN chord THEN 0 ELSE before & ~held END AS released, CASE WHEN place >= 24 AND (place - 24) % 8 = 0 THEN way ELSE 0 END AS repeated FROM p)
+        SELECT user_id AS key, n AS seq, held, pressed, released, repeated, {_ACTION_SQL} AS action FROM e""",
+)
 def key_machine(spark, sf):
-    """The whole key machine with auto-repeat; a recursion, held against the window form and brute force in the tests."""
+    """The whole key machine: debounce, edges, auto-repeat by the place in a direction's run, and actions, as windows."""
     return batch(masks(spark, sf).select(F.col("user_id").alias("key"), F.col("n").alias("seq"), "mask"), "keys")
 
 
 @query("key_actions", "SELECT event_id, CASE WHEN event_id % 1024 & 9 <> 0 THEN 'pause_toggle' WHEN event_id % 1024 & 272 <> 0 THEN 'next_track' WHEN event_id % 1024 & 544 <> 0 THEN 'previous_track' WHEN event_id % 1024 & 128 <> 0 THEN 'restart_track' END AS action FROM events")
 def key_actions(spark, sf):
-    m = F.col("event_id") % 1024
-
-    def on(mask):
-        return m.bitwiseAND(F.lit(mask).cast("long")) != 0
-
-    return table(spark, sf, "events").select("event_id", F.when(on(M.START | M.A), "pause_toggle").when(on(M.RIGHT | M.R), "next_track").when(on(M.LEFT | M.L), "previous_track").when(on(M.DOWN), "restart_track").alias("action"))
+    return table(spark, sf, "events").select("event_id", M.action_of(F.col("event_id") % 1024).alias("action"))
 
 
 _CHUNK_SQL = """SELECT hour, ready, CASE WHEN ready >= 60 THEN 'full' WHEN hour >= (SELECT max(hour) FROM h) - 2 AND ready > 0 THEN 'tail' ELSE 'starved' END AS verdict, CASE WHEN ready >= 60 THEN 60 WHEN hour >= (SELECT max(hour) FROM h) - 2 THEN ready ELSE 0 END AS "real" FROM h"""
@@ -90,7 +96,17 @@ def starved_runs(spark, sf):
     return r.groupBy("user_id").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("runs"))
 
 
-@query("ring_machine")
+_RING_SQL = """WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_type WHEN 'click' THEN 'take' WHEN 'purchase' THEN 'truncate' ELSE 'push' END AS op,
+           CASE WHEN event_type = 'click' THEN 560 ELSE round(value)::BIGINT * 20 END::BIGINT AS n FROM events),
+       r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0::BIGINT AS ready, NULL::VARCHAR AS verdict, 0::BIGINT AS moved, false AS refused FROM (SELECT DISTINCT user_id FROM events)
+             UNION ALL
+             SELECT o.user_id, o.i, o.event_id, CASE WHEN op = 'push' AND ready + n <= 20160 THEN ready + n WHEN op = 'truncate' THEN 0 WHEN op = 'take' AND ready >= n THEN ready - n ELSE ready END,
+                    CASE WHEN op = 'take' THEN CASE WHEN ready >= n THEN 'full' ELSE 'starved' END END, CASE WHEN op = 'push' AND ready + n <= 20160 THEN n WHEN op = 'truncate' THEN ready WHEN op = 'take' AND ready >= n THEN n ELSE 0 END,
+                    op = 'push' AND ready + n > 20160 FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+       SELECT user_id AS key, event_id AS seq, verdict, moved AS "real", ready, refused FROM r WHERE i > 0"""
+
+
+@query("ring_machine", _RING_SQL)
 def ring_machine(spark, sf):
     """Pushes and takes of each user through a bounded ring."""
     e = table(spark, sf, "events")
@@ -98,9 +114,28 @@ def ring_machine(spark, sf):
     return batch(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.when(op == "take", M.CHUNK).otherwise(F.round("value") * 20).cast("long").alias("n")), "ring")
 
 
-@query("transport_machine")
+_COMMANDS = ("period", "toggle", "period", "period", "skip", "period", "cover", "toggle_dry", "filled", "period")
+_TRANSPORT_SQL = f"""WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, {list(_COMMANDS)!r}[event_id % 10 + 1] AS command FROM events),
+       r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS command, NULL::VARCHAR AS step, 'playing' AS state, 256 AS level, 0 AS slope, 0 AS wait, false AS silent FROM (SELECT DISTINCT user_id FROM events)
+             UNION ALL
+             SELECT user_id, i, event_id, command, step, next, CASE WHEN next = 'repriming' AND state = 'skipping' THEN 0 ELSE level END,
+                    CASE WHEN command <> 'period' AND next IN ('pausing', 'skipping') AND next <> state THEN -1 WHEN command <> 'period' AND next = 'resuming' AND next <> state THEN 1 WHEN next = 'repriming' AND state = 'skipping' THEN 0 ELSE slope END,
+                    CASE WHEN next = 'repriming' AND state = 'skipping' THEN 2 WHEN command <> 'period' AND next = 'resuming' AND next <> state THEN 0 ELSE wait END, silent AND next = state
+             FROM (SELECT *, CASE WHEN command IN ('toggle', 'toggle_dry') AND state = 'playing' THEN 'pausing' WHEN command = 'toggle' AND state = 'paused' THEN 'resuming' WHEN command = 'toggle_dry' AND state = 'paused' THEN 'buffering'
+                                  WHEN command = 'skip' AND state = 'playing' THEN 'skipping' WHEN command = 'filled' AND state = 'buffering' THEN 'resuming' WHEN command = 'cover' AND state = 'skipping' THEN 'repriming'
+                                  WHEN command = 'period' AND state = 'pausing' AND level = 0 AND silent THEN 'paused' WHEN command = 'period' AND state IN ('resuming', 'repriming') AND level = 256 THEN 'playing' ELSE state END AS next,
+                             CASE WHEN command IN ('toggle', 'toggle_dry', 'skip') AND state = 'playing' THEN 'fade_out' WHEN command = 'toggle' AND state = 'paused' OR command = 'filled' AND state = 'buffering' THEN 'prime'
+                                  WHEN command = 'toggle_dry' AND state = 'paused' THEN 'buffer' WHEN command = 'cover' AND state = 'skipping' THEN 'covered' WHEN command = 'period' AND level = 0 AND silent AND state = 'pausing' THEN 'freeze'
+                                  WHEN command = 'period' AND level = 0 AND silent AND state = 'skipping' THEN 'skip_hand_off' WHEN command IN ('period', 'filled') THEN 'idle' ELSE 'ignored' END AS step
+                   FROM (SELECT o.user_id, o.i, o.event_id, o.command, state, CASE WHEN o.command = 'period' THEN greatest(0, least(256, level + slope * 560)) ELSE level END AS level,
+                                CASE WHEN o.command <> 'period' THEN slope WHEN wait = 1 THEN 1 WHEN slope < 0 AND level + slope * 560 <= 0 THEN 0 ELSE slope END AS slope, CASE WHEN o.command = 'period' THEN greatest(0, wait - 1) ELSE wait END AS wait,
+                                silent OR o.command = 'period' AND level = 0 AND slope = 0 AS silent FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)))
+       SELECT user_id AS key, event_id AS seq, command, step, state, level::INT AS gain FROM r WHERE i > 0"""
+
+
+@query("transport_machine", _TRANSPORT_SQL)
 def transport_machine(spark, sf):
-    commands = F.array(*[F.lit(c) for c in ("period", "toggle", "period", "period", "skip", "period", "cover", "toggle_dry", "filled", "period")])
+    commands = F.array(*[F.lit(c) for c in _COMMANDS])
     return batch(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.get(commands, (F.col("event_id") % 10).cast("int")).alias("command")), "transport")
 
 

@@ -1,14 +1,23 @@
-"""State machines as plain classes: the same code runs in batch, in a stream and in the tests."""
+"""State machines as data: transition tables and closed forms, used by batches, streams and tests alike."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 #: The playback chain and the key machine.
 CHUNK, RING_CHUNKS, PREFILL_CHUNKS, UNITY = 560, 36, 16, 256
-DEBOUNCE, REPEAT_DELAY, REPEAT_INTERVAL = 2, 24, 8
+REPEAT_DELAY, REPEAT_INTERVAL = 24, 8
 A, B, SELECT, START, RIGHT, LEFT, UP, DOWN, R, L = (1 << i for i in range(10))
 MASK, SOFT_RESET = 1023, L | R | START | A | B
+ACTIONS = ((START | A, "pause_toggle"), (RIGHT | R, "next_track"), (LEFT | L, "previous_track"), (DOWN, "restart_track"))
+#: Directions that cancel each other.
+OPPOSITE = ((RIGHT, LEFT), (UP, DOWN))
+
+# ring
 
 
 @dataclass
@@ -61,137 +70,153 @@ class Ledger:
             self.underruns += 1
 
 
-def repeatable(held: int) -> int:
-    """Directions that are held without their opposite."""
-    out = 0
-    for one, other in ((RIGHT, LEFT), (UP, DOWN)):
-        if held & one and not held & other:
-            out |= one
-        if held & other and not held & one:
-            out |= other
-    return out
+# keys: what is held is the last mask seen twice running; a direction repeats by its place in its run
 
 
-@dataclass
-class Keys:
-    """Debounce, edges and auto-repeat of a button mask, one sample a frame; none leave during the reset chord."""
-
-    held: int = 0
-    candidate: int = 0
-    steady: int = 0
-    direction: int = 0
-    count: int = 0
-
-    def sample(self, raw: int) -> tuple[int, int, int, int]:
-        raw &= MASK
-        self.steady = self.steady + 1 if raw == self.candidate else 1
-        self.candidate = raw
-        before = self.held
-        if self.steady >= DEBOUNCE:
-            self.held = raw
-        chord = self.held & SOFT_RESET == SOFT_RESET
-        direction, repeated = 0 if chord else repeatable(self.held), 0
-        if direction != self.direction:
-            self.direction, self.count = direction, 0
-        elif direction:
-            self.count += 1
-            if self.count >= REPEAT_DELAY:
-                repeated, self.count = direction, REPEAT_DELAY - REPEAT_INTERVAL
-        if chord:
-            return self.held, 0, 0, 0
-        return self.held, self.held & ~before, before & ~self.held, repeated
+def _directions(held, both, either):
+    """Held directions without their opposites. both(x, mask) and either(conditions and values) fit columns or arrays."""
+    return sum(either(both(held, a) & ~both(held, b), a) + either(both(held, b) & ~both(held, a), b) for a, b in OPPOSITE)
+
+
+def repeats(place):
+    """If a direction repeats at this place (from 0) in its run: after the delay, then every interval."""
+    return (place >= REPEAT_DELAY) & ((place - REPEAT_DELAY) % REPEAT_INTERVAL == 0)
+
+
+def key_events(rows: DataFrame, key: str = "key", seq: str = "seq", mask: str = "mask") -> DataFrame:
+    """key, seq, held, pressed, released, repeated, action of masks, one a frame, in the order of seq: windows alone.
+
+    During the soft-reset chord nothing is pressed, released or repeated, but what is held goes on.
+    """
+    w = Window.partitionBy(key).orderBy(seq)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0)
+
+    def both(x: Column, m: int) -> Column:
+        return x.bitwiseAND(F.lit(m)) == m
+
+    seen = rows.select(key, seq, F.col(mask).bitwiseAND(F.lit(MASK)).cast("int").alias("__m"))
+    steady = F.when(F.col("__m") == F.lag("__m").over(w), F.col("__m"))
+    held = seen.withColumn("held", F.coalesce(F.last(steady, ignorenulls=True).over(so_far), zero))
+    chord = both(F.col("held"), SOFT_RESET)
+    way = F.when(chord, zero).otherwise(_directions(F.col("held"), both, lambda c, v: F.when(c, v).otherwise(0)))
+    known = held.select("*", F.coalesce(F.lag("held").over(w), zero).alias("__before"), chord.alias("__chord"), way.alias("__way"))
+    turned = known.withColumn("__turn", (F.col("__way") != F.coalesce(F.lag("__way").over(w), zero)).cast("int"))
+    numbered = turned.withColumn("__at", F.row_number().over(w)).withColumn("__since", F.max(F.when(F.col("__turn") == 1, F.col("__at"))).over(so_far))
+    place = F.col("__at") - F.col("__since")
+    now, before = F.col("held"), F.col("__before")
+
+    def quiet(value: Column) -> Column:
+        return F.when(F.col("__chord"), zero).otherwise(value).cast("int")
+
+    out = numbered.select(
+        key, seq, "held", quiet(now.bitwiseAND(F.bitwise_not(before))).alias("pressed"), quiet(before.bitwiseAND(F.bitwise_not(now))).alias("released"),
+        F.when((F.col("__way") != 0) & repeats(place), F.col("__way")).otherwise(0).cast("int").alias("repeated"),
+    )
+    return out.withColumn("action", action_of(F.col("pressed")))
+
+
+def action_of(pressed: Column) -> Column:
+    """The action of the first of ACTIONS that has a pressed key."""
+    out = F.lit(None).cast("string")
+    for mask, name in reversed(ACTIONS):
+        out = F.when(pressed.cast("long").bitwiseAND(F.lit(mask).cast("long")) != 0, name).otherwise(out)
+    return out
 
 
 def action(pressed: int) -> str | None:
-    for mask, name in ((START | A, "pause_toggle"), (RIGHT | R, "next_track"), (LEFT | L, "previous_track"), (DOWN, "restart_track")):
-        if pressed & mask:
-            return name
-    return None
+    return next((name for mask, name in ACTIONS if pressed & mask), None)
 
 
-@dataclass
+#: What goes from one micro-batch to the next: the last mask (-1: none yet), what was held, the direction, its place.
+KEYS_START = (-1, 0, 0, 0)
+
+
+def key_arrays(masks: np.ndarray, carried: tuple[int, int, int, int] = KEYS_START) -> tuple[np.ndarray, tuple[int, int, int, int]]:
+    """held, pressed, released, repeated (4 x n) of one key's masks after what was carried, and what to carry on."""
+    last, held_before, way_before, place_before = carried
+    m = np.asarray(masks, np.int64) & MASK
+    if not len(m):
+        return np.zeros((4, 0), np.int64), carried
+    steady = m == np.append(last, m[:-1])
+    source = np.maximum.accumulate(np.where(steady, np.arange(len(m)), -1))
+    held = np.where(source >= 0, m[source], held_before)
+    before = np.append(held_before, held[:-1])
+    chord = held & SOFT_RESET == SOFT_RESET
+    way = np.where(chord, 0, _directions(held, lambda x, k: x & k == k, lambda c, v: np.where(c, v, 0)))
+    turn = way != np.append(way_before, way[:-1])
+    at = np.arange(len(m))
+    since = np.maximum.accumulate(np.where(turn, at, -1))
+    place = np.where(since >= 0, at - since, place_before + 1 + at)
+    out = np.stack([held, np.where(chord, 0, held & ~before), np.where(chord, 0, before & ~held), np.where((way != 0) & repeats(place), way, 0)])
+    return out, (int(m[-1]), int(held[-1]), int(way[-1]), int(place[-1]))
+
+
+# gain and transport
+
+
+@dataclass(frozen=True)
 class Gain:
-    """A linear ramp in [0, UNITY], one step a sample, that can be held at zero for some chunks first."""
+    """A linear ramp: level in [0, UNITY], slope a sample, chunks to wait at silence before it rises."""
 
-    k: int = UNITY
-    step: int = 0
-    hold: int = 0
+    level: int = UNITY
+    slope: int = 0
+    wait: int = 0
 
-    def fade_out(self) -> None:
-        self.step = -1
+    def down(self) -> Gain:
+        return Gain(self.level, -1, self.wait)
 
-    def fade_in(self, after: int = 0) -> None:
-        self.k, self.hold, self.step = (0, after, 0) if after else (self.k, 0, 1)
+    def up(self) -> Gain:
+        return Gain(self.level, 1, 0)
 
-    def apply(self, n: int = CHUNK) -> None:
-        covering = self.hold > 0
-        self.hold -= covering
-        self.k = max(0, min(UNITY, self.k + self.step * n))
-        if covering and not self.hold:
-            self.step = 1
-        if self.k == 0 and self.step < 0:
-            self.step = 0
+    def up_after(self, chunks: int) -> Gain:
+        return Gain(0, 0, chunks) if chunks else self.up()
 
+    def after(self, n: int = CHUNK) -> Gain:
+        """The ramp once n samples were scaled by it; a fall ends at silence, and a wait in a rise."""
+        level = min(max(self.level + self.slope * n, 0), UNITY)
+        slope = 1 if self.wait == 1 else 0 if level == 0 and self.slope < 0 else self.slope
+        return Gain(level, slope, max(self.wait - 1, 0))
 
-@dataclass
+    @property
+    def silent(self) -> bool:
+        return self.level == 0 and self.slope == 0
+
+
+#: state, event -> next state, step, what it does to the gain. A period is 'quiet' when the level is 0 and a whole
+#: chunk of silence was handed over in this state, and 'loud' at UNITY; what isn't listed stays and gives OTHERWISE.
+TRANSITIONS: dict[tuple[str, str], tuple[str, str, str | None]] = {
+    ("playing", "toggle"): ("pausing", "fade_out", "down"),
+    ("playing", "toggle_dry"): ("pausing", "fade_out", "down"),
+    ("playing", "skip"): ("skipping", "fade_out", "down"),
+    ("pausing", "quiet"): ("paused", "freeze", None),
+    ("paused", "toggle"): ("resuming", "prime", "up"),
+    ("paused", "toggle_dry"): ("buffering", "buffer", None),
+    ("buffering", "filled"): ("resuming", "prime", "up"),
+    ("skipping", "quiet"): ("skipping", "skip_hand_off", None),
+    ("skipping", "cover"): ("repriming", "covered", "cover"),
+    ("resuming", "loud"): ("playing", "idle", None),
+    ("repriming", "loud"): ("playing", "idle", None),
+}
+OTHERWISE = {"toggle": "ignored", "toggle_dry": "ignored", "skip": "ignored", "cover": "ignored", "filled": "idle", "quiet": "idle", "loud": "idle", "period": "idle"}
+COVER_CHUNKS = 2
+
+
+@dataclass(frozen=True)
 class Transport:
-    """Pause, resume, skip and refill. Commands in a transition are ignored."""
+    """Pause, resume, skip and refill, as a walk over TRANSITIONS."""
 
     state: str = "playing"
-    gain: Gain = field(default_factory=Gain)
-    served_silent: bool = False
-
-    def _to(self, state: str) -> None:
-        self.state, self.served_silent = state, False
-
-    def toggle(self, primable: bool = True) -> str:
-        if self.state == "playing":
-            self._to("pausing")
-            self.gain.fade_out()
-            return "fade_out"
-        if self.state == "paused" and primable:
-            self._to("resuming")
-            self.gain.fade_in()
-            return "prime"
-        if self.state == "paused":
-            self.state = "buffering"
-            return "buffer"
-        return "ignored"
-
-    def skip(self) -> str:
-        if self.state != "playing":
-            return "ignored"
-        self._to("skipping")
-        self.gain.fade_out()
-        return "fade_out"
-
-    def end_buffer(self) -> str:
-        if self.state != "buffering":
-            return "idle"
-        self._to("resuming")
-        self.gain.fade_in()
-        return "prime"
-
-    def begin_reprime(self, cover: int) -> bool:
-        if self.state != "skipping":
-            return False
-        self._to("repriming")
-        self.gain.fade_in(cover)
-        return True
-
-    def hand_off(self) -> None:
-        """A period's chunk is scaled and handed over; silence counts from the chunk after the ramp's."""
-        silent = self.gain.k == 0 and self.gain.step == 0
-        self.gain.apply()
-        self.served_silent = self.served_silent or silent
-
-    def tick(self) -> str:
-        quiet = self.gain.k == 0 and self.served_silent
-        if self.state == "pausing" and quiet:
-            self._to("paused")
-            return "freeze"
-        if self.state == "skipping" and quiet:
-            return "skip_hand_off"
-        if self.state in ("resuming", "repriming") and self.gain.k == UNITY:
-            self._to("playing")
-        return "idle"
+    gain: Gain = Gain()
+    heard_silence: bool = False
+
+    def on(self, event: str) -> tuple[Transport, str]:
+        """The machine after an event ('period' hands a chunk over first), and the step it takes."""
+        gain, silence = self.gain, self.heard_silence
+        if event == "period":
+            silence = silence or gain.silent
+            gain = gain.after()
+            event = "quiet" if gain.level == 0 and silence else "loud" if gain.level == UNITY else "period"
+        state, step, effect = TRANSITIONS.get((self.state, event), (self.state, OTHERWISE[event], None))
+        gain = {None: lambda: gain, "down": gain.down, "up": gain.up, "cover": lambda: gain.up_after(COVER_CHUNKS)}[effect]()
+        return Transport(state, gain, silence and state == self.state), step

@@ -1,8 +1,10 @@
-"""The machines over streams and, by the same functions, over batches.
+"""The machines over streams and, by the same steps, over batches.
 
-A stream's state is the machine's fields, kept per key in the state store; rows of a key are taken in
-the order of their sequence number within a micro-batch. Rows that arrive in a later micro-batch are
-later to the machine. With an idle time, state of keys that are gone ends after it.
+A batch deals rows out by key, sorts them and runs through a task's keys one after the other; only the
+current key's machine is in memory. Keys need no machine in a batch: they are windows. A stream's state
+is the machine's fields, kept per key in the state store; rows of a key are taken in the order of their
+sequence number within a micro-batch. Rows that arrive in a later micro-batch are later to the machine.
+With an idle time, state of keys that are gone ends after it.
 """
 
 from __future__ import annotations
@@ -11,99 +13,106 @@ from collections.abc import Callable, Iterator
 from dataclasses import astuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandline.streaming import machines as M
 
 KEY_OUT = "key long, seq long, held int, pressed int, released int, repeated int, action string"
-KEY_STATE = "held int, candidate int, steady int, direction int, count int"
+KEY_STATE = "mask int, held int, direction int, place int"
 RING_OUT = "key long, seq long, verdict string, real long, ready long, refused boolean"
 RING_STATE = "size long, pushed long, consumed long"
 TRANSPORT_OUT = "key long, seq long, command string, step string, state string, gain int"
-TRANSPORT_STATE = "state string, k int, gain_step int, hold int, served_silent boolean"
-
-
-def run_keys(machine: M.Keys, rows: pd.DataFrame) -> pd.DataFrame:
-    """rows: key, seq, mask in order."""
-    out = [(k, s, *(found := machine.sample(int(m))), M.action(found[1])) for k, s, m in zip(rows["key"], rows["seq"], rows["mask"], strict=True)]
-    return pd.DataFrame(out, columns=["key", "seq", "held", "pressed", "released", "repeated", "action"])
-
-
-def run_ring(ring: M.Ring, rows: pd.DataFrame) -> pd.DataFrame:
-    """rows: key, seq, op ('push', 'take', 'finish', 'truncate') and n in order."""
-    out = []
-    for k, s, op, n in zip(rows["key"], rows["seq"], rows["op"], rows["n"], strict=True):
-        verdict, real, refused = None, 0, False
-        if op == "push":
-            refused = not ring.push(int(n))
-            real = 0 if refused else int(n)
-        elif op == "truncate":
-            real = ring.truncate()
-        else:
-            verdict, real = ring.take(int(n), op == "finish")
-        out.append((k, s, verdict, real, ring.ready, refused))
-    return pd.DataFrame(out, columns=["key", "seq", "verdict", "real", "ready", "refused"])
-
-
-def run_transport(machine: M.Transport, rows: pd.DataFrame) -> pd.DataFrame:
-    """rows: key, seq, command ('toggle', 'toggle_dry', 'skip', 'filled', 'cover', 'period') in order."""
-    out = []
-    for k, s, command in zip(rows["key"], rows["seq"], rows["command"], strict=True):
-        if command == "period":
-            machine.hand_off()
-            step = machine.tick()
-        elif command == "skip":
-            step = machine.skip()
-        elif command == "filled":
-            step = machine.end_buffer()
-        elif command == "cover":
-            step = "covered" if machine.begin_reprime(2) else "ignored"
-        else:
-            step = machine.toggle(command == "toggle")
-        out.append((k, s, command, step, machine.state, machine.gain.k))
-    return pd.DataFrame(out, columns=["key", "seq", "command", "step", "state", "gain"])
+TRANSPORT_STATE = "state string, level int, slope int, wait int, heard_silence boolean"
 
 
-def _transport_state(machine: M.Transport) -> tuple:
-    return machine.state, machine.gain.k, machine.gain.step, machine.gain.hold, machine.served_silent
+def step_ring(ring: M.Ring, op: str, n: int) -> tuple[M.Ring, tuple]:
+    """op: 'push', 'take', 'finish' or 'truncate'."""
+    verdict, real, refused = None, 0, False
+    if op == "push":
+        refused = not ring.push(n)
+        real = 0 if refused else n
+    elif op == "truncate":
+        real = ring.truncate()
+    else:
+        verdict, real = ring.take(n, op == "finish")
+    return ring, (verdict, real, ring.ready, refused)
+
+
+def step_transport(machine: M.Transport, command: str) -> tuple[M.Transport, tuple]:
+    machine, step = machine.on(command)
+    return machine, (command, step, machine.state, machine.gain.level)
 
 
-def _transport_from(state: tuple | None) -> M.Transport:
-    if state is None:
-        return M.Transport()
-    return M.Transport(state[0], M.Gain(*state[1:4]), state[4])
+def _transport_state(machine: M.Transport) -> tuple:
+    return machine.state, machine.gain.level, machine.gain.slope, machine.gain.wait, machine.heard_silence
 
 
-#: By name: the step over rows, output, state, and the machine from and to its state.
-MACHINES: dict[str, tuple[Callable, str, str, Callable, Callable]] = {
-    "keys": (run_keys, KEY_OUT, KEY_STATE, lambda s: M.Keys(*s) if s else M.Keys(), astuple),
-    "ring": (run_ring, RING_OUT, RING_STATE, lambda s: M.Ring(*s) if s else M.Ring(), astuple),
-    "transport": (run_transport, TRANSPORT_OUT, TRANSPORT_STATE, _transport_from, _transport_state),
+#: By name: the inputs, the step, output, state, and the machine from and to its state.
+MACHINES: dict[str, tuple[tuple[str, ...], Callable, str, str, Callable, Callable]] = {
+    "ring": (("op", "n"), step_ring, RING_OUT, RING_STATE, lambda s: M.Ring(*s) if s else M.Ring(), astuple),
+    "transport": (("command",), step_transport, TRANSPORT_OUT, TRANSPORT_STATE, lambda s: M.Transport(s[0], M.Gain(*s[1:4]), s[4]) if s else M.Transport(), _transport_state),
 }
 
 
 def batch(rows: DataFrame, machine: str) -> DataFrame:
     """Every key's rows through a machine of its own. A key is one device's history, which is a sequence by nature."""
-    run, out, _, start, _ = MACHINES[machine]
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(start(None), pdf.sort_values("seq", kind="stable"))
-
-    return rows.groupBy("key").applyInPandas(group, out)
+    if machine == "keys":
+        return M.key_events(rows)
+    inputs, step, out, _, start, _ = MACHINES[machine]
+    names = [c.split()[0] for c in out.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    types = [kinds[c.split()[1]] for c in out.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = object(), None
+        for part in batches:
+            made = []
+            for key, seq, *values in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if key != last:
+                    last, own = key, start(None)
+                own, found = step(own, *values)
+                made.append((key, seq, *found))
+            columns = zip(*made, strict=True) if made else ([] for _ in names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    dealt = rows.select(F.col("key").cast("long"), F.col("seq").cast("long"), *inputs).repartition("key").sortWithinPartitions("key", "seq")
+    return dealt.mapInArrow(run, out)
+
+
+def _key_rows(carried: tuple, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+    found, carried = M.key_arrays(rows["mask"].to_numpy(), carried)
+    out = pd.DataFrame({"key": rows["key"], "seq": rows["seq"]})
+    for name, values in zip(("held", "pressed", "released", "repeated"), found, strict=True):
+        out[name] = values
+    out["action"] = [M.action(int(p)) for p in found[1]]
+    return out, carried
+
+
+def _machine_rows(machine: str, state: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+    inputs, step, out, _, start, state_of = MACHINES[machine]
+    own, made = start(state), []
+    for key, seq, *values in rows[["key", "seq", *inputs]].itertuples(index=False, name=None):
+        own, found = step(own, *values)
+        made.append((key, seq, *found))
+    return pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")]), state_of(own)
 
 
 def stream(rows: DataFrame, machine: str, idle_ms: int | None = None) -> DataFrame:
     """The same over a streaming DataFrame, in append mode. An idle time needs a trigger that keeps running."""
-    run, out, state_schema, start, state_of = MACHINES[machine]
+    out, state_schema = (KEY_OUT, KEY_STATE) if machine == "keys" else MACHINES[machine][2:4]
 
     def group(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        own = start(tuple(state.get) if state.exists else None)
-        yield run(own, pd.concat(list(pdfs)).sort_values("seq", kind="stable"))
-        state.update(tuple(state_of(own)))
+        rows = pd.concat(list(pdfs)).sort_values("seq", kind="stable")
+        before = tuple(state.get) if state.exists else None
+        found, after = _key_rows(before or M.KEYS_START, rows) if machine == "keys" else _machine_rows(machine, before, rows)
+        yield found
+        state.update(tuple(after))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
 

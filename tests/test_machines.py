@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from strandline.streaming import machines as M
@@ -18,43 +19,60 @@ def test_ring_takes_whole_pushes_and_never_counts_the_end_as_starved():
     assert ring.push(300) and ring.truncate() == 300 and ring.ready == 0
 
 
+def keys(masks):
+    """One key's events, fed mask by mask."""
+    carried, out = M.KEYS_START, []
+    for m in masks:
+        found, carried = M.key_arrays(np.array([m]), carried)
+        out.append(tuple(found[:, 0].tolist()))
+    return out
+
+
 def test_keys_debounce_edges_and_repeat():
-    keys = M.Keys()
-    rows = [keys.sample(m) for m in [M.A, 0, M.A, M.A, M.A, 0, 0]]
+    rows = keys([M.A, 0, M.A, M.A, M.A, 0, 0])
     assert [r[1] for r in rows] == [0, 0, 0, M.A, 0, 0, 0] and [r[2] for r in rows] == [0, 0, 0, 0, 0, 0, M.A]
-    keys = M.Keys()
-    at = [i for i in range(60) if keys.sample(M.RIGHT)[3]]
+    at = [i for i, r in enumerate(keys([M.RIGHT] * 60)) if r[3]]
     assert at == [1 + M.REPEAT_DELAY + k * M.REPEAT_INTERVAL for k in range(5) if 1 + M.REPEAT_DELAY + k * M.REPEAT_INTERVAL < 60]
-    keys = M.Keys()
-    assert all(keys.sample(M.SOFT_RESET)[1:] == (0, 0, 0) for _ in range(40)) and keys.held == M.SOFT_RESET
+    rows = keys([M.SOFT_RESET] * 40)
+    assert all(r[1:] == (0, 0, 0) for r in rows) and rows[-1][0] == M.SOFT_RESET
+    assert keys([M.RIGHT | M.LEFT] * 60)[-1] == (M.RIGHT | M.LEFT, 0, 0, 0) and {r[3] for r in keys([M.UP | M.RIGHT] * 60)} == {0, M.UP | M.RIGHT}
+
+
+def test_keys_in_parts_equal_keys_at_once():
+    rng = random.Random(1)
+    masks = [rng.choice([M.RIGHT, M.RIGHT, M.RIGHT, M.LEFT, M.UP, M.A, M.SOFT_RESET, 0])] * 1
+    while len(masks) < 3000:
+        masks += [rng.choice([M.RIGHT, M.LEFT, M.UP | M.RIGHT, M.A, M.SOFT_RESET, 0])] * rng.choice([1, 2, 3, 50])
+    whole, _ = M.key_arrays(np.array(masks))
+    assert keys(masks) == [tuple(c) for c in whole.T.tolist()]
 
 
 def test_actions_follow_priority():
     assert [M.action(m) for m in (M.A | M.RIGHT, M.R | M.L, M.L | M.DOWN, M.DOWN, M.UP)] == ["pause_toggle", "next_track", "previous_track", "restart_track", None]
 
 
+def walk(events, machine=None):
+    machine, steps = machine or M.Transport(), []
+    for event in events:
+        machine, step = machine.on(event)
+        steps.append((step, machine.state, machine.gain.level))
+    return machine, steps
+
+
 def test_transport_pause_resume_skip_and_refill():
-    t = M.Transport()
-    assert t.toggle() == "fade_out" and t.toggle() == "ignored" and t.skip() == "ignored"
-    steps = []
-    for _ in range(3):
-        t.hand_off()
-        steps.append(t.tick())
-    assert steps == ["idle", "freeze", "idle"] and t.state == "paused"
-    assert t.toggle(False) == "buffer" and t.toggle() == "ignored" and t.end_buffer() == "prime" and t.end_buffer() == "idle"
-    t.hand_off()
-    t.tick()
-    assert t.state == "playing" and t.skip() == "fade_out"
-    for _ in range(2):
-        t.hand_off()
-        step = t.tick()
-    assert step == "skip_hand_off" and t.begin_reprime(2) and not t.begin_reprime(2)
-    states = []
-    for _ in range(4):
-        t.hand_off()
-        t.tick()
-        states.append((t.gain.k, t.state))
-    assert states == [(0, "repriming"), (0, "repriming"), (256, "playing"), (256, "playing")]
+    t, steps = walk(["toggle", "toggle", "skip", "period", "period", "period"])
+    assert [s[0] for s in steps] == ["fade_out", "ignored", "ignored", "idle", "freeze", "idle"] and t.state == "paused"
+    t, steps = walk(["toggle_dry", "toggle", "filled", "filled", "period", "skip", "period", "period", "period"], t)
+    assert [s[0] for s in steps] == ["buffer", "ignored", "prime", "idle", "idle", "fade_out", "idle", "skip_hand_off", "skip_hand_off"]
+    t, steps = walk(["cover", "cover", "period", "period", "period", "period"], t)
+    assert [s[0] for s in steps[:2]] == ["covered", "ignored"]
+    assert [s[1:] for s in steps[2:]] == [("repriming", 0), ("repriming", 0), ("playing", 256), ("playing", 256)]
+
+
+def test_every_state_is_reached_and_left():
+    states = {s for s, _ in M.TRANSITIONS}
+    assert states == {to for to, _, _ in M.TRANSITIONS.values()} and len(states) == 7
+    assert {e for _, e in M.TRANSITIONS} <= set(M.OTHERWISE)
 
 
 ROWS = {
