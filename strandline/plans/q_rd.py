@@ -128,20 +128,39 @@ def lambda_grid(spark, sf):
     return total.select(rows.alias("x"), "frames").select("x.lam", "x.bits", "frames")
 
 
-@query("lambda_allocate")
+_FRAME_PICK = "list_sort(list_transform(f, lambda p: struct_pack(j := p.d + exp(mid) * p.r, g := p.g, r := p.r)))[1].r"
+
+
+@query(
+    "lambda_allocate",
+    f"""WITH RECURSIVE c AS MATERIALIZED ({_CURVE_SQL}), a AS MATERIALIZED (SELECT list(f) AS frames, count(*) AS n FROM (SELECT vec_id, list(struct_pack(g := g, r := r, d := d)) AS f FROM c GROUP BY vec_id)),
+        s AS (SELECT 0 AS i, {R.LOW}::DOUBLE AS lo, {R.HIGH}::DOUBLE AS hi
+              UNION ALL SELECT i + 1, CASE WHEN bits > target THEN mid ELSE lo END, CASE WHEN bits > target THEN hi ELSE mid END
+              FROM (SELECT i, lo, hi, mid, (250.0 - {R.SIDE_BITS}) * n AS target, list_sum(list_transform(frames, lambda f: {_FRAME_PICK})) AS bits FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE i < {R.STEPS}), a))
+        SELECT vec_id, g, r FROM c, (SELECT exp(hi) AS lam FROM s WHERE i = {R.STEPS}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d + lam * r, g) = 1""",
+)
 def lambda_allocate(spark, sf):
-    """The choice of steps that just fits 250 bits a frame; the search is iterative, held against brute force in the tests."""
+    """The choice of steps that just fits 250 bits a frame, by grids of lambdas; the SQL bisects."""
     from strandline.session import materialize
 
     c = materialize(curves(spark, sf), "curves")
     return R.allocate(c, "vec_id", 250.0 * c.select("vec_id").distinct().count())[1].select("vec_id", "g", "r")
 
 
-@query("viterbi_classes")
+_PATHS_SQL = " + ".join(f"abs(log2(list_sum(list_transform(x[{16 * b + 1}:{16 * b + 16}], lambda v: v * v)) + 1e-9) + 6 - 2 * c{b})" for b in range(4))
+
+
+@query(
+    "viterbi_classes",
+    f"""WITH k AS (SELECT unnest(range(0, 4)) AS c), p AS (SELECT a.c AS c0, b.c AS c1, d.c AS c2, e.c AS c3 FROM k a, k b, k d, k e),
+        t AS (SELECT vec_id, [c0, c1, c2, c3] AS path, 0.5 * c0 + 3.0 * ((c0 <> c1)::INT + (c1 <> c2)::INT + (c2 <> c3)::INT) + {_PATHS_SQL} AS cost FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), p)
+        SELECT vec_id, path::INT[] AS path, round(cost, 6) AS cost FROM t QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(cost, 9), list_reverse(path)) = 1""",
+)
 def viterbi_classes(spark, sf):
-    """Cheapest class of each of the four bands when changes of class cost 3; a recursion, held against enumeration in the tests."""
+    """Cheapest class of each of the four bands when changes of class cost 3; the SQL tries every path."""
     e = F.col("embedding").cast("array<double>")
     bands = [F.aggregate(F.slice(e, 16 * b + 1, 16), F.lit(0.0), lambda a, x: a + x * x) for b in range(4)]
     costs = F.array(*[F.abs(F.log2(band + 1e-9) + 6 - 2 * k) for band in bands for k in range(4)])
     moves = 3.0 * (1 - np.eye(4))
-    return R.best_paths(table(spark, sf, "embeddings").select("vec_id", costs.alias("costs")), "vec_id", "costs", moves, np.arange(4) * 0.5)
+    found = R.best_paths(table(spark, sf, "embeddings").select("vec_id", costs.alias("costs")), "vec_id", "costs", moves, np.arange(4) * 0.5)
+    return found.withColumn("cost", F.round("cost", 6))

@@ -140,11 +140,13 @@ def packet_census(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.count_distinct(config).alias("configs"), F.count(F.lit(1)).alias("packets"), (F.count_distinct(config) == 1).alias("passes"))
 
 
-_BYTES = "list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)"
+def _bytes_sql(text: str) -> str:
+    """The bytes of a text as a list."""
+    return f"list_filter(list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '0x\\1,', 'g'), ','), lambda x: try_cast(x AS BIGINT)), lambda x: x IS NOT NULL)"
 
 
 def _fold(step: str, start: str) -> str:
-    return f"list_reduce({_BYTES}, lambda r, b: {step}, {start})"
+    return f"list_reduce(bytes, lambda r, b: {step}, {start})"
 
 
 def _crc_step(width: int, poly: int) -> str:
@@ -152,26 +154,35 @@ def _crc_step(width: int, poly: int) -> str:
     return f"xor((r << 8) & {(1 << width) - 1}, {table_}[(xor(r >> {width - 8}, b) & 255) + 1])"
 
 
-@query(
-    "short_digests",
-    f"""WITH n AS (SELECT p_partkey, hex(encode(p_name)) AS h FROM part)
-        SELECT p_partkey, {_fold(_crc_step(8, 7), "0::BIGINT")} AS crc8, {_fold(_crc_step(16, 0x8005), "0::BIGINT")} AS crc16, {_fold(_crc_step(32, 0x04C11DB7), "0::BIGINT")} AS ogg,
-               {_fold("(xor(r, b) * 16777619) & 4294967295", "2166136261::BIGINT")} AS fnv32,
-               lower(lpad(hex({_fold(f"((xor(r, b::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)", f"{D.FNV64[0]}::HUGEINT")}::UBIGINT), 16, '0')) AS fnv64 FROM n""",
-)
+def _digests_sql(key: str, text: str, source: str) -> str:
+    fnv64 = _fold("((xor(r, b::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)", f"{D.FNV64[0]}::HUGEINT")
+    return f"""WITH n AS MATERIALIZED (SELECT {key}, {_bytes_sql(text)} AS bytes FROM {source})
+        SELECT {key}, {_fold(_crc_step(8, 7), "0::BIGINT")} AS crc8, {_fold(_crc_step(16, 0x8005), "0::BIGINT")} AS crc16, {_fold(_crc_step(32, 0x04C11DB7), "0::BIGINT")} AS ogg,
+               {_fnv32_sql()} AS fnv32, lower(lpad(hex({fnv64}::UBIGINT), 16, '0')) AS fnv64 FROM n"""
+
+
+def _fnv32_sql() -> str:
+    return _fold("(xor(r, b) * 16777619) & 4294967295", "2166136261::BIGINT")
+
+
+@query("short_digests", _digests_sql("p_partkey", "p_name", "part"))
 def short_digests(spark, sf):
     name = F.col("p_name")
     return table(spark, sf, "part").select("p_partkey", *[D.crc_short(k, name).alias(k) for k in D.CRCS], D.fnv32_short(name).alias("fnv32"), D.fnv64_short(name).alias("fnv64"))
 
 
-@query("document_digests")
+@query("document_digests", _digests_sql("doc_id", "coalesce(text, '')", "documents"))
 def document_digests(spark, sf):
-    """Whole texts through the Arrow forms; too long for a fold in SQL, tested against plain Python."""
+    """Whole texts through the Arrow forms."""
     text = F.coalesce("text", F.lit(""))
     return table(spark, sf, "documents").select("doc_id", *[D.crc_udf(k)(text).alias(k) for k in D.CRCS], D.fnv_udf(32)(text).alias("fnv32"), D.fnv_udf(64)(text).alias("fnv64"))
 
 
-@query("content_tripwire")
+@query(
+    "content_tripwire",
+    f"""WITH n AS MATERIALIZED (SELECT page_id, {_bytes_sql("coalesce(html, '')")} AS whole FROM pages), h AS (SELECT page_id, whole[1:32768] AS bytes FROM n), t AS (SELECT page_id, whole[greatest(1, len(whole) - 4095):len(whole)] AS bytes FROM n)
+        SELECT h.page_id, head, tail FROM (SELECT page_id, {_fnv32_sql()} AS head FROM h) h JOIN (SELECT page_id, {_fnv32_sql()} AS tail FROM t) t ON t.page_id = h.page_id""",
+)
 def content_tripwire(spark, sf):
     """FNV of the first 32 KiB and of the last 4 KiB of each page: the bounded check is the feature."""
     raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")

@@ -62,9 +62,21 @@ def flac_seek_points(spark, sf):
     return flac.read_seek_points(_files(spark, sf, _flac)).select(_user(), "idx", "first_sample")
 
 
-@query("flac_census")
+_CENSUS_SQL = f"""
+    WITH s AS (SELECT user_id, n // 32 AS blk, n % 32 AS i, 2 * x AS v FROM ({_HALF_SQL})), w AS (SELECT user_id, blk, count(*) AS len, bit_or(v) AS m, count(DISTINCT v) AS kinds FROM s GROUP BY ALL),
+    z AS (SELECT s.user_id, s.blk, i, len, kinds, CASE WHEN m = 0 THEN 0 ELSE bit_count((m & -m) - 1) END AS wasted, v FROM s JOIN w ON w.user_id = s.user_id AND w.blk = s.blk), y AS (SELECT *, v >> wasted AS x FROM z),
+    e AS ({" UNION ALL ".join(f"SELECT user_id, blk, {o} AS ord, x {' '.join(f'- ({c}) * lag(x, {k}) OVER q' for k, c in enumerate(flac.FIXED[o], 1))} AS e, i, len, kinds, wasted FROM y WINDOW q AS (PARTITION BY user_id, blk ORDER BY i)" for o in range(5))}),
+    c AS (SELECT user_id, blk, ord, k, any_value(len) AS len, any_value(kinds) AS kinds, any_value(wasted) AS wasted, sum(((CASE WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END) >> k) + 1 + k) + ord * (17 - any_value(wasted)) AS cost
+          FROM e, (SELECT unnest(range(0, 15)) AS k) WHERE i >= ord GROUP BY user_id, blk, ord, k),
+    b AS (SELECT *, CASE WHEN kinds = 1 THEN 'constant' WHEN cost >= len * (17 - wasted) THEN 'verbatim' ELSE 'fixed' END AS kind FROM c QUALIFY row_number() OVER (PARTITION BY user_id, blk ORDER BY cost, ord, k) = 1),
+    u AS (SELECT kind, CASE WHEN kind = 'fixed' THEN ord ELSE 0 END AS ord, wasted, (kind = 'fixed')::INT AS parts, CASE WHEN kind = 'fixed' THEN k ELSE 0 END AS k FROM b UNION ALL SELECT 'constant', 0, 0, 0, 0 FROM w)
+    SELECT kind, ord::INT AS "order", count(*) AS n, max(wasted)::INT AS wasted, max(parts)::INT AS partitions, max(k)::INT AS max_parameter, 0::INT AS escaped FROM u GROUP BY kind, ord
+"""
+
+
+@query("flac_census", _CENSUS_SQL)
 def flac_census(spark, sf):
-    """Kinds and orders the writer chose and the worst shapes of their residuals; sums are held in the tests."""
+    """Kinds and orders the writer chose and the worst shapes of their residuals."""
     return flac.subframe_census(flac.read_frames(_files(spark, sf, _flac)))
 
 
@@ -153,21 +165,6 @@ def symbol_stream(spark, sf):
     return uli.read_symbols(files).select(F.col("path").cast("long").alias("vec_id"), "frame", "g", F.aggregate(bands, F.lit(0).cast("long"), lambda s, x: s + x).alias("magnitude"))
 
 
-@query("palette_image", f"SELECT user_id, n // 8 AS y, n % 8 AS x, (x % 11) * 97 AS colour FROM ({SIGNAL_SQL}) WHERE n < 64 AND user_id IN (SELECT user_id FROM ({SIGNAL_SQL}) WHERE n = 63)")
-def palette_image(spark, sf):
-    """A tile of each user's first 64 samples as an image of exact palette colours; one tile is the operator's unit."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    s = signal(spark, sf).select("user_id", (F.row_number().over(w) - 1).alias("n"), ((F.col("x") % 11) * 97).alias("c")).where("n < 64")
-    rows = s.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("s")).where("size(s) = 64").select("user_id", F.col("s.c").alias("c"))
-
-    @F.pandas_udf("binary")
-    def build(values: pd.Series) -> pd.Series:
-        return pd.Series([containers.build_art1([[int(c) for c in v[8 * y : 8 * y + 8]] for y in range(8)]) for v in values])
-
-    files = rows.select(F.col("user_id").cast("string").alias("path"), build("c").alias("content"))
-    return containers.read(files, "art1").select(_user(), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("colour").cast("long").alias("colour"))
-
-
 @query(
     "palette_images",
     f"""WITH s AS (SELECT user_id, n, (x % 11) * 97 AS c FROM ({SIGNAL_SQL})), t AS (SELECT user_id, (max(n) // 64 + 1) * 64 AS m FROM s GROUP BY user_id), p AS (SELECT user_id, unnest(range(0, m)) AS n FROM t)

@@ -105,20 +105,6 @@ def string_pool(spark, sf):
     return L.intern(c, "c_mktsegment", "c_custkey")[1].select("c_custkey", "offset")
 
 
-@query(
-    "alignment_shift",
-    f"""WITH s AS (SELECT user_id, n, x // 500 AS x FROM ({SIGNAL_SQL})), r AS (SELECT user_id, n - 3 AS j, x FROM s WHERE n BETWEEN 3 AND 22), c AS (
-            SELECT r.user_id, k AS shift, count(*) AS n, sum((s.x <> r.x)::INT) AS mismatches, max(abs(s.x - r.x)) AS largest FROM r, (SELECT unnest(range(0, 9)) AS k) JOIN s ON s.user_id = r.user_id AND s.n = r.j + k GROUP BY ALL)
-        SELECT c.user_id, shift::INT AS shift, mismatches::BIGINT AS mismatches, largest FROM c JOIN (SELECT user_id, count(*) AS m FROM r GROUP BY 1) a ON a.user_id = c.user_id AND a.m = c.n
-        QUALIFY row_number() OVER (PARTITION BY c.user_id ORDER BY mismatches, abs(shift - 4), shift) = 1""",
-)
-def alignment_shift(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    s = signal(spark, sf).select("user_id", (F.row_number().over(w) - 1).alias("n"), F.expr("x div 500").alias("x"))
-    r = s.where("n between 3 and 22").select("user_id", (F.col("n") - 3).alias("n"), "x")
-    return L.alignment(s, r, "user_id", "n", "x", range(9), 4)
-
-
 @query(
     "alignment_signal",
     f"""WITH s AS (SELECT user_id, n, x // 500 AS x FROM ({SIGNAL_SQL})), m AS (SELECT user_id, count(*) AS m FROM s GROUP BY 1),
@@ -234,10 +220,10 @@ def warmup_census(spark, sf):
     return j.groupBy("user_id").agg(F.count(F.lit(1)).alias("warm"), F.count_if(F.col("tail") == F.col("x")).alias("as_tail"), F.count_if(F.col("tail").isNull()).alias("without"))
 
 
-@query("colour_set", "SELECT user_id, list_sort(list(DISTINCT rgb)) AS colours FROM (SELECT user_id, ((c >> 16 & 255) >> 3) + (((c >> 8 & 255) >> 3) << 5) + (((c & 255) >> 3) << 10) AS rgb FROM (SELECT user_id, (event_id * 2654435761) & 16777215 AS c FROM events WHERE event_type = 'click')) GROUP BY user_id")
+@query("colour_set", "SELECT user_id, list_sort(list(DISTINCT rgb)) AS colours FROM (SELECT user_id, ((c >> 16 & 255) >> 3) + (((c >> 8 & 255) >> 3) << 5) + (((c & 255) >> 3) << 10) AS rgb FROM (SELECT user_id, (event_id * 2654435761) & 16777215 AS c FROM events)) GROUP BY user_id")
 def colour_set(spark, sf):
     """Distinct 15-bit colours, at most 32,768 a group whatever its rows."""
-    c = table(spark, sf, "events").where("event_type = 'click'").select("user_id", B.rgb15(F.expr("(event_id * 2654435761) & 16777215")).alias("rgb"))
+    c = table(spark, sf, "events").select("user_id", B.rgb15(F.expr("(event_id * 2654435761) & 16777215")).alias("rgb"))
     return c.groupBy("user_id").agg(F.array_sort(F.collect_set("rgb")).alias("colours"))
 
 
@@ -300,9 +286,17 @@ def _event_bigrams(spark, sf):
     return S.bigrams(table(spark, sf, "events"), ["user_id"], "event_id", "event_type", "^")
 
 
-@query("huffman_lengths")
+@query(
+    "huffman_lengths",
+    """WITH RECURSIVE b AS (SELECT prev, symbol, count(*) AS n FROM (SELECT coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), '^') AS prev, event_type AS symbol FROM events) GROUP BY ALL),
+       i AS (SELECT prev, symbol, n, row_number() OVER (PARTITION BY prev ORDER BY symbol) - 1 AS i FROM b),
+       h AS (SELECT prev, list(struct_pack(n := n, i := i, m := [i])) AS nodes, count(*) AS next, []::BIGINT[] AS hits FROM i GROUP BY prev
+             UNION ALL SELECT prev, list_append(s[3:len(s)], struct_pack(n := s[1].n + s[2].n, i := next, m := list_concat(s[1].m, s[2].m))), next + 1, list_concat(hits, list_concat(s[1].m, s[2].m))
+             FROM (SELECT *, list_sort(nodes) AS s FROM h) WHERE len(s) > 1)
+       SELECT i.prev, i.symbol, greatest(len(list_filter(h.hits, lambda x: x = i.i)), CASE WHEN h.next = 1 THEN 1 ELSE 0 END)::BIGINT AS length FROM i JOIN h ON h.prev = i.prev AND len(h.nodes) = 1""",
+)
 def huffman_lengths(spark, sf):
-    """A code per context; the merging is a recursion, held against brute force in the tests."""
+    """A code per context; the merging is a recursion over a context's alphabet."""
     return S.train_codes(_event_bigrams(spark, sf), "prev", "symbol", "n")
 
 
