@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import bits as B
+from strandline.functions import waves as W
 from strandline.operators import predict as P
 from strandline.plans.registry import query
 from strandline.session import table
@@ -161,17 +162,43 @@ def chunk_ntile(spark, sf):
 )
 def synth_waveforms(spark, sf):
     """Test signals in closed form over a range: the phase of a sum is a product here, so no window is needed."""
+    i = F.col("i")
     return spark.range(20000).select(F.col("id").alias("i")).select(
-        "i", (F.abs(F.col("i") % 64 - 32) * 2 - 32).alias("tri"), F.when(F.col("i") % 50 < 12, 1000).otherwise(-1000).alias("square"), F.expr("shiftright((i * 2654435761) & 4294967295, 16) - 32768").alias("hash"),
-        F.expr("(i * 40503) % 97 - 48").alias("noise"), F.when(F.col("i") % 441 == 0, 30000).otherwise(0).alias("impulse"), F.expr("(i * 65536 * 3) & 4294967295").alias("phase"), F.expr("case when (i div 8192) % 2 = 0 then 255 else 16 end").alias("level"),
-    )
+        "i", W.triangle(i).alias("tri"), W.square(i).alias("square"), W.scrambled(i).alias("hash"), W.hash_noise(i).alias("noise"), W.impulses(i).alias("impulse"), W.phase(i, 65536 * 3).alias("phase"), W.loud_quiet(i).alias("level")
+    )
+
+
+def _wave_sql(weight: str, wave: str) -> str:
+    return f"floor({weight} * ({wave}) / 1000.0)::BIGINT"
+
+
+_CENTRE_SQL = " + ".join((_wave_sql("7000", "abs(i % 64 - 32) * 2 - 32"), _wave_sql("3000", "abs(i % 40 - 20) * 2 - 20"), _wave_sql("2", "CASE WHEN i % 32 < 16 THEN 1000 ELSE -1000 END")))
+_SIDE_SQL = _wave_sql("1500", "abs(i % 90 - 45) * 2 - 45") + " + (i * 7919) % 31 - 15"
+
+
+@query(
+    "synth_pair",
+    f"""WITH s AS (SELECT i, {_CENTRE_SQL} AS c, {_SIDE_SQL} AS d FROM (SELECT unnest(range(0, 20000)) AS i))
+        SELECT i, c + d + (i * 104729) % 17 - 8 AS "left", c - d + (i * 15485863) % 17 - 8 AS "right" FROM s""",
+)
+def synth_pair(spark, sf):
+    """Correlated stereo: a shared centre, a side of opposite signs, and noise of each channel's own."""
+    left, right = W.correlated_pair(F.col("id"), {64: 7000, 40: 3000}, 90, 1500, (31, 17))
+    return spark.range(20000).select(F.col("id").alias("i"), left.alias("left"), right.alias("right"))
 
 
 @query("adversarial_tones", "SELECT i, round(least(20000, greatest(-20000, 30000 * (sin(i * 0.05) + sin(i * 0.15) / 3 + sin(i * 0.25) / 5))), 6) AS clipped, round(9000 * sin(i * 0.031) + 9000 * sin(i * 0.047), 6) AS pair FROM (SELECT unnest(range(0, 5000)) AS i)")
 def adversarial_tones(spark, sf):
     i = F.col("id")
-    clipped = F.least(F.lit(20000.0), F.greatest(F.lit(-20000.0), 30000 * (F.sin(i * 0.05) + F.sin(i * 0.15) / 3 + F.sin(i * 0.25) / 5)))
-    return spark.range(5000).select(i.alias("i"), F.round(clipped, 6).alias("clipped"), F.round(9000 * F.sin(i * 0.031) + 9000 * F.sin(i * 0.047), 6).alias("pair"))
+    return spark.range(5000).select(i.alias("i"), F.round(W.harmonics(i, 0.05, 30000.0, 20000.0), 6).alias("clipped"), F.round(W.tones(i, (9000.0, 0.031), (9000.0, 0.047)), 6).alias("pair"))
+
+
+@query("noise_blocks", "SELECT 0 AS part, 100000 AS samples, 25000 AS blocks, true AS held, true AS inside, true AS spread UNION ALL SELECT 1, 34464, 8616, true, true, true")
+def noise_blocks(spark, sf):
+    """Seeded noise held for four samples: what must hold of it, as its values are a generator's."""
+    x = W.block_noise(spark, 134464, 9000.0, 20261116).withColumn("part", F.expr("int(i div 100000)"))
+    b = x.groupBy("part", F.expr("i div 4").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return b.groupBy("part").agg(F.sum("n").alias("samples"), F.count(F.lit(1)).alias("blocks"), F.bool_and(F.col("lo") == F.col("hi")).alias("held"), F.bool_and(F.abs("lo") <= 9000).alias("inside"), (F.stddev("lo") > 5000).alias("spread"))
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import bits as B
+from strandline.functions import clocks as K
+from strandline.functions import codes as C
 from strandline.functions import digest as D
 from strandline.plans.registry import query
 from strandline.session import table
@@ -80,42 +82,53 @@ def pcm_scalars(spark, sf):
        SELECT event_id, pos >> 14 AS seconds, (pos >> 14) // 60 AS minutes, (pos >> 14) % 60 AS rest, 137438953472 // n AS reciprocal, ((pos % n) * (137438953472 // n)) >> 32 AS cell,
               CASE WHEN b >= a THEN b - a ELSE 4294967295 END AS cycles, (pos % 4096) * 16777216 // 32768 AS budget,
               CASE WHEN pos % 2048 = 0 THEN pos // 2048 END AS frame, (nullif(pos, 0) + 2047) // 2048 AS frames, CASE WHEN pos >= n THEN n ELSE greatest(0, pos - 1136) END AS painted,
-              1 + event_id % 3 AS boundary, (event_id + 7 - 1) % 7 AS previous_track FROM p""",
+              (event_id + 7 - 1) % 7 AS previous_track FROM p""",
 )
 def clock_scalars(spark, sf):
     p = table(spark, sf, "events").select("event_id", F.expr("event_id * 977").alias("pos"), F.expr("100000 + event_id % 7919").alias("n"), F.expr("(event_id * 48271) % 4294967296").alias("a"), F.expr("(event_id * 69621) % 4294967296").alias("b"))
-    q = p.withColumn("seconds", F.shiftright("pos", 14)).withColumn("reciprocal", B.bar_reciprocal("n"))
+    q = p.withColumn("seconds", K.seconds("pos")).withColumn("reciprocal", B.bar_reciprocal("n"))
     return q.select(
-        "event_id", "seconds", B.minutes("seconds").alias("minutes"), (F.col("seconds") - 60 * B.minutes("seconds")).alias("rest"), "reciprocal", B.bar_cell(F.col("pos") % F.col("n"), "reciprocal").alias("cell"), B.between_cycles("a", "b").alias("cycles"),
-        F.expr("(pos % 4096) * 16777216 div 32768").alias("budget"), F.expr("case when pos % 2048 = 0 then pos div 2048 end").alias("frame"), F.expr("(nullif(pos, 0) + 2047) div 2048").alias("frames"),
-        F.expr("case when pos >= n then n else greatest(0, pos - 1136) end").alias("painted"), F.expr("1 + event_id % 3").alias("boundary"), F.expr("pmod(event_id - 1, 7)").alias("previous_track"),
+        "event_id", "seconds", B.minutes("seconds").alias("minutes"), (F.col("seconds") - 60 * B.minutes("seconds")).alias("rest"), "reciprocal", K.elapsed_cell(F.col("pos") % F.col("n"), "reciprocal").alias("cell"), B.between_cycles("a", "b").alias("cycles"),
+        K.frame_budget(F.col("pos") % 4096, 32768).alias("budget"), K.frame_at("pos").alias("frame"), K.frame_count("pos").alias("frames"), K.shown_position("pos", 1136, "n").alias("painted"), K.neighbour("event_id", 7, -1).alias("previous_track"),
     )
 
 
-#: Sample rates by header code; None stands for the stream's own or a tail in the header.
-RATES = (None, 88200, 176400, 192000, 8000, 16000, 22050, 24000, 32000, 44100, 48000, 96000)
+@query(
+    "chain_scalars",
+    """WITH p AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 16384 WHEN 1 THEN 32768 ELSE 8192 END AS rate, 304 + 16 * (event_id % 32) AS chunk, event_id % 2000 AS lead, event_id % 700 AS prefill, (event_id * 48271) % 573441 AS cycles, event_id % 9 AS n FROM events)
+       SELECT event_id, 16777216 // rate AS ticks_per_sample, chunk * (16777216 // rate) AS period_cycles, (lead * rate + chunk * 1000 - 1) // (chunk * 1000) AS ring_chunks, (lead * rate + chunk * 1000 - 1) // (chunk * 1000) * chunk AS ring_samples,
+              (prefill * rate + chunk * 1000 - 1) // (chunk * 1000) AS prefill_chunks, (prefill * rate + chunk * 1000 - 1) // (chunk * 1000) * chunk AS prefill_samples, greatest(1, (cycles + 280895) // 280896)::INT AS video_frames,
+              event_id % 560 + (n + 4) * 560 AS gap, greatest(2, n + 1) AS handoff, 5 * n + event_id % 4 AS resume, 65600 + n * 36904 AS boot, CASE WHEN event_id * 68719477 < 68719476736 THEN event_id * 68719477 END AS first_sample, gcd(event_id * 30, chunk * 7) AS divisor FROM p""",
+)
+def chain_scalars(spark, sf):
+    """Geometry, latency bounds and byte bounds of the playback chain."""
+    e = F.col("event_id")
+    p = table(spark, sf, "events").select(
+        "event_id", F.when(e % 3 == 0, 16384).when(e % 3 == 1, 32768).otherwise(8192).cast("long").alias("rate"), (304 + 16 * (e % 32)).alias("chunk"), (e % 2000).alias("lead"), (e % 700).alias("prefill"), ((e * 48271) % 573441).alias("cycles"), (e % 9).alias("n")
+    )
+    return p.select(
+        "event_id", *[c.alias(name) for name, c in K.geometry("rate", "chunk", "lead", "prefill").items()], K.video_frames("cycles").alias("video_frames"), K.gap_samples(e % 560, "n").alias("gap"), K.handoff_bound("n").alias("handoff"),
+        K.resume_bound("n", e % 4).alias("resume"), K.boot_bytes("n").alias("boot"), K.first_sample("event_id", 68719477).alias("first_sample"), K.gcd(e * 30, F.col("chunk") * 7).alias("divisor"),
+    )
+
+
+#: The codes' tables as SQL, value by code from 0 on; None stands for the stream's own, a tail in the header or a reserved code.
+_RATES = ", ".join(str(C.RATE_CODES.get(c, "NULL")) for c in range(16))
 
 
 @query(
     "header_codes",
     f"""WITH c AS (SELECT event_id, event_id % 16 AS code, 16384 + event_id % 5 AS stream_rate FROM events)
-        SELECT event_id, code, coalesce([{", ".join("NULL" if r is None else str(r) for r in RATES)}][code + 1], CASE WHEN code = 0 THEN stream_rate END)::BIGINT AS rate,
+        SELECT event_id, code, coalesce([{_RATES}][code + 1], CASE WHEN code = 0 THEN stream_rate END)::BIGINT AS rate,
                CASE WHEN code = 1 THEN 192 WHEN code BETWEEN 2 AND 5 THEN 144 << code WHEN code >= 8 THEN 1 << code END::BIGINT AS block,
                CASE WHEN code < 8 THEN 'independent' WHEN code = 8 THEN 'left_side' WHEN code = 9 THEN 'side_right' WHEN code = 10 THEN 'mid_side' END AS layout,
                CASE code % 8 WHEN 0 THEN 16 WHEN 1 THEN 8 WHEN 2 THEN 12 WHEN 4 THEN 16 WHEN 5 THEN 20 WHEN 6 THEN 24 WHEN 7 THEN 32 END::BIGINT AS sample_bits FROM c""",
 )
 def header_codes(spark, sf):
+    """Every code of a frame header through the tables that the reader uses."""
+    code = F.col("code")
     c = table(spark, sf, "events").select("event_id", (F.col("event_id") % 16).alias("code"), (16384 + F.col("event_id") % 5).alias("stream_rate"))
-    code, eighth = F.col("code"), F.col("code") % 8
-    rate = F.get(F.array(*[F.lit(r).cast("long") for r in RATES]), code.cast("int"))
-    bits = F.when(eighth == 0, 16)
-    for k, v in ((1, 8), (2, 12), (4, 16), (5, 20), (6, 24), (7, 32)):
-        bits = bits.when(eighth == k, v)
-    return c.select(
-        "event_id", "code", F.coalesce(rate, F.when(code == 0, F.col("stream_rate"))).alias("rate"),
-        F.expr("case when code = 1 then 192 when code between 2 and 5 then shiftleft(144, int(code)) when code >= 8 then shiftleft(1, int(code)) end").cast("long").alias("block"),
-        F.when(code < 8, "independent").when(code == 8, "left_side").when(code == 9, "side_right").when(code == 10, "mid_side").alias("layout"), bits.cast("long").alias("sample_bits"),
-    )
+    return c.select("event_id", "code", C.rate(code, F.col("stream_rate")).alias("rate"), C.block_size(code).alias("block"), C.layout(code).alias("layout"), C.sample_bits(code % 8, F.lit(16).cast("long")).alias("sample_bits"))
 
 
 @query(

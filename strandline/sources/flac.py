@@ -14,15 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.codes import LAYOUTS, RATE_CODES, SIZE_CODES, block_of
 from strandline.functions.digest import crc_of
 from strandline.operators.predict import FIXED, integrate_lpc_samples
 from strandline.sources.bitio import Bits, BitWriter, Short
 
 #: Fixed values of the format.
 BLOCK_NAMES = ("streaminfo", "padding", "application", "seektable", "vorbis_comment", "cuesheet", "picture")
-RATE_CODES = {1: 88200, 2: 176400, 3: 192000, 4: 8000, 5: 16000, 6: 22050, 7: 24000, 8: 32000, 9: 44100, 10: 48000, 11: 96000}
-SIZE_CODES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
-LAYOUTS = {8: "left_side", 9: "side_right", 10: "mid_side"}
 PLACEHOLDER = 0xFFFFFFFFFFFFFFFF
 
 
@@ -145,16 +143,11 @@ def frame_header(data: bytes, at: int, info: StreamInfo) -> FrameHeader:
     number = coded_number(b)
     if number >= 1 << 31:
         raise FlacError("a frame number of over 31 bits")
-    if block_code == 1:
-        block = 192
-    elif block_code < 6:
-        block = 144 << block_code
-    elif block_code < 8:
+    block = block_of(block_code)
+    if block is None:
         block = b.read(8 * (block_code - 5)) + 1
         if block == 65536:
             raise FlacError("a block of 65,536")
-    else:
-        block = 1 << block_code
     if rate_code == 0:
         rate = info.rate
     elif rate_code < 12:
