@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.plans.q_predict import SIGNAL_SQL, signal
 from strandline.plans.registry import query
 from strandline.session import table
-from strandline.sources import containers, flac, ogg, uli, wav
+from strandline.sources import containers, flac, ogg, scan, uli, wav
 
 #: Users' signals at half scale, so that they fit 16 bits.
 _HALF_SQL = f"SELECT user_id, n, x // 2 AS x FROM ({SIGNAL_SQL})"
@@ -184,3 +184,44 @@ def palette_images(spark, sf):
     files = rows.select(F.concat_ws("/", "user_id", "tile").alias("path"), build("c").alias("content"))
     at = F.split("path", "/")
     return containers.read(files, "art1").select(at[0].cast("long").alias("user_id"), at[1].cast("long").alias("tile"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("colour").cast("long").alias("colour"))
+
+
+# scans
+
+_FRAMES_SQL = f"SELECT user_id, count(*) AS n, (count(*) + 31) // 32 AS frames FROM ({_HALF_SQL}) GROUP BY user_id"
+
+
+@query("scanner_precision", f"SELECT user_id, frames::INT AS expected, frames::INT AS strict, true AS exact, true AS in_order FROM ({_FRAMES_SQL})")
+def scanner_precision(spark, sf):
+    """Strict headers are the frames and nothing else; sync shapes find them all, and more."""
+    p = scan.precision(_files(spark, sf, _flac))
+    return p.select(_user(), "expected", "strict", "exact", ((F.col("sync") >= F.col("lenient")) & (F.col("sync") >= F.col("strict"))).alias("in_order"))
+
+
+@query("frame_starts", f"SELECT user_id, f AS number, true AS any_form FROM (SELECT user_id, unnest(range(0, frames)) AS f FROM ({_FRAMES_SQL}))")
+def frame_starts(spark, sf):
+    """All strict frame starts of each stream, which a reader of any number form accepts as well."""
+    return scan.candidates(_files(spark, sf, _flac)).where("strict").select(_user(), "number", "any_form")
+
+
+@query("number_forms", f"SELECT user_id, unnest([2, 3, 4])::INT AS octets, true AS shortest_refused, true AS any_form, true AS frame_crc, (frames - 1)::INT AS frames FROM ({_FRAMES_SQL})")
+def number_forms(spark, sf):
+    """A frame whose number is written longer is sound but for its form; a resync leaves out that frame alone."""
+    return scan.number_forms(_files(spark, sf, _flac)).select(_user(), "octets", "shortest_refused", "any_form", "frame_crc", "frames")
+
+
+@query("bit_headers", f"SELECT user_id, s::INT AS shift, true AS at_bit, s = 0 AS at_byte FROM (SELECT user_id, unnest(range(0, 8)) AS s FROM ({_FRAMES_SQL}))")
+def bit_headers(spark, sf):
+    return scan.bit_offsets(_files(spark, sf, _flac)).select(_user(), "shift", "at_bit", "at_byte")
+
+
+@query("checksum_reach", f"SELECT user_id, f::INT AS frame, true AS whole, false AS body_alone FROM (SELECT user_id, unnest(range(0, frames)) AS f FROM ({_FRAMES_SQL}))")
+def checksum_reach(spark, sf):
+    return scan.checksums(_files(spark, sf, _flac)).select(_user(), "frame", "whole", "body_alone")
+
+
+@query("number_octets_census", f"SELECT octets, count(*) AS n FROM (SELECT CASE WHEN f < 128 THEN 1 ELSE 2 END AS octets FROM (SELECT unnest(range(0, frames)) AS f FROM ({_FRAMES_SQL}))) GROUP BY octets")
+def number_octets_census(spark, sf):
+    """Octets of the frames' numbers, from the size of their headers: 4 fixed bytes, the block's tail, the CRC-8."""
+    h = flac.read_frames(_files(spark, sf, _flac)).select((F.col("header_bytes") - 6).alias("octets"))
+    return h.groupBy("octets").agg(F.count(F.lit(1)).alias("n"))

@@ -112,8 +112,8 @@ class FrameHeader:
     size: int  # bytes, CRC-8 included
 
 
-def coded_number(b: Bits) -> int:
-    """The extended UTF-8 number, in its shortest form only."""
+def coded_number(b: Bits, shortest: bool = True) -> int:
+    """The extended UTF-8 number, in its shortest form unless told otherwise."""
     lead = b.read(8)
     if lead < 0x80:
         return lead
@@ -126,12 +126,13 @@ def coded_number(b: Bits) -> int:
         if x >> 6 != 2:
             raise FlacError("a coded number's continuation")
         v = v << 6 | x & 63
-    if v < 1 << (5 * (n - 1) + (1 if n > 2 else 2)):
+    if shortest and v < 1 << (5 * (n - 1) + (1 if n > 2 else 2)):
         raise FlacError("a coded number in a longer form than it needs")
     return v
 
 
-def frame_header(data: bytes, at: int, info: StreamInfo) -> FrameHeader:
+def frame_header(data: bytes, at: int, info: StreamInfo, shortest: bool = True) -> FrameHeader:
+    """The header at a byte. shortest: a number in a longer form than it needs is refused."""
     b = Bits(data, at)
     if b.read(14) != 0x3FFE:
         raise FlacError("no frame sync")
@@ -140,7 +141,7 @@ def frame_header(data: bytes, at: int, info: StreamInfo) -> FrameHeader:
     block_code, rate_code, layout_code, size_code, reserved = b.read(4), b.read(4), b.read(4), b.read(3), b.read(1)
     if reserved or block_code == 0 or rate_code == 15 or layout_code > 10 or size_code == 3:
         raise FlacError("a reserved code")
-    number = coded_number(b)
+    number = coded_number(b, shortest)
     if number >= 1 << 31:
         raise FlacError("a frame number of over 31 bits")
     block = block_of(block_code)

@@ -97,3 +97,19 @@ def test_tables(spark):
     assert sum(r.n for r in flac.subframe_census(frames).collect()) == 9
     with pytest.raises(Exception, match="no fLaC marker"):
         flac.read_streams(files).collect()
+
+
+def test_lenient_headers_find_frames_without_a_tail_and_strict_ones_no_others():
+    import random
+
+    from strandline.sources import scan
+
+    rng = random.Random(2)
+    x = [rng.randrange(-3000, 3000) for _ in range(256 * 9)]
+    data = flac.encode([x], block=256)
+    info, start = flac.facts(data)
+    at = scan.sync_shapes(data, start).tolist()
+    frames = [r["offset"] for r in flac.walk(data)]
+    assert [i for i in at if scan.strict_header(data, i, info)] == frames and set(frames) <= {i for i in at if scan.lenient_header(data, i)}
+    assert not scan.lenient_header(data, frames[1] + 1) and not scan.lenient_header(b"\xff\xf8", 0)
+    assert scan.header_at_bit(data, 8 * frames[2], info).number == 2 and scan.header_at_bit(data, 8 * frames[2] + 3, info) is None
