@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.functions.digest import FNV64
 from strandline.plans.q_predict import SIGNAL_SQL, signal
 from strandline.plans.registry import query
 from strandline.session import table
-from strandline.sources import containers, flac, ogg, scan, uli, wav
+from strandline.sources import audit, containers, flac, ogg, scan, uli, wav
 
 #: Users' signals at half scale, so that they fit 16 bits.
 _HALF_SQL = f"SELECT user_id, n, x // 2 AS x FROM ({SIGNAL_SQL})"
@@ -225,3 +226,148 @@ def number_octets_census(spark, sf):
     """Octets of the frames' numbers, from the size of their headers: 4 fixed bytes, the block's tail, the CRC-8."""
     h = flac.read_frames(_files(spark, sf, _flac)).select((F.col("header_bytes") - 6).alias("octets"))
     return h.groupBy("octets").agg(F.count(F.lit(1)).alias("n"))
+
+
+# audits and pins
+
+
+@query(
+    "gafp_audit",
+    f"""SELECT user_id, CASE user_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['magic'] WHEN 2 THEN ['recorded order', 'rate'] ELSE ['frame region', 'slice ' || (frames - 1) || ': checksum'] END::VARCHAR[] AS problems FROM ({_FRAMES_SQL})""",
+)
+def gafp_audit(spark, sf):
+    """Containers with planted faults: each user's by the remainder of the id."""
+
+    def build(x):
+        source = _flac(x)
+        return len(source).to_bytes(4, "big") + source + containers.pack_flac(source)
+
+    @F.pandas_udf("struct<content:binary,source:binary>")
+    def damaged(users: pd.Series, values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for user, v in zip(users, values, strict=True):
+            n = int.from_bytes(v[:4], "big")
+            source, blob = v[4 : 4 + n], bytearray(v[4 + n :])
+            if user % 4 == 1:
+                blob[0] ^= 1
+            elif user % 4 == 2:
+                blob[7] ^= 8
+                blob[10] ^= 1
+            elif user % 4 == 3:
+                blob[-1] ^= 1
+            rows.append((bytes(blob), source))
+        return pd.DataFrame(rows, columns=["content", "source"])
+
+    files = _files(spark, sf, build).select("path", damaged(F.col("path").cast("long"), "content").alias("c")).select("path", "c.content", "c.source")
+    return audit.problems(files, "gafp").select(_user(), "problems")
+
+
+@query(
+    "albm_audit",
+    """WITH t AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
+       SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['reserved byte 7', 'reserved bytes 54 to 59'] WHEN 2 THEN ['track 0: reciprocal', 'structure seal'] ELSE ['asset seal'] END::VARCHAR[] AS problems FROM t""",
+)
+def albm_audit(spark, sf):
+    """Albums with planted faults: reserved bytes, a reciprocal, the last byte of the assets."""
+
+    def build(roles, texts):
+        return containers.build_albm("Album", "Artist", 2000, [{"samples": 1000 + len(x.encode()), "title": r, "artist": "Artist", "asset": (x.encode() or b"-").ljust(-(-max(1, len(x.encode())) // 4) * 4, b" ")} for r, x in zip(roles, texts, strict=True)])
+
+    @F.pandas_udf("binary")
+    def damaged(convs: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for conv, v in zip(convs, values, strict=True):
+            blob = bytearray(v)
+            for at in {1: (7, 56), 2: (72,), 3: (len(blob) - 1,)}.get(conv % 4, ()):
+                blob[at] ^= 1
+            out.append(bytes(blob))
+        return pd.Series(out)
+
+    files = _turns(spark, sf, build).select("path", damaged(F.col("path").cast("long"), "content").alias("content"))
+    return audit.problems(files, "albm").select(F.col("path").cast("long").alias("conv_id"), "problems")
+
+
+@query(
+    "stream_audit",
+    f"""SELECT user_id, CASE WHEN user_id % 3 = 0 THEN [] WHEN user_id % 3 = 1 THEN [n || ' samples, ' || (n + 1) || ' declared'] ELSE ['seek point 0: no frame of its sample and size'] END::VARCHAR[] AS problems FROM ({_FRAMES_SQL})""",
+)
+def stream_audit(spark, sf):
+    """Streams whose declaration or first seek point was changed."""
+
+    @F.pandas_udf("binary")
+    def damaged(users: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for user, v in zip(users, values, strict=True):
+            data = bytearray(v)
+            if user % 3 == 1:
+                n = int.from_bytes(data[21:26], "big") + 1  # the low bits of the samples, 4 bytes into STREAMINFO's 13th
+                data[21:26] = n.to_bytes(5, "big")
+            elif user % 3 == 2:
+                data[42 + 4 + 8 + 7] ^= 1  # the first point's offset
+            out.append(bytes(data))
+        return pd.Series(out)
+
+    files = _files(spark, sf, _flac).select("path", damaged(F.col("path").cast("long"), "content").alias("content"))
+    return audit.problems(files, "stream").select(_user(), "problems")
+
+
+_FNV64_STEP = "((xor(r, b::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
+
+def _fnv64_sql(items: str) -> str:
+    return f"lower(lpad(hex(list_reduce({items}, lambda r, b: {_FNV64_STEP}, {FNV64[0]}::HUGEINT)::UBIGINT), 16, '0'))"
+
+
+_PAIR_BYTES = "flatten(list_transform(xs, lambda x: [x & 255, (x >> 8) & 255, (-x) & 255, ((-x) >> 8) & 255]))"
+
+
+@query(
+    "pcm_pins",
+    f"""WITH s AS (SELECT user_id, n // 32 AS frame, list(x ORDER BY n) AS xs FROM ({_HALF_SQL}) GROUP BY ALL UNION ALL SELECT user_id, NULL, list(x ORDER BY n) FROM ({_HALF_SQL}) GROUP BY user_id),
+        b AS (SELECT user_id, frame, xs, {_PAIR_BYTES} AS bytes, list_transform(xs, lambda x: (x >> 8) & 255) AS l, list_transform(xs, lambda x: ((-x) >> 8) & 255) AS r FROM s)
+        SELECT user_id, frame::INT AS frame, len(xs)::BIGINT AS samples, xs[1]::INT AS first_left, xs[-1]::INT AS last_left, {_fnv64_sql("bytes")} AS pcm, {_fnv64_sql("l")} AS played_left, {_fnv64_sql("r")} AS played_right,
+               CASE WHEN frame IS NOT NULL THEN list_reduce(list_concat(l, r), lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261::BIGINT) END AS frame_hash FROM b""",
+)
+def pcm_pins(spark, sf):
+    """Digests of what each frame and file decodes to, as samples and as played bytes."""
+    p = audit.pins(_files(spark, sf, _flac))
+    return p.select(_user(), "frame", "samples", F.get("first", F.lit(0)).alias("first_left"), F.get("last", F.lit(0)).alias("last_left"), "pcm", "played_left", "played_right", "frame_hash")
+
+
+@query("packed_samples", f"SELECT user_id, n AS i, x::INT AS \"left\", (-x)::INT AS \"right\" FROM ({_HALF_SQL})")
+def packed_samples(spark, sf):
+    """What a packed container decodes to, entered at every frame by its offset table."""
+    files = _files(spark, sf, lambda x: containers.pack_flac(_flac(x)))
+    return containers.packed_pcm(files).select(_user(), "i", "left", "right")
+
+
+@query("slot_census", f"SELECT user_id, slot, sum(n)::BIGINT AS n FROM (SELECT user_id, unnest([0, 1])::INT AS slot, frames AS n FROM ({_FRAMES_SQL})) GROUP BY ALL")
+def slot_census(spark, sf):
+    """Subframes by slot, summed over kinds and orders."""
+    _, _, subframes = audit.facts_tables(flac.read_frames(_files(spark, sf, _flac)))
+    return audit.slot_census(subframes).groupBy(_user(), "slot").agg(F.sum("n").alias("n"))
+
+
+@query("profile_verdicts", f"SELECT user_id, CASE WHEN n < 32 THEN ['block'] ELSE [] END::VARCHAR[] AS reasons FROM ({_FRAMES_SQL})")
+def profile_verdicts(spark, sf):
+    """Facts of every stream against a profile of blocks of 32."""
+    blobs, _, _ = audit.facts_tables(flac.read_frames(_files(spark, sf, _flac)))
+    return audit.profile_verdict(blobs, audit.PROFILE | {"blocks": (32,), "max_order": 4}).select(_user(), "reasons")
+
+
+@query(
+    "sample_agreements",
+    """WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1)
+       SELECT coalesce(a.k, b.k, c.k)::VARCHAR AS path, [a.n, b.n, c.n] AS counts FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON c.k = coalesce(a.k, b.k) WHERE a.n IS NULL OR b.n IS NULL OR c.n IS NULL OR a.n <> b.n OR b.n <> c.n""",
+)
+def sample_agreements(spark, sf):
+    """Three counts of the same thing, where they differ or one is missing."""
+    o = table(spark, sf, "orders").withColumn("path", F.col("o_custkey").cast("string"))
+    return audit.sample_agreement(*[o.where(c).groupBy("path").agg(F.count(F.lit(1)).alias("samples")) for c in ("o_orderstatus <> 'P'", "true", "o_totalprice > 1000")])
+
+
+@query("file_tags", "SELECT conv_id, 'turns ' || count(*) AS title, '?' AS artist FROM conversations GROUP BY conv_id")
+def file_tags(spark, sf):
+    """Titles from a stream's comments; the artist's is empty."""
+    files = _turns(spark, sf, lambda roles, texts: flac.with_comments(flac.encode([[len(texts), 0, 1]]), {"TITLE": f" turns {len(texts)} ", "artist": " "}))
+    return flac.read_tags(files).select(F.col("path").cast("long").alias("conv_id"), "title", "artist")

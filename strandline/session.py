@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master alone, a temporary one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -69,6 +71,24 @@ def _sweep() -> None:
         pass
 
 
+def replace_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one file whole or not at all, on the file system that Spark finds for its path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.part")
+    out = fs.create(part, True)
+    try:
+        for at in range(0, len(data), 1 << 20):
+            out.write(data[at : at + (1 << 20)])
+    finally:
+        out.close()
+    if fs.exists(place):
+        fs.delete(place, False)
+    if not fs.rename(part, place):
+        raise OSError(f"{part} can't be renamed to {place}")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut, a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, tag)

@@ -137,6 +137,13 @@ def build_ula2(tracks: list[dict], positions: list[tuple[int, int]], tables: byt
     return blob
 
 
+def with_cycles(blob: bytes, most: int, mean: int) -> bytes:
+    """An album with its cost estimates written into the header, which come to be known last."""
+    parse_ula2(blob)
+    at = 68  # after the fields before them
+    return blob[:at] + struct.pack("<II", most, mean) + blob[at + 8 :]
+
+
 # ALBM: header, tracks, string pool, assets, sealed by two FNV-1a/32
 
 _ALBM_TRACK = ("start_sample", "samples", "recip", "asset_off", "asset_len", "frames", "title_off", "artist_off", "backend", "max_order", "ceiling", "fnv", "reserved")
@@ -252,3 +259,33 @@ def read(files: DataFrame, kind: str, strict: bool = True) -> DataFrame:
                 yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, schema)
+
+
+def packed_pcm(files: DataFrame, first: int = 0) -> DataFrame:
+    """path, i, left, right of GAFP files from frame first on. Each frame is entered by its offset, so frames spread over tasks."""
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                blob = bytes(content)
+                m = parse_gafp(blob)
+                ends = [*m["offsets"][1:], len(blob)]
+                rows = [(path, i, i * m["block"], m["block"], m["rate"], m["channels"], m["bits"], i + 1 == m["frames"], blob[a:b]) for i, (a, b) in enumerate(zip(m["offsets"], ends, strict=True)) if i >= first]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SLICE.split(", ")])
+
+    def samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from strandline.sources import flac
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                info = flac.StreamInfo(16, 65535, None, None, r.rate, r.channels, r.bits, None, None)
+                head, slots, _, end = flac.frame(bytes(r.part), 0, info)
+                _need(end == len(r.part), f"frame {r.frame} doesn't end where the next begins")
+                _need(head.block == r.block or r.last, f"frame {r.frame} has another block size")
+                yield pd.DataFrame({"path": r.path, "i": range(r.start, r.start + head.block), "left": slots[0], "right": slots[-1]})
+
+    parts = files.select("path", "content").mapInPandas(slices, _SLICE).repartition("path", "frame")
+    return parts.mapInPandas(samples, "path string, i long, left int, right int")
+
+
+_SLICE = "path string, frame int, start long, block int, rate int, channels int, bits int, last boolean, part binary"

@@ -101,6 +101,37 @@ def seek_points(data: bytes) -> list[tuple[int | None, int, int]]:
     return out
 
 
+def comments(data: bytes) -> dict[str, str]:
+    """The tags of a stream's comment block, names in lower case, the first of a name; empty without one."""
+    for _, kind, _, at, n in blocks(data):
+        if kind == 4:
+            raw, out = data[at : at + n], {}
+            size = int.from_bytes(raw[:4], "little")
+            p = 4 + size
+            count = int.from_bytes(raw[p : p + 4], "little")
+            p += 4
+            for _ in range(count):
+                size = int.from_bytes(raw[p : p + 4], "little")
+                if p + 4 + size > n:
+                    raise FlacError("a comment ends beyond its block")
+                name, _, value = raw[p + 4 : p + 4 + size].decode("utf-8", "replace").partition("=")
+                out.setdefault(name.lower(), value)
+                p += 4 + size
+            return out
+    return {}
+
+
+def with_comments(data: bytes, tags: dict[str, str], vendor: str = "strandline") -> bytes:
+    """The stream with a comment block after STREAMINFO."""
+    def sized(text: str) -> bytes:
+        return len(text.encode()).to_bytes(4, "little") + text.encode()
+
+    body = sized(vendor) + len(tags).to_bytes(4, "little") + b"".join(sized(f"{k}={v}") for k, v in tags.items())
+    _, _, last, at, n = next(blocks(data))
+    block = bytes([4 | (128 if last else 0)]) + len(body).to_bytes(3, "big") + body
+    return data[:4] + bytes([data[4] & 127]) + data[5 : at + n] + block + data[at + n :]
+
+
 @dataclass(frozen=True)
 class FrameHeader:
     block: int
@@ -264,8 +295,8 @@ def next_frame(data: bytes, at: int, info: StreamInfo) -> int | None:
     return None
 
 
-def walk(data: bytes, resync: bool = False) -> Iterator[dict]:
-    """Every frame in order; numbers must follow one another and the samples add up to the declaration.
+def walk(data: bytes, resync: bool = False, bounded: bool = True) -> Iterator[dict]:
+    """Every frame in order; numbers must follow one another and, if bounded, the samples add up to the declaration.
 
     resync: damage gives a row with its error and the walk goes on at the next strict frame start.
     """
@@ -288,10 +319,15 @@ def walk(data: bytes, resync: bool = False) -> Iterator[dict]:
             continue
         yield {"index": index, "offset": at, "bytes": end - at, "head": head, "slots": slots, "subframes": about, "error": None}
         at, index, due, samples = end, index + 1, due + 1, samples + head.block
-    if not damaged and info.samples is not None and samples != info.samples:
+    if bounded and not damaged and info.samples is not None and samples != info.samples:
         raise FlacError(f"{samples} samples, {info.samples} declared")
 
 
+def walk_all(data: bytes) -> Iterator[dict]:
+    """walk with resync, to the end whatever the declaration says."""
+    yield from walk(data, resync=True, bounded=False)
+
+
 _BLOCKS = "path string, idx int, type int, name string, last boolean, offset long, length long, error string"
 _STREAMS = "path string, least_block int, most_block int, least_frame int, most_frame int, rate int, channels int, bits int, samples long, md5 string, frame_data long, error string"
 _SEEKS = "path string, idx int, first_sample long, offset long, samples int, placeholder boolean, error string"
@@ -347,6 +383,17 @@ def read_seek_points(files: DataFrame, strict: bool = True) -> DataFrame:
     return _table(files, _SEEKS, rows, strict)
 
 
+def read_tags(files: DataFrame, strict: bool = True) -> DataFrame:
+    """path, title, artist: from the comments, else the file's stem and '?'."""
+    def rows(d: bytes):
+        tags = comments(d)
+        yield {"title": tags.get("title", "").strip() or None, "artist": tags.get("artist", "").strip() or None}
+
+    found = _table(files, "path string, title string, artist string, error string", rows, strict)
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    return found.select("path", F.coalesce("title", F.when(stem != "", stem), F.lit("?")).alias("title"), F.coalesce("artist", F.lit("?")).alias("artist"), "error")
+
+
 def read_frames(files: DataFrame, strict: bool = True, resync: bool = False) -> DataFrame:
     """A row per frame with its samples by channel."""
     kept = ("slot", "kind", "order", "wasted", "bits", "partitions", "max_parameter", "escaped", "exit_bit")

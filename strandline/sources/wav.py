@@ -168,3 +168,8 @@ def read_pairs(files: DataFrame, rows: int = 65_536) -> DataFrame:
                     yield pd.DataFrame({"path": [path], "start": [at], "left": [x[at : at + rows, 0]], "right": [x[at : at + rows, 1]]})
 
     return files.select("path", "content").mapInPandas(run, "path string, start long, left array<float>, right array<float>")
+
+
+def pair_bytes(left: Iterator[float] | list[float], right: Iterator[float] | list[float]) -> bytes:
+    """Interleaved 32-bit floats, as read_pairs takes them."""
+    return np.stack([np.asarray(left, "<f4"), np.asarray(right, "<f4")], 1).tobytes()
