@@ -5,6 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import materialize
+
+
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """rows written in ranges of order, with __p, the place of their range: no task orders all rows."""
+    return materialize(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+
+
+def running_sum(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """rows with the sum of value over the rows before, by a unique order: ranges add up on their own, and one row a range is carried on."""
+    dealt = _dealt(rows.withColumn("__v", value), order)
+    ranges = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("__p").agg(F.sum("__v").alias("__t")).select("__p", F.coalesce(F.sum("__t").over(ranges), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("__s", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
+    return placed.join(F.broadcast(before), "__p").select(*rows.columns, (F.col("__before") + F.col("__s")).cast("long").alias(name))  # one row a range
+
+
+def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
+    """rows with their place from 0 in a unique order."""
+    return running_sum(rows, order, F.lit(1).cast("long"), name)
+
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], key: str, value: list[str]) -> DataFrame:
     """The values of the last right row with right.key <= left.key in each group; null before the first.
@@ -35,11 +57,15 @@ def asof_bucketed(left: DataFrame, right: DataFrame, key: str, value: list[str],
 
 
 def _carry(prior: DataFrame, last: DataFrame) -> DataFrame:
-    """For each range the last right row of any earlier range."""
+    """For each range the last right row of any earlier range; the ranges themselves are dealt out in ranges."""
     marks = prior.select("__b", F.lit(None).cast(last.schema["__last"].dataType).alias("__last"), F.lit(0).alias("__s"))
-    rows = marks.unionByName(last.select("__b", "__last", F.lit(1).alias("__s")))
-    w = Window.orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__before", F.last("__last", ignorenulls=True).over(w)).where("__s = 0").select("__b", "__before")
+    dealt = _dealt(marks.unionByName(last.select("__b", "__last", F.lit(1).alias("__s"))), "__b", "__s")
+    ends = dealt.groupBy("__p").agg(F.max_by("__last", F.when(F.col("__last").isNotNull(), F.col("__b"))).alias("__end"))
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__p", F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+    inside = Window.partitionBy("__p").orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("__own", F.last("__last", ignorenulls=True).over(inside)).where("__s = 0")
+    return found.join(F.broadcast(carried), "__p").select("__b", F.coalesce("__own", "__carried").alias("__before"))  # one row a range
 
 
 def range_of(points: DataFrame, spans: DataFrame, key: str, start: str, stop: str, take: list[str], width: int) -> DataFrame:
@@ -71,8 +97,7 @@ def alignment(signal: DataFrame, reference: DataFrame, key: str, at: str, value:
 def intern(strings: DataFrame, text: str, position: str) -> tuple[DataFrame, DataFrame]:
     """A string pool: distinct strings in the order of their first use with byte offsets, and each use's offset."""
     first = strings.groupBy(text).agg(F.min(position).alias("first"))
-    size = F.octet_length(text) + 1
-    pool = first.withColumn("offset", F.coalesce(F.sum(size).over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    pool = running_sum(first, "first", F.octet_length(text) + 1, "offset")
     return pool, strings.join(pool.select(text, "offset"), text)
 
 

@@ -50,30 +50,32 @@ def pick(curve: DataFrame, by: str, lam: float, cap: float | None = None, weight
     return best.select(by, *[F.col(f"b.{c}").alias(c) for c in ("g", "r", "d")])
 
 
-def allocate(curve: DataFrame, by: str, target_bits: float, cap: float | None = None, grid: int = 33) -> tuple[float, DataFrame]:
+def allocate(curve: DataFrame, by: str, target_bits: float, cap: float | None = None, grid: int = 33, weight: str | None = None) -> tuple[float, DataFrame]:
     """The lambda at which the chosen bits just fit the target, and the choice.
 
     The bisection over ln(lambda) is done by grids: one aggregation gives the bits at every point of a
     grid, and the next grid lies between the last point that doesn't fit and the first that does. Two
-    or three jobs replace the 64 of a plain bisection, over curves that should be materialised.
+    or three jobs replace the 64 of a plain bisection, over curves that should be materialised. weight
+    names a column that the distortion is multiplied by.
     """
     frames = curve.select(by).distinct().count()
     target = target_bits - SIDE_BITS * frames
     allowed = curve if cap is None else curve.where(F.col("c") <= cap)
     if allowed.select(by).distinct().count() != frames:
         raise ValueError("a frame has no candidate within the cap")
+    d = F.col("d") * (F.col(weight) if weight else 1.0)
     lo, hi = LOW, HIGH
     while hi - lo > (HIGH - LOW) / 2**40:
         points = [lo + (hi - lo) * i / (grid - 1) for i in range(grid)]
-        picks = [F.min(F.struct((F.col("d") + exp(p) * F.col("r")).alias("j"), "g", "r"))["r"].alias(f"r{i}") for i, p in enumerate(points)]
+        picks = [F.min(F.struct((d + exp(p) * F.col("r")).alias("j"), "g", "r"))["r"].alias(f"r{i}") for i, p in enumerate(points)]
         bits = allowed.groupBy(by).agg(*picks).agg(*[F.sum(f"r{i}") for i in range(grid)]).first()
         fits = [i for i in range(grid) if bits[i] <= target]
         if not fits:
             raise ValueError(f"the smallest choice takes {bits[grid - 1]} bits, {target} are there")
         if fits[0] == 0:
-            return exp(lo), pick(curve, by, exp(lo), cap)
+            return exp(lo), pick(curve, by, exp(lo), cap, weight)
         lo, hi = points[fits[0] - 1], points[fits[0]]
-    return exp(hi), pick(curve, by, exp(hi), cap)
+    return exp(hi), pick(curve, by, exp(hi), cap, weight)
 
 
 def best_path(costs: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[list[int], float]:

@@ -164,3 +164,73 @@ def viterbi_classes(spark, sf):
     moves = 3.0 * (1 - np.eye(4))
     found = R.best_paths(table(spark, sf, "embeddings").select("vec_id", costs.alias("costs")), "vec_id", "costs", moves, np.arange(4) * 0.5)
     return found.withColumn("cost", F.round("cost", 6))
+
+
+# the codec
+
+
+def _album(spark, sf):
+    """An album of all events in order: two tones, and on one side the events' values."""
+    from strandline.operators.lookup import numbered
+
+    s = numbered(table(spark, sf, "events").select("event_id", "value"), "event_id", "i")
+    left = F.round(8000 * F.sin(F.col("i") * 0.031) + 2000 * F.sin(F.col("i") * 0.21))
+    return s.select("i", left.alias("left"), (0.8 * left + F.round("value")).alias("right"))
+
+
+@query(
+    "album_codec",
+    """WITH n AS (SELECT count(*) AS n FROM events) SELECT n AS samples, (n + 511) // 512 + 1 AS frames, (((n + 511) // 512 + 1) + 255) // 256 AS seeks, 2::BIGINT AS tracks, true AS fits, true AS good, true AS seekable FROM n""",
+)
+def album_codec(spark, sf):
+    """Encode to 700 bits a frame, decode, and compare: within the budget, over 20 dB, and a late track the same as in the whole."""
+    from strandline.operators import codec
+    from strandline.session import materialize
+    from strandline.sources import containers, uli
+
+    signal = materialize(_album(spark, sf), "album")
+    n = signal.count()
+    tracks = [{"start_sample": 0, "samples": n // 3, "title": "One", "artist": "A"}, {"start_sample": n // 3, "samples": n - n // 3, "title": "Two", "artist": "A"}]
+    frames = -(-n // 512) + 1
+    blob = codec.encode(signal, n, 700.0 * frames, tracks, stride=24, width=2, train=False)
+    m = containers.parse_ula2(blob)
+    heard = codec.decode(blob)
+    rows = signal.orderBy("i").toPandas()  # one album, whose size the format bounds
+    x = rows[["left", "right"]].to_numpy().T
+    bits = sum(f["bits"] for f in uli.read_frames(m["stream"], uli.Tables.parse(m["tables"]), 0, 0, frames))
+    same = bool((codec.decode_track(blob, 1) == heard[:, n // 3 :]).all())
+    row = (n, m["header"]["frames"], m["header"]["seeks"], len(m["tracks"]), bits <= 700 * frames, bool(codec.snr(x, heard.astype(float)) > 20), same)
+    return spark.createDataFrame([row], "samples long, frames long, seeks long, tracks long, fits boolean, good boolean, seekable boolean")
+
+
+@query("synthesis_fixed", "SELECT vec_id, true AS close, true AS eight_is_high_byte FROM embeddings")
+def synthesis_fixed(spark, sf):
+    """The 32-bit synthesis of vectors as the lowest coefficients of a frame, against the same transform in floating point."""
+
+    @F.pandas_udf("struct<close:boolean,eight:boolean>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        from strandline.operators import codec, fixed
+
+        x = np.zeros((len(values), fixed.HOP))
+        x[:, :64] = np.stack(values.to_list()) * 3e6
+        x = np.round(x)
+        rows = []
+        for row in x:
+            frames = np.stack([row, np.zeros(fixed.HOP)])
+            eight, sixteen, _ = fixed.overlap(fixed.imdct(frames.astype(np.int64)))
+            back = T.imdct(frames / codec.analysis_scale()) * T.sine_window(fixed.HOP)
+            plain = np.concatenate([back[0, : fixed.HOP], back[0, fixed.HOP :]])
+            rows.append((bool(np.abs(plain - sixteen.ravel()).max() <= 3), bool(np.abs(eight.ravel() - sixteen.ravel() / 256).max() <= 1)))
+        return pd.DataFrame(rows, columns=["close", "eight"])
+
+    return table(spark, sf, "embeddings").select("vec_id", run("embedding").alias("r")).select("vec_id", "r.close", F.col("r.eight").alias("eight_is_high_byte"))
+
+
+@query("quantiser_units", "SELECT g, ms, (floor(pow(2, (g - 4 * ms) / 8.0) + 0.5))::BIGINT AS step, round(floor(pow(2, (g - 4 * ms) / 8.0) + 0.5) * CASE WHEN ms = 1 THEN 1.4142135623730951 ELSE 1 END / 16, 9) AS unit, greatest(1, least(65535, (268435456 // floor(pow(2, (g - 4 * ms) / 8.0) + 0.5)::BIGINT) // 16 - 1))::BIGINT AS largest FROM (SELECT unnest(range(8, 188)) AS g), (SELECT unnest([0, 1]) AS ms)")
+def quantiser_units(spark, sf):
+    """Step, reconstruction unit and largest magnitude of every step, for both kinds of frames."""
+    from strandline.operators import fixed
+
+    steps = F.array(*[F.lit(int(v)) for v in fixed.steps()])
+    q = spark.range(8, 188).select(F.col("id").alias("g"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ms")).withColumn("step", F.get(steps, (F.col("g") - 4 * F.col("ms")).cast("int")).cast("long"))
+    return q.select("g", "ms", "step", F.round(F.col("step") * F.when(F.col("ms") == 1, sqrt(2)).otherwise(1.0) / 16, 9).alias("unit"), B.largest_magnitude("step").alias("largest"))

@@ -116,6 +116,23 @@ def test_asof_ties_and_misses(spark):
     assert got == {k: 1 if k < 13 else 2 if k < 612 else 3 for k in range(0, 1000, 7)}
 
 
+def test_sums_and_places_run_over_ranges(spark):
+    rng = np.random.default_rng(7)
+    keys = rng.permutation(3000)[:1000].tolist()
+    rows = spark.createDataFrame([(int(k), int(v)) for k, v in zip(keys, rng.integers(0, 9, 1000), strict=True)], "k long, v int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.k: (r.s, r.n) for r in lookup.numbered(lookup.running_sum(rows, "k", lookup.F.col("v"), "s"), "k").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    total, want = 0, {}
+    for i, r in enumerate(sorted(rows.collect())):
+        want[r.k] = (total, i)
+        total += r.v
+    assert got == want
+    assert lookup.numbered(rows.where("false"), "k").count() == 0
+
+
 def test_palette_images_hold_every_sample(spark, sf):
     sizes = [r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()]
     assert registry.QUERIES["palette_images"](spark, sf).count() == sum(-(-n // 64) * 64 for n in sizes)
