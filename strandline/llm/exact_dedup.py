@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import join_sized, keep_only
+from strandline.llm.common import join_sized, keep_only, trimmed
 from strandline.session import materialize
 
 _PARTIAL = "digest string, n_bytes long, alt long, keep_id long, size long"
@@ -186,8 +186,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     total = docs.count() if total is None else total
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / shard_keys))
-    partial = digests(docs, id_col, text_col).select("digest", "n_bytes", "alt", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("size")).mapInArrow(_indexed(shard_keys, 1), _PARTIAL)
-    return partial.repartition(shards, "digest").mapInArrow(_indexed(None, 2), _PARTIAL)
+    partial = digests(docs, id_col, text_col).select("digest", "n_bytes", "alt", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("size")).mapInArrow(trimmed(_indexed(shard_keys, 1)), _PARTIAL)
+    return partial.repartition(shards, "digest").mapInArrow(trimmed(_indexed(None, 2)), _PARTIAL)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import textkernel as tk
-from strandline.llm.common import fresh, hashed_share, held_out
+from strandline.llm.common import fresh, hashed_share, held_out, trimmed
 from strandline.session import materialize
 
 UNKNOWN = "und"
@@ -29,13 +29,13 @@ _SHARP = 20.0
 #: drop_unknown's border as a share of a language's median, and its correction for length, in n-grams.
 SHARE, WIDTH = 0.35, 150
 #: Distinct n-grams of a text that are multiplied at a time.
-_STEP = 8192
+_STEP = 2048
 
 
 class Space:
     """Letter and n-gram vectors of one dimension, n and seed. Up to most n-gram vectors are kept as they are met."""
 
-    def __init__(self, dimension: int = 512, n: int = 3, seed: int = 7, most: int = 60_000):
+    def __init__(self, dimension: int = 512, n: int = 3, seed: int = 7, most: int = 20_000):
         self.dimension, self.n, self.seed, self.most = dimension, n, seed, most
         self._letter = np.array([chr(c).isalpha() for c in range(0x110000)])
         self._reset()
@@ -129,6 +129,7 @@ def prototypes(docs: DataFrame, max_rows: int = 20_000, dimension: int = 512, n:
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
     labelled = labelled.where(hashed_share(F.col("__id"), max_rows, labelled.select("__id").count()))
 
+    @trimmed
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(dimension, n, seed), {}
         for batch in batches:
@@ -157,6 +158,7 @@ def judged(text: Column, profiles: dict[str, np.ndarray], n: int = 3, seed: int
     matrix = np.stack([profiles[k] for k in names]) if names else np.zeros((0, 64), np.float32)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,cosine:double,n_grams:long,own:double>")
+    @trimmed
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         space = Space(matrix.shape[1], n, seed)
         for texts, labels in batches:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import textkernel as tk
-from strandline.llm.common import HEAVY, join_sized, keep_only, only
+from strandline.llm.common import HEAVY, join_sized, keep_only, only, trimmed
 from strandline.session import materialize
 
 MISS = 1e-8
@@ -174,7 +174,7 @@ def _confirmed(edges: DataFrame, shingles: DataFrame, percent: int, part: int =
     members = dealt.join(shingles, F.col("b") == F.col("row")).select("a", "part", F.lit(1).alias("side"), "b", "shingles")
     centres = degrees.join(shingles, F.col("a") == F.col("row")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"), "shingles")
     rows = members.union(centres).repartition("a", "part").sortWithinPartitions("a", "part", "side")
-    return rows.mapInArrow(_confirm(percent), "a long, b long")
+    return rows.mapInArrow(trimmed(_confirm(percent)), "a long, b long")
 
 
 _MEMBER = "key long, row long, n_shingles long, label long"
@@ -190,7 +190,7 @@ def _starred(members: DataFrame, turn: int = 0) -> DataFrame:
     the centre alone. Where a key isn't cut, its first member is the centre; where it is, turn chooses.
     """
     dealt = members.select("key", "row", "n_shingles", "label").repartitionByRange("key", "row").sortWithinPartitions("key", "row")
-    return dealt.mapInArrow(_runs(turn), _STARRED)
+    return dealt.mapInArrow(trimmed(_runs(turn)), _STARRED)
 
 
 def _runs(turn: int, most: int = 1 << 20):
@@ -257,7 +257,7 @@ def _reachable(still: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
     original by words of their own, this settles every member that is too far from the original.
     """
     own = shingles.join(still.select("row", "label").distinct(), "row")
-    each = materialize(own.select("row", "label", "shingles").mapInArrow(_exploded, "row long, label long, shingle long"), "open_shingles")
+    each = materialize(own.select("row", "label", "shingles").mapInArrow(trimmed(_exploded), "row long, label long, shingle long"), "open_shingles")
     shared = each.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("shingle", "rows")
     reach = join_sized(each, shared, "shingle", "rows", each.count(), "row", "inner").groupBy("row").agg(F.count(F.lit(1)).alias("reach"))
     able = still.join(reach, "row").where(F.col("reach") * (100 + percent) >= percent * (F.col("n_shingles") + F.expr(f"(n_shingles * {percent} + 99) div 100")))
@@ -370,7 +370,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     """doc_id, n_shingles, text_hash, component_id, kept of each row of docs."""
     bands, rows = bands_for(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_hash(F.col(text_col)).alias("text_hash"))
-    signed = texts.mapInArrow(_signed(k, bands, rows), "doc_id long, n_shingles long, set_digest string, bands array<long>, text_hash long")
+    signed = texts.mapInArrow(trimmed(_signed(k, bands, rows)), "doc_id long, n_shingles long, set_digest string, bands array<long>, text_hash long")
     signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     facts = signed.select("row", "doc_id", "n_shingles", "set_digest", "text_hash")
     total = facts.count()
@@ -387,7 +387,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     involved = materialize(named.join(starred.select(F.col("row").alias("__row")).distinct(), F.col("row") == F.col("__row"), "left_semi").select("row", "doc_id", "set_digest"), "involved")
     no_id = F.lit(-(1 << 63)).cast("long")
     own_text = only(texts, {"id": F.coalesce("doc_id", no_id)}, involved.select(F.coalesce("doc_id", no_id).alias("id")).distinct())
-    sets_of = own_text.select(F.lit(0), "text").mapInArrow(_shingled(k), "set_digest string, shingles binary")
+    sets_of = own_text.select(F.lit(0), "text").mapInArrow(trimmed(_shingled(k)), "set_digest string, shingles binary")
     shingles = materialize(sets_of.join(involved.select("row", F.col("set_digest").alias("__digest")), F.col("set_digest") == F.col("__digest")).dropDuplicates(["set_digest"]).select("row", "shingles"), "shingles")
     labels = _links(starred, shingles, percent, star_rounds)
 
@@ -401,7 +401,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
     return out.select("doc_id", "n_shingles", "text_hash", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     A text's set holds its distinct windows of k words (A-Z lower-cased); a text of fewer words has its
@@ -425,7 +425,7 @@ def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
     A verdict is that of an id and its text, told by a 64-bit hash, so another text under the id has its
     own. Rows with a null id stay.
     """
-    gone = _grouped(docs, k, percent, id_col, text_col, 3).where("not kept and doc_id is not null").select("doc_id", "text_hash")
+    gone = _grouped(docs, k, percent, id_col, text_col, 2).where("not kept and doc_id is not null").select("doc_id", "text_hash")
     return keep_only(docs, {"doc_id": docs[id_col].cast("long"), "text_hash": _text_hash(docs[text_col])}, materialize(gone.distinct(), "near"))
 
 

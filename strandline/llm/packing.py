@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.bytebpe import ByteBpe
+from strandline.llm.common import trimmed
 from strandline.session import materialize
 
 END = 0
@@ -134,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (1024, 512, 2
                 yield packer.take()
         yield packer.finish()
 
-    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA), "pieces")
+    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), SCHEMA), "pieces")
     return _grouped(pieces, step_tokens)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import textkernel as tk
-from strandline.llm.common import hashed_share, held_out
+from strandline.llm.common import hashed_share, held_out, trimmed
 
 #: Statistics of a text, each a logarithm or a log-odds, so that classes are nearer to Gaussians.
 FEATURES = ("log_words", "log_word_bytes", "symbols", "capitals", "exclamations", "bars", "digits", "same_word", "repeated_windows", "repeated_lines", "spread")
@@ -87,6 +87,7 @@ def features(text: Column) -> Column:
     """A struct of FEATURES; null and empty texts have the same."""
 
     @F.arrow_udf(f"struct<{_SCHEMA.replace(' double', ':double')}>")
+    @trimmed
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             x = _columns(texts)
@@ -155,6 +156,7 @@ def score_of(text: Column, model: Discriminant) -> Column:
     """The score of a text under a fitted model."""
 
     @F.arrow_udf("double")
+    @trimmed
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(model.score(_columns(texts)))
