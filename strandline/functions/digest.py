@@ -88,58 +88,111 @@ def fnv64_short(text: Column, basis: int = FNV64[0]) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(folded["hi"]), 8, "0"), F.lpad(F.hex(folded["lo"]), 8, "0")))
 
 
-def _columns(values: pd.Series):
-    """Byte positions of all values: (rows that are that long, their bytes)."""
-    raw = [b"" if v is None else v.encode() if isinstance(v, str) else bytes(v) for v in values]
-    sizes = np.array([len(r) for r in raw])
+#: With fewer rows than this left, the rest of their bytes is folded row by row: a step over arrays costs more than so many plain ones.
+_FEW = 48
+
+
+def _raws(values: pd.Series) -> list[bytes]:
+    return [b"" if v is None else v.encode() if isinstance(v, str) else bytes(v) for v in values]
+
+
+def _columns(raw: list[bytes]):
+    """Byte positions of all values while at least _FEW are that long: (rows, their bytes). Ends with (rows, None): what is left of them."""
+    sizes = np.array([len(r) for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     begins = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
-    live = len(raw)
-    for i in range(int(sizes.max()) if len(sizes) else 0):
+    live, i = len(raw), 0
+    while True:
         while live and sizes[order[live - 1]] <= i:
             live -= 1
+        if live < _FEW:
+            yield order[:live], None, i
+            return
         rows = order[:live]
-        yield rows, data[begins[rows] + i]
+        yield rows, data[begins[rows] + i], i
+        i += 1
+
+
+class _Fold:
+    """A digest over columns of bytes, and over the rest of one row."""
+
+    def __init__(self, name: str, basis: int | None = None):
+        self.name = name
+        if name in CRCS:
+            self.width, self.table, self.start = CRCS[name][0], np.array(crc_table(name), np.uint64), 0
+        else:
+            self.width, (start, self.prime) = (64, FNV64) if name == "fnv64" else (32, FNV32)
+            self.start = start if basis is None else basis
+        self.mask = (1 << self.width) - 1
+
+    def step(self, x: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        if self.name in CRCS:
+            return ((x << np.uint64(8)) & np.uint64(self.mask)) ^ self.table[((x >> np.uint64(self.width - 8)) ^ byte) & np.uint64(255)]
+        new = (x ^ byte.astype(np.uint64)) * np.uint64(self.prime)
+        return new if self.width == 64 else new & np.uint64(self.mask)
+
+    def rest(self, x: int, data: bytes) -> int:
+        mask = self.mask
+        if self.name in CRCS:
+            table, down = crc_table(self.name), self.width - 8
+            for b in data:
+                x = (x << 8 & mask) ^ table[(x >> down ^ b) & 255]
+        else:
+            prime = self.prime
+            for b in data:
+                x = (x ^ b) * prime & mask
+        return x
+
+
+def _folded(raw: list[bytes], folds: list[_Fold]) -> list[np.ndarray]:
+    """The folds of every value, one pass over the byte positions for all of them."""
+    out = [np.full(len(raw), f.start, np.uint64) for f in folds]
+    for rows, byte, at in _columns(raw):
+        if byte is not None:
+            for x, f in zip(out, folds, strict=True):
+                x[rows] = f.step(x[rows], byte)
+            continue
+        for r in rows.tolist():
+            for x, f in zip(out, folds, strict=True):
+                x[r] = f.rest(int(x[r]), raw[r][at:])
+    return out
 
 
 def crc_udf(name: str):
     """Arrow form of crc_short, for strings and binaries of any length."""
-    width, table = CRCS[name][0], np.array(crc_table(name), np.uint64)
 
     @F.pandas_udf("long")
     def crc(values: pd.Series) -> pd.Series:
-        x = np.zeros(len(values), np.uint64)
-        for rows, byte in _columns(values):
-            old = x[rows]
-            x[rows] = ((old << np.uint64(8)) & np.uint64((1 << width) - 1)) ^ table[((old >> np.uint64(width - 8)) ^ byte) & np.uint64(255)]
-        return pd.Series(x.astype(np.int64))
+        return pd.Series(_folded(_raws(values), [_Fold(name)])[0].astype(np.int64))
 
     return crc
 
 
 def fnv_udf(bits: int = 64, basis: int | None = None):
     """Arrow form of FNV-1a: hex digits of 64 bits, LONG of 32 bits."""
-    start, prime = FNV64 if bits == 64 else FNV32
-    start = start if basis is None else basis
-
-    def fold(values: pd.Series) -> np.ndarray:
-        x = np.full(len(values), start, np.uint64)
-        for rows, byte in _columns(values):
-            new = (x[rows] ^ byte.astype(np.uint64)) * np.uint64(prime)
-            x[rows] = new if bits == 64 else new & np.uint64(0xFFFFFFFF)
-        return x
-
     if bits == 32:
 
         @F.pandas_udf("long")
         def fnv32(values: pd.Series) -> pd.Series:
-            return pd.Series(fold(values).astype(np.int64))
+            return pd.Series(_folded(_raws(values), [_Fold("fnv32", basis)])[0].astype(np.int64))
 
         return fnv32
 
     @F.pandas_udf("string")
     def fnv64(values: pd.Series) -> pd.Series:
-        return pd.Series([f"{v:016x}" for v in fold(values)])
+        return pd.Series([f"{v:016x}" for v in _folded(_raws(values), [_Fold("fnv64", basis)])[0].tolist()])
 
     return fnv64
+
+
+def digests(text: Column) -> Column:
+    """A struct of crc8, crc16, ogg, fnv32 and fnv64 of texts of any length: one Arrow function and one pass over the bytes for all."""
+
+    @F.pandas_udf("struct<crc8:long,crc16:long,ogg:long,fnv32:long,fnv64:string>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        found = _folded(_raws(values), [_Fold(n) for n in (*CRCS, "fnv32", "fnv64")])
+        out = {n: x.astype(np.int64) for n, x in zip((*CRCS, "fnv32"), found, strict=False)}
+        return pd.DataFrame(out | {"fnv64": [f"{v:016x}" for v in found[-1].tolist()]})
+
+    return run(text)

@@ -187,8 +187,7 @@ def short_digests(spark, sf):
 @query("document_digests", _digests_sql("doc_id", "coalesce(text, '')", "documents"))
 def document_digests(spark, sf):
     """Whole texts through the Arrow forms."""
-    text = F.coalesce("text", F.lit(""))
-    return table(spark, sf, "documents").select("doc_id", *[D.crc_udf(k)(text).alias(k) for k in D.CRCS], D.fnv_udf(32)(text).alias("fnv32"), D.fnv_udf(64)(text).alias("fnv64"))
+    return table(spark, sf, "documents").select("doc_id", D.digests(F.coalesce("text", F.lit(""))).alias("d")).select("doc_id", "d.*")
 
 
 @query(
