@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.functions.digest import FNV64
 from strandline.operators import stats as S
 from strandline.plans.registry import query
 from strandline.session import table
@@ -114,6 +115,41 @@ def ring_machine(spark, sf):
     return batch(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.when(op == "take", M.CHUNK).otherwise(F.round("value") * 20).cast("long").alias("n")), "ring")
 
 
+_FNV_SQL = "list_reduce({}, lambda h, b: ((xor(h, b::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT), {})"
+
+
+def _played_sql(side: str, items: str) -> str:
+    return f"CASE WHEN op = 'push' AND why IS NULL THEN {_FNV_SQL.format(items, side)} ELSE {side} END"
+
+
+@query(
+    "ring_feed",
+    f"""WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_type WHEN 'click' THEN 'take' WHEN 'purchase' THEN 'truncate' ELSE 'push' END AS op, round(value * 100)::BIGINT - 14000 AS x FROM events),
+       r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0::BIGINT AS ready, NULL::VARCHAR AS verdict, 0::BIGINT AS moved, NULL::VARCHAR AS refused, {FNV64[0]}::HUGEINT AS l, {FNV64[0]}::HUGEINT AS r FROM (SELECT DISTINCT user_id FROM events)
+             UNION ALL
+             SELECT user_id, i, event_id, CASE WHEN op = 'push' AND why IS NULL THEN ready + 3 WHEN op = 'truncate' THEN 0 WHEN op = 'take' AND ready >= 7 THEN ready - 7 ELSE ready END, CASE WHEN op = 'take' THEN CASE WHEN ready >= 7 THEN 'full' ELSE 'starved' END END,
+                    CASE WHEN op = 'push' AND why IS NULL THEN 3 WHEN op = 'truncate' THEN ready WHEN op = 'take' AND ready >= 7 THEN 7 ELSE 0 END, CASE WHEN op = 'push' THEN why END,
+                    {_played_sql("l", "[(x >> 8) & 255, ((x + 300) >> 8) & 255, ((x + 600) >> 8) & 255]")}, {_played_sql("r", "[((-x) >> 8) & 255, ((-x - 300) >> 8) & 255, ((-x - 600) >> 8) & 255]")}
+             FROM (SELECT o.*, ready, l, r, CASE WHEN ready + 3 > 20160 THEN 'space' WHEN x + 600 > 32767 OR -x - 600 < -32768 THEN 'profile' END AS why FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+       SELECT user_id AS key, event_id AS seq, verdict, moved AS "real", ready, refused, lower(lpad(hex(l::UBIGINT), 16, '0')) AS played_left, lower(lpad(hex(r::UBIGINT), 16, '0')) AS played_right FROM r WHERE i > 0""",
+)
+def ring_feed(spark, sf):
+    """Frames of three samples into each user's ring, with the digests of what will be played; frames out of range change nothing."""
+    x = F.round(F.col("value") * 100).cast("long") - 14000
+    op = F.when(F.col("event_type") == "click", "take").when(F.col("event_type") == "purchase", "truncate").otherwise("push")
+    frames = [F.array(*[(s * (x + 300 * i)).cast("long") for i in range(3)]) for s in (1, -1)]
+    return batch(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.lit(7).cast("long").alias("n"), frames[0].alias("left"), frames[1].alias("right")), "feed")
+
+
+@query("frame_source", "SELECT t::INT AS track, f AS frame, p AS place, f * 64 AS first_sample, f = 0 AS roll, list_transform(range(64), lambda k: ((t * 7919 + f * 64 + k) * 40503) % 65536 - 32768)::INT[] AS \"left\" FROM (SELECT 0 AS t, unnest(range(0, 700)) AS f, unnest(range(0, 700)) AS p UNION ALL SELECT 1, unnest(range(0, 300)), unnest(range(700, 1000)))")
+def frame_source(spark, sf):
+    """The generated frames of two tracks through the data source."""
+    from strandline.streaming import framesource
+
+    framesource.register(spark)
+    return spark.read.format("frames").option("kind", "stub").option("frames", "700,300").load().select("track", "frame", "place", "first_sample", "roll", "left")
+
+
 _COMMANDS = ("period", "toggle", "period", "period", "skip", "period", "cover", "toggle_dry", "filled", "period")
 _TRANSPORT_SQL = f"""WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, {list(_COMMANDS)!r}[event_id % 10 + 1] AS command FROM events),
        r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS command, NULL::VARCHAR AS step, 'playing' AS state, 256 AS level, 0 AS slope, 0 AS wait, false AS silent FROM (SELECT DISTINCT user_id FROM events)

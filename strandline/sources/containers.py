@@ -50,12 +50,17 @@ def build_pool(strings: list[str], align: int = 4) -> tuple[bytes, list[int]]:
 
 
 def parse_gafp(blob: bytes) -> dict:
+    return parse_gafp_head(blob, len(blob))
+
+
+def parse_gafp_head(blob: bytes, size: int) -> dict:
+    """From the header and the offset table alone, of a file of size bytes."""
     _need(len(blob) >= 28 and blob[:4] == b"GAFP" and blob[4] == 1, "no GAFP version 1")
     channels, bits, order, block, rate, samples, n, start = struct.unpack_from("<BBBHIQHI", blob, 5)
     _need(channels in (1, 2) and bits in (8, 16) and block > 0 and rate > 0 and order <= 4, "a header field is out of range")
-    _need(start == 28 + 4 * n and start <= len(blob), "the table doesn't end where the frames begin")
+    _need(start == 28 + 4 * n and start <= min(len(blob), size), "the table doesn't end where the frames begin")
     offsets = list(struct.unpack_from(f"<{n}I", blob, 28))
-    _need(not n or offsets[0] == start and all(a < b for a, b in zip(offsets, offsets[1:], strict=False)) and offsets[-1] < len(blob), "frame offsets out of order")
+    _need(not n or offsets[0] == start and all(a < b for a, b in zip(offsets, offsets[1:], strict=False)) and offsets[-1] < size, "frame offsets out of order")
     return {"channels": channels, "bits": bits, "max_order": order, "block": block, "rate": rate, "samples": samples, "frames": n, "frame_data": start, "offsets": offsets}
 
 

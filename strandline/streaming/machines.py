@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.digest import FNV64, fnv_of
+
 #: The playback chain and the key machine.
 CHUNK, RING_CHUNKS, PREFILL_CHUNKS, UNITY = 560, 36, 16, 256
 REPEAT_DELAY, REPEAT_INTERVAL = 24, 8
@@ -50,6 +52,28 @@ class Ring:
         return dropped
 
 
+@dataclass
+class Feed:
+    """A ring that frames of samples go into, with a digest of each channel's bytes as they are played.
+
+    A frame goes in whole: one that doesn't fit, whose sides differ in length, or with a sample out of
+    16 bits changes neither ring nor digests.
+    """
+
+    ring: Ring
+    digests: tuple[int, int] = (FNV64[0], FNV64[0])
+
+    def push(self, left: list[int], right: list[int]) -> str | None:
+        """Why the frame was refused, or None."""
+        if right and len(right) != len(left) or self.ring.ready + len(left) > self.ring.size:
+            return "space"
+        if any(not -32768 <= v <= 32767 for v in (*left, *right)):
+            return "profile"
+        self.ring.push(len(left))
+        self.digests = tuple(fnv_of(bytes(v >> 8 & 255 for v in x), d, FNV64[1], 64) for x, d in zip((left, right), self.digests, strict=True))
+        return None
+
+
 @dataclass
 class Ledger:
     periods: int = 0

@@ -24,6 +24,8 @@ KEY_OUT = "key long, seq long, held int, pressed int, released int, repeated int
 KEY_STATE = "mask int, held int, direction int, place int"
 RING_OUT = "key long, seq long, verdict string, real long, ready long, refused boolean"
 RING_STATE = "size long, pushed long, consumed long"
+FEED_OUT = "key long, seq long, verdict string, real long, ready long, refused string, played_left string, played_right string"
+FEED_STATE = "size long, pushed long, consumed long, played_left string, played_right string"
 TRANSPORT_OUT = "key long, seq long, command string, step string, state string, gain int"
 TRANSPORT_STATE = "state string, level int, slope int, wait int, heard_silence boolean"
 
@@ -41,6 +43,18 @@ def step_ring(ring: M.Ring, op: str, n: int) -> tuple[M.Ring, tuple]:
     return ring, (verdict, real, ring.ready, refused)
 
 
+def step_feed(feed: M.Feed, op: str, n: int, left: list[int] | None, right: list[int] | None) -> tuple[M.Feed, tuple]:
+    """op: 'push' of a frame, or 'take', 'finish' and 'truncate' as of a ring."""
+    verdict, refused, real = None, None, 0
+    left, right = ([] if x is None else [int(v) for v in x] for x in (left, right))  # a stream gives arrays
+    if op == "push":
+        refused = feed.push(left, right)
+        real = 0 if refused else len(left)
+    else:
+        _, (verdict, real, _, _) = step_ring(feed.ring, op, n)
+    return feed, (verdict, real, feed.ring.ready, refused, *(f"{d:016x}" for d in feed.digests))
+
+
 def step_transport(machine: M.Transport, command: str) -> tuple[M.Transport, tuple]:
     machine, step = machine.on(command)
     return machine, (command, step, machine.state, machine.gain.level)
@@ -53,6 +67,9 @@ def _transport_state(machine: M.Transport) -> tuple:
 #: By name: the inputs, the step, output, state, and the machine from and to its state.
 MACHINES: dict[str, tuple[tuple[str, ...], Callable, str, str, Callable, Callable]] = {
     "ring": (("op", "n"), step_ring, RING_OUT, RING_STATE, lambda s: M.Ring(*s) if s else M.Ring(), astuple),
+    "feed": (
+        ("op", "n", "left", "right"), step_feed, FEED_OUT, FEED_STATE, lambda s: M.Feed(M.Ring(*s[:3]), tuple(int(d, 16) for d in s[3:])) if s else M.Feed(M.Ring()), lambda f: (*astuple(f.ring), *(f"{d:016x}" for d in f.digests))
+    ),
     "transport": (("command",), step_transport, TRANSPORT_OUT, TRANSPORT_STATE, lambda s: M.Transport(s[0], M.Gain(*s[1:4]), s[4]) if s else M.Transport(), _transport_state),
 }
 

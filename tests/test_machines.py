@@ -78,6 +78,7 @@ def test_every_state_is_reached_and_left():
 ROWS = {
     "keys": ("mask int", lambda rng: (rng.choice([0, M.A, M.RIGHT, M.LEFT, M.SOFT_RESET]),)),
     "ring": ("op string, n long", lambda rng: (rng.choice(["push", "take", "truncate", "finish"]), rng.choice([100, 560, 5000]))),
+    "feed": ("op string, n long, left array<int>, right array<int>", lambda rng: (rng.choice(["push", "push", "push", "take"]), 4, [rng.choice([5, -300, 40_000 if rng.random() < 0.1 else 7]) for _ in range(3)], [1, 2, 3] if rng.random() < 0.9 else [1])),
     "transport": ("command string", lambda rng: (rng.choice(["period", "toggle", "toggle_dry", "skip", "filled", "cover"]),)),
 }
 
@@ -96,3 +97,65 @@ def test_stream_equals_batch(spark, tmp_path, machine):
     assert query.awaitTermination(100)
     got = sorted(map(tuple, spark.table(f"out_{machine}").collect()), key=str)
     assert got == want
+
+
+def test_a_feed_takes_whole_frames():
+    feed = M.Feed(M.Ring(8))
+    assert feed.push([256, 512, -256], [0, 0, 0]) is None
+    before = feed.digests
+    assert feed.push([1] * 6, [1] * 6) == "space" and feed.push([1], [1, 2]) == "space" and feed.push([1, 40_000], [0, 0]) == "profile"
+    assert feed.digests == before and feed.ring.ready == 3
+    assert feed.push([512], []) is None and feed.digests[1] == before[1] != feed.digests[0]
+
+
+@pytest.fixture(scope="module")
+def tracks(tmp_path_factory):
+    """Two packed tracks and what they hold."""
+    from strandline.sources import containers, flac
+
+    folder, rng, signals = tmp_path_factory.mktemp("tracks"), random.Random(5), []
+    for name, n in (("a", 300), ("b", 130)):
+        x = [rng.randrange(-500, 500) for _ in range(n)]
+        signals.append(x)
+        data = flac.encode([x, [-v for v in x]], block=64)
+        (folder / f"{name}.gafp").write_bytes(containers.pack_flac(data))
+        (folder.parent / f"{name}.flac").write_bytes(data)
+    return folder, signals
+
+
+def test_frames_are_read_by_their_offsets(spark, tracks):
+    from strandline.streaming import framesource
+
+    framesource.register(spark)
+    folder, signals = tracks
+    rows = spark.read.format("frames").option("path", str(folder)).option("per_task", "2").load().orderBy("place").collect()
+    assert [(r.track, r.frame, r.place, r.roll) for r in rows] == [(0, i, i, i == 0) for i in range(5)] + [(1, i, 5 + i, i == 0) for i in range(3)]
+    for t, x in enumerate(signals):
+        own = [r for r in rows if r.track == t]
+        assert [v for r in own for v in r.left] == x and [-v for r in own for v in r.right] == x and [r.first_sample for r in own] == [64 * i for i in range(len(own))]
+    silenced = spark.read.format("frames").option("path", str(folder)).option("skip", "70").load().where("track = 0").orderBy("place").collect()
+    assert [v for r in silenced for v in r.left] == [0] * 70 + signals[0][70:]
+    one = spark.read.format("frames").option("kind", "flac").option("path", str(folder.parent / "a.flac")).load().orderBy("place").collect()
+    assert [v for r in one for v in r.left] == signals[0]
+
+
+def test_a_stream_pulls_frames_and_rolls_over(spark, tracks, tmp_path):
+    import time
+
+    from strandline.streaming import framesource, gate
+
+    framesource.register(spark)
+    folder, signals = tracks
+    source = spark.readStream.format("frames").option("path", str(folder)).option("per_batch", "3").load()
+    query = source.writeStream.format("memory").queryName("pulled").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
+    for _ in range(300):
+        if spark.table("pulled").count() == 8:
+            break
+        time.sleep(0.2)
+    progress = [p for p in query.recentProgress]
+    query.stop()
+    rows = spark.table("pulled").orderBy("place").collect()
+    assert [v for r in rows for v in r.left] == [v for x in signals for v in x] and [r.place for r in rows if r.roll] == [0, 5]
+    periods = gate.measured(spark, progress)
+    report = gate.report(periods.where("rows > 0"), 60_000).first()
+    assert (report.periods, report.starved, report.late, report.most_rows) == (3, 0, 0, 3)
