@@ -7,6 +7,7 @@ recursion and runs as an Arrow function on whole blocks.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,16 +83,39 @@ def integrate_lpc_samples(residual: list[int], coefficients: list[int], shift: i
     return out
 
 
+def integrate_lpc_blocks(blocks_: list[np.ndarray], coefficients: list[int], shift: int, bits: int | None = None) -> list[np.ndarray]:
+    """integrate_lpc_samples of many blocks side by side: one step over arrays for each place in a block."""
+    order, sizes = len(coefficients), [len(b) for b in blocks_]
+    x = np.zeros((order + max(sizes, default=0), len(blocks_)), np.int64)  # places x blocks, with order zeros before
+    for j, b in enumerate(blocks_):
+        x[order : order + sizes[j], j] = b
+    weights = np.array(coefficients[::-1], np.int64)
+    for i in range(len(x) - order):
+        row = x[order + i]
+        if i >= order:
+            row += weights @ x[i : i + order] >> shift
+        if bits:
+            row[:] = ((row + (1 << (bits - 1))) & ((1 << bits) - 1)) - (1 << (bits - 1))
+    return [x[order : order + n, j] for j, n in enumerate(sizes)]
+
+
 def integrate_lpc(blocks_: DataFrame, coefficients: list[int], shift: int, column: str = "residuals", out: str = "samples", bits: int | None = None) -> DataFrame:
-    """Inverse of lpc_residual on arrays, a block a row: a recursion, hence an Arrow function."""
+    """Inverse of lpc_residual on arrays, a block a row: a recursion, hence an Arrow function. bits wraps to that width."""
 
     @F.pandas_udf("array<bigint>")
     def run(values: pd.Series) -> pd.Series:
-        return pd.Series([integrate_lpc_samples([int(v) for v in block], coefficients, shift, bits) for block in values])
+        return pd.Series(integrate_lpc_blocks([np.asarray(v, np.int64) for v in values], coefficients, shift, bits))
 
     return blocks_.withColumn(out, run(column))
 
 
+def integrate_fixed_wrapped(residual: DataFrame, order: int, by: list[str], at: str = "i", e: str = "e", out: str = "y", bits: int = 32) -> DataFrame:
+    """integrate_fixed in arithmetic of bits: running sums wrap at the end alone, as wrapping commutes with adding."""
+    whole = integrate_fixed(residual, order, by, at, e, out)
+    half = F.lit(1 << (bits - 1)).cast("long")
+    return whole.withColumn(out, (F.col(out) + half).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) - half)
+
+
 def accumulator_fits(coefficients: Column, bits: int) -> Column:
     """If a dot product with samples of that width stays within 32 bits."""
     total = F.aggregate(coefficients, F.lit(0).cast("long"), lambda s, c: s + F.abs(c).cast("long"))

@@ -124,6 +124,33 @@ def lpc_integrate(spark, sf):
     return P.integrate_lpc(each, LPC, LPC_SHIFT).select("user_id", "blk", "samples")
 
 
+@query("fixed_wrapped_o2", f"SELECT user_id, blk, i, ((x * 100003 + 2147483648) & 4294967295) - 2147483648 AS y FROM ({BLOCK_SQL})")
+def fixed_wrapped_o2(spark, sf):
+    """Second-order integration in 32-bit arithmetic, of samples that pass its range."""
+    by = ["user_id", "blk"]
+    wide = blocked(spark, sf).withColumn("x", F.col("x") * 100003)
+    return P.integrate_fixed_wrapped(P.warm_residual(wide, 2, by), 2, by).select("user_id", "blk", "i", "y")
+
+
+@query("lpc_wrapped", f"SELECT user_id, blk, list(((x * 70001 + 2147483648) & 4294967295) - 2147483648 ORDER BY i) AS samples FROM ({BLOCK_SQL}) GROUP BY user_id, blk")
+def lpc_wrapped(spark, sf):
+    """A first-order predictor of weight 1 in 32-bit arithmetic, of samples that pass its range."""
+    e = P.lpc_residual(blocked(spark, sf).withColumn("x", F.col("x") * 70001), [1], 0, ["user_id", "blk"])
+    each = e.groupBy("user_id", "blk").agg(F.array_sort(F.collect_list(F.struct("i", "e"))).alias("r")).select("user_id", "blk", F.col("r.e").alias("residuals"))
+    return P.integrate_lpc(each, [1], 0, bits=32).select("user_id", "blk", "samples")
+
+
+@query("recipe_applied", """WITH s AS (SELECT user_id, event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, value AS x FROM events), w AS (SELECT i - 100 AS i, x, (SELECT max(i) - 99 FROM s WHERE i < 4000) AS n FROM s WHERE i >= 100 AND i < 4000)
+       SELECT i, round(x * 0.5 * least(1.0, (n - i) / 200.0), 6) AS x FROM w""")
+def recipe_applied(spark, sf):
+    """Trim, gain and a fade at the end of one signal, by a recipe of seconds."""
+    from strandline.operators.lookup import numbered
+    from strandline.sources.textual import apply_recipe
+
+    s = numbered(table(spark, sf, "events").select("event_id", F.col("value").alias("x")), "event_id", "i").select("i", "x")
+    return apply_recipe(s, "i", "x", 100, 1.0, 40.0, 2.0, 0.5).select("i", F.round("x", 6).alias("x"))
+
+
 @query("lpc_accumulator", "SELECT p_partkey, (p_size + p_partkey % 4096 + 17) * 32768 <= 2147483647 AS fits FROM part")
 def lpc_accumulator(spark, sf):
     p = table(spark, sf, "part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -371,3 +373,55 @@ def file_tags(spark, sf):
     """Titles from a stream's comments; the artist's is empty."""
     files = _turns(spark, sf, lambda roles, texts: flac.with_comments(flac.encode([[len(texts), 0, 1]]), {"TITLE": f" turns {len(texts)} ", "artist": " "}))
     return flac.read_tags(files).select(F.col("path").cast("long").alias("conv_id"), "title", "artist")
+
+
+@query("resync_frames", f"SELECT user_id, (frames - 1)::BIGINT AS good, 1::BIGINT AS damaged, (frames > 1)::INT::BIGINT AS last_found FROM ({_FRAMES_SQL})")
+def resync_frames(spark, sf):
+    """A damaged first frame is one row with its error, and the walk goes on at the next strict header."""
+
+    @F.pandas_udf("binary")
+    def damaged(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            data = bytearray(v)
+            first = next(flac.walk(bytes(v)))
+            data[first["offset"] + first["bytes"] - 1] ^= 1
+            out.append(bytes(data))
+        return pd.Series(out)
+
+    files = _files(spark, sf, _flac).select("path", damaged("content").alias("content"))
+    f = flac.read_frames(files, resync=True)
+    return f.groupBy(_user()).agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("damaged"), F.max(F.when(F.col("error").isNull(), 1).otherwise(0)).cast("long").alias("last_found"))
+
+
+@query("opus_heads", "SELECT conv_id, 1 AS version, (1 + conv_id % 2)::INT AS channels, (conv_id % 5000)::INT AS pre_skip, 48000::BIGINT AS rate, (-(conv_id % 256))::INT AS gain FROM conversations GROUP BY conv_id")
+def opus_heads(spark, sf):
+    """First packets of Ogg streams, read as identification headers."""
+    c = table(spark, sf, "conversations").select("conv_id").distinct()
+
+    @F.pandas_udf("binary")
+    def build(convs: pd.Series) -> pd.Series:
+        heads = (b"OpusHead" + struct.pack("<BBHIhB", 1, 1 + c % 2, c % 5000, 48000, -(c % 256), 0) for c in convs.tolist())
+        return pd.Series([ogg.build_page(0, h, bytes([len(h)]), 2) for h in heads])
+
+    files = c.select(F.col("conv_id").cast("string").alias("path"), build("conv_id").alias("content"))
+
+    @F.pandas_udf("struct<version:int,channels:int,pre_skip:int,rate:long,gain:int>")
+    def read(packets: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([{k: v for k, v in ogg.opus_head(bytes(p)).items() if k != "family"} for p in packets])
+
+    return ogg.read_packets(files).where("packet = 0").select(F.col("path").cast("long").alias("conv_id"), read("data").alias("h")).select("conv_id", "h.*")
+
+
+@query("ula_tracks", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS track, 512 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS start_sample, 512::BIGINT AS samples, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS preroll_frame, role AS title FROM conversations")
+def ula_tracks(spark, sf):
+    """The track rows of lossy albums, with their strings."""
+
+    def build(roles, texts):
+        t = uli.Tables.default()
+        frames = [{"g": 60 + i, "ms": i % 2, "channels": [[], []]} for i in range(len(roles) + 1)]
+        stream, places = uli.write_frames(frames, t)
+        rows = [{"start_sample": 512 * i, "samples": 512, "preroll_frame": i, "skip": 0, "title": r, "artist": "A"} for i, r in enumerate(roles)]
+        return containers.build_ula2(rows, places, t.blob(), stream, 512 * len(roles))
+
+    return containers.read(_turns(spark, sf, build), "ula2").select(F.col("path").cast("long").alias("conv_id"), "track", "start_sample", "samples", "preroll_frame", "title")

@@ -18,6 +18,7 @@ from strandline.functions.codes import LAYOUTS, RATE_CODES, SIZE_CODES, block_of
 from strandline.functions.digest import crc_of
 from strandline.operators.predict import FIXED, integrate_lpc_samples
 from strandline.sources.bitio import Bits, BitWriter, Short
+from strandline.sources.rice import KERNELS, RiceError
 
 #: Fixed values of the format.
 BLOCK_NAMES = ("streaminfo", "padding", "application", "seektable", "vorbis_comment", "cuesheet", "picture")
@@ -193,8 +194,8 @@ def frame_header(data: bytes, at: int, info: StreamInfo, shortest: bool = True)
     return FrameHeader(block, rate, channels, LAYOUTS.get(layout_code, "independent"), SIZE_CODES.get(size_code, info.bits), number, end + 1 - at)
 
 
-def residual(b: Bits, block: int, order: int) -> tuple[list[int], dict]:
-    """Residual after the warm-up, and its shape: partitions, largest parameter, escaped partitions."""
+def residual(b: Bits, block: int, order: int, kernel: str = "table") -> tuple[list[int], dict]:
+    """Residual after the warm-up, and its shape: partitions, largest parameter, escaped partitions. kernel reads the codes."""
     method = b.read(2)
     if method > 1:
         raise FlacError("a reserved residual method")
@@ -213,12 +214,10 @@ def residual(b: Bits, block: int, order: int) -> tuple[list[int], dict]:
             out += [b.signed(raw) for _ in range(n)] if raw else [0] * n
             continue
         shape["max_parameter"] = max(shape["max_parameter"], k)
-        for _ in range(n):
-            q = b.unary()
-            v = q << k | (b.read(k) if k else 0)
-            if v >= 0xFFFFFFFF:
-                raise FlacError("a residual out of range")
-            out.append(v >> 1 ^ -(v & 1))
+        try:
+            out += KERNELS[kernel](b, n, k)
+        except RiceError as error:
+            raise FlacError(str(error)) from error
     return out, shape
 
 

@@ -113,3 +113,53 @@ def test_lenient_headers_find_frames_without_a_tail_and_strict_ones_no_others():
     assert [i for i in at if scan.strict_header(data, i, info)] == frames and set(frames) <= {i for i in at if scan.lenient_header(data, i)}
     assert not scan.lenient_header(data, frames[1] + 1) and not scan.lenient_header(b"\xff\xf8", 0)
     assert scan.header_at_bit(data, 8 * frames[2], info).number == 2 and scan.header_at_bit(data, 8 * frames[2] + 3, info) is None
+
+
+def test_rice_kernels_agree_on_values_and_place():
+    import random
+
+    from strandline.sources import rice
+    from strandline.sources.bitio import Bits, BitWriter, Short
+
+    rng = random.Random(11)
+    for _ in range(200):
+        k, n, lead = rng.randrange(0, 15), rng.choice([0, 1, 5, 300]), rng.randrange(0, 9)
+        w = BitWriter()
+        w.put(0, lead)
+        want = [rng.randrange(-(1 << k + 2), 1 << k + 2) if rng.random() < 0.98 else rng.randrange(-(1 << k + 9), 1 << k + 9) for _ in range(n)]
+        for v in want:
+            z = 2 * v if v >= 0 else -2 * v - 1
+            w.unary(z >> k)
+            if k:
+                w.put(z, k)
+        data = w.bytes() + bytes([0x81] * rng.randrange(0, 3))
+        places = []
+        for kernel in rice.KERNELS.values():
+            b = Bits(data)
+            b.at = lead
+            assert kernel(b, n, k) == want
+            places.append(b.at)
+        assert len(set(places)) == 1
+    for kernel in rice.KERNELS.values():
+        with pytest.raises(Short):
+            kernel(Bits(bytes(40)), 3, 2)
+        w = BitWriter()
+        w.unary(1 << 18)
+        w.put(0, 14)
+        with pytest.raises(rice.RiceError):
+            kernel(Bits(w.bytes() + bytes(8)), 1, 14)
+
+
+def test_many_blocks_integrate_as_one_at_a_time():
+    import random
+
+    import numpy as np
+
+    from strandline.operators.predict import integrate_lpc_blocks, integrate_lpc_samples
+
+    rng = random.Random(12)
+    for bits in (None, 32):
+        weights = [rng.randrange(-40, 40) for _ in range(4)]
+        blocks = [[rng.randrange(-9000, 9000) for _ in range(rng.choice([0, 2, 4, 40]))] for _ in range(30)]
+        got = integrate_lpc_blocks([np.array(b, np.int64) for b in blocks], weights, 5, bits)
+        assert [g.tolist() for g in got] == [integrate_lpc_samples(b, weights, 5, bits) for b in blocks]
