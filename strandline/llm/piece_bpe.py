@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import trimmed
 from strandline.llm.textkernel import mix
 
 BLANK = 0x2581
@@ -254,7 +255,7 @@ def _keys(ids: list[int | None], seed: int) -> np.ndarray:
     return mix(values * _A + mix(np.array([seed + 1], np.uint64)))
 
 
-def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1 << 19) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1 << 16) -> DataFrame:
     """One row per row of docs: doc_id, ids, lossless (the ids decode to the text).
 
     digests: n_bytes, n_tokens and ids_crc32 (unsigned, of little-endian unsigned 32-bit ids) in place
@@ -279,11 +280,12 @@ def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 17,
                     columns = [pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts[a:b]], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([crc32(x.astype("<u4").tobytes()) for x in found], pa.int64())]
                     names = ["n_bytes", "n_tokens", "ids_crc32"]
                 else:
-                    columns, names = [pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], ["ids"]
+                    ends = np.cumsum([0, *(len(x) for x in found)]).astype(np.int32)
+                    columns, names = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))], ["ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), *columns, same], names=["doc_id", *names, "lossless"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {kept}, lossless boolean")
+    return rows.mapInArrow(trimmed(run), f"doc_id long, {kept}, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
