@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandline.functions.bits import fits16
 from strandline.functions.digest import FNV64
 from strandline.plans.q_predict import SIGNAL_SQL, signal
 from strandline.plans.registry import query
@@ -425,3 +426,38 @@ def ula_tracks(spark, sf):
         return containers.build_ula2(rows, places, t.blob(), stream, 512 * len(roles))
 
     return containers.read(_turns(spark, sf, build), "ula2").select(F.col("path").cast("long").alias("conv_id"), "track", "start_sample", "samples", "preroll_frame", "title")
+
+
+@query("frame_data_offsets", f"SELECT user_id, 4 + 38 + 4 + 18 * ((frames + 1) // 2) AS frame_data FROM ({_FRAMES_SQL})")
+def frame_data_offsets(spark, sf):
+    """Where each stream's frames begin, from its blocks alone."""
+    b = flac.read_blocks(_files(spark, sf, _flac))
+    return b.groupBy(_user()).agg(F.max(F.col("offset") + F.col("length")).alias("frame_data"))
+
+
+@query("range_gate", f"SELECT user_id, bool_and(x * 3 - 70000 BETWEEN -32768 AND 32767) AS fits, min(CASE WHEN x * 3 - 70000 NOT BETWEEN -32768 AND 32767 THEN n END) AS first_bad FROM ({SIGNAL_SQL}) GROUP BY user_id")
+def range_gate(spark, sf):
+    """If a whole signal fits 16 bits, and its first sample that doesn't."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    s = signal(spark, sf).select("user_id", (F.row_number().over(w) - 1).cast("long").alias("n"), (F.col("x") * 3 - 70000).alias("x"))
+    return s.groupBy("user_id").agg(F.bool_and(fits16("x")).alias("fits"), F.min(F.when(~fits16("x"), F.col("n"))).alias("first_bad"))
+
+
+@query("tables_premise", "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 3 = 1 THEN 'raw' ELSE 'offset' END AS what, CASE WHEN conv_id % 3 = 1 THEN 2 WHEN conv_id % 3 = 2 THEN 5 END::INT AS class FROM conversations GROUP BY conv_id")
+def tables_premise(spark, sf):
+    """The first violation of code tables, some of them spoilt: raw bits of a quad class, a level that would turn negative."""
+
+    @F.pandas_udf("struct<what:string,class:int>")
+    def run(convs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in convs.tolist():
+            t = uli.Tables.parse(uli.Tables.default().blob())
+            if c % 3 == 1:
+                t.raw[2] = 1
+            elif c % 3 == 2:
+                t.offsets[5][1] = 16
+            found = min(t.violations(), default=(None, None, None))
+            rows.append((found[1], found[0]))
+        return pd.DataFrame(rows, columns=["what", "class"]).astype({"class": "Int32"})
+
+    return table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", run("conv_id").alias("r")).select("conv_id", "r.*")

@@ -217,3 +217,16 @@ def interactions(spark, sf):
 def latch_gap(spark, sf):
     w = Window.partitionBy("user_id").orderBy("event_id")
     return table(spark, sf, "events").select("user_id", (F.col("event_id") - F.lag("event_id").over(w)).alias("gap")).groupBy("user_id").agg(F.max("gap").alias("widest"), F.count(F.lit(1)).alias("frames"))
+
+
+_SCRIPT_SQL = f"SELECT user_id, n * 3 AS frame, mask FROM ({_MASK_SQL})"
+
+
+@query("key_script", f"SELECT f.user_id, f.frame, s.mask FROM (SELECT user_id, unnest(range(0, 3 * count(*))) AS frame FROM ({_MASK_SQL}) GROUP BY user_id) f ASOF LEFT JOIN ({_SCRIPT_SQL}) s ON f.user_id = s.user_id AND f.frame >= s.frame")
+def key_script(spark, sf):
+    """A script of (frame, mask) pairs replayed as one mask a frame: each pair holds until the next."""
+    from strandline.operators.lookup import asof
+
+    script = masks(spark, sf).select("user_id", (F.col("n") * 3).alias("frame"), "mask")
+    frames = script.select("user_id", F.explode(F.sequence(F.col("frame"), F.col("frame") + 2)).alias("frame"))
+    return asof(frames, script, ["user_id"], "frame", ["mask"])

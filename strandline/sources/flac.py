@@ -81,6 +81,11 @@ def facts(data: bytes) -> tuple[StreamInfo, int]:
     return StreamInfo.parse(data[at : at + n]), found[-1][3] + found[-1][4]
 
 
+def frame_data_offset(data: bytes) -> int:
+    """Where the frames begin, whatever STREAMINFO says."""
+    return max(at + n for _, _, _, at, n in blocks(data))
+
+
 def seek_points(data: bytes) -> list[tuple[int | None, int, int]]:
     """(first sample or None for a placeholder, offset from the first frame, samples); ascending, placeholders last."""
     tables = [b for b in blocks(data) if b[1] == 3]

@@ -120,6 +120,17 @@ class Tables:
         context = Book(code_lengths([1.0] * (k + 1), floor=0.5))
         return cls(list(TYPES), list(RAW), [0] * k, [[0] + [3] * 15 for _ in range(k)], [context] * (k + 1), books)
 
+    def violations(self) -> list[tuple[int, str, int]]:
+        """(class, what, value) of what a reader's premises don't hold for, by class: types, raw bits, escapes, incomplete codes, negative levels."""
+        out = []
+        for c, (t, raw, escape) in enumerate(zip(self.types, self.raw, self.escape, strict=True)):
+            out += [(c, what, value) for what, value, bad in (("type", t, t > PAIR), ("raw", raw, raw > 16 or t != PAIR and raw > 0), ("escape", escape, escape > 24)) if bad]
+            book = self.books[c]
+            if book and abs(sum(2.0**-n for n in book.lengths if n) - 1) > 1e-9:
+                out.append((c, "code", sum(n > 0 for n in book.lengths)))
+            out += [(c, "offset", v) for m, v in enumerate(self.offsets[c]) if m and v > 16 * m - 1]
+        return out + [(len(self.types), "context", s) for s, b in enumerate(self.contexts) if abs(sum(2.0**-n for n in b.lengths if n) - 1) > 1e-9]
+
     def census(self) -> dict[str, int]:
         return {"zero": self.types.count(ZERO), "quad": self.types.count(QUAD), "pair": self.types.count(PAIR), "max_raw": max(self.raw), "max_escape": max(self.escape)}
 
