@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,19 +60,34 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{root}/{tag}"
 
 
+def _delete(spark: SparkSession, root: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _sweep() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
     try:
-        jvm = spark.sparkContext._jvm
         for root in _scratch:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, root)
     except Exception:  # the JVM may be gone before this process is
         pass
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch paths made inside go at its end: for work whose result was written elsewhere by then."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        for root in _scratch[before:]:
+            _delete(spark, root)
+        del _scratch[before:]
+
+
 def replace_file(spark: SparkSession, path: str, data: bytes) -> None:
     """Write one file whole or not at all, on the file system that Spark finds for its path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -93,4 +110,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut, a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path.rsplit("/", 1)[0]
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove a materialized table that nothing reads any more."""
+    root = getattr(df, "scratch", None)
+    if root in _scratch:
+        _delete(df.sparkSession, root)
+        _scratch.remove(root)

@@ -78,3 +78,16 @@ def test_a_file_is_replaced_whole(spark):
         local = path.removeprefix("file:")
         assert open(local, "rb").read() == data
         assert [n for n in os.listdir(os.path.dirname(local)) if n.endswith(".part")] == []
+
+
+def test_scratch_goes_with_its_scope(spark):
+    from strandline import session
+
+    kept = session.materialize(spark.range(3), "kept")
+    with session.scratch_scope(spark):
+        gone = session.materialize(spark.range(4), "gone")
+        inside = gone.scratch.removeprefix("file:")
+        assert gone.count() == 4 and os.path.exists(inside)
+    assert not os.path.exists(inside) and kept.count() == 3
+    session.forget(kept)
+    assert not os.path.exists(kept.scratch.removeprefix("file:"))
