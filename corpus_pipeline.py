@@ -14,7 +14,7 @@ from strandline.llm.language import drop_unknown
 from strandline.llm.near_dedup import drop_near
 from strandline.llm.packing import pack
 from strandline.llm.quality_model import drop_poor
-from strandline.session import scratch_path, table
+from strandline.session import scratch_path, scratch_scope, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or unlike every language learnt from docs, go."""
+    """Documents without a letter, or too unlike the nearest of the languages learnt from docs, go."""
     return drop_unknown(docs)
 
 
@@ -53,6 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):  # a stage's own tables go once its rows are written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
