@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import textkernel as tk
 from strandline.llm.common import HEAVY, join_sized, keep_only, only, trimmed
-from strandline.session import materialize
+from strandline.session import forget, materialize
 
 MISS = 1e-8
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -149,7 +149,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         large = join_sized(both, low, "u", "size", total, "v", "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
         small = join_sized(large, down, "u", "size", total, "v", "inner")
-        now = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        before, now = now, materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        forget(before)
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
@@ -160,7 +161,7 @@ def _stars(edges: DataFrame) -> bool:
     return not nodes.where("out > 1 or out > 0 and in > 0").limit(1).count()
 
 
-def _confirmed(edges: DataFrame, shingles: DataFrame, percent: int, part: int = 1000) -> DataFrame:
+def _confirmed(edges: DataFrame, shingles: DataFrame, percent: int, part: int = 250) -> DataFrame:
     """The edges (a, b) that hold on full sets, of distinct edges from centres a.
 
     A centre's edges are dealt out in parts of about part edges (of a 1 / HEAVY share, if that is more),
