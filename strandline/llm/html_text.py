@@ -5,7 +5,8 @@ per tag, adjusted by the share of characters and tags that belong to links. A no
 block children's densities and its own inline text's. The node with the largest sum is the core; the
 smallest density on the path from the body to it is the threshold. From the core the selection widens
 upwards as long as at least half of the characters that come in lie in nodes that reach the threshold
-and are not few, and drops block nodes that don't reach it. Only then elements and roles that hold no article text (menus, headers,
+and are not few, and drops block nodes that don't reach it; to an enclosing article or main element it
+widens in any case. Only then elements and roles that hold no article text (menus, headers,
 footers, sidebars, notices, forms, scripts, styles) and, as the weakest sign, names of class or id take
 blocks out of what was selected; they also can't be the core themselves.
 """
@@ -291,7 +292,8 @@ def select(root: Node) -> Node:
     the selection widens upwards while at least half of the characters that would come in lie in nodes
     that reach the threshold, the smallest density on the path from the body to the core, and these are
     many (WIDER of what there is) or come with a heading. Of what comes in, nodes below the threshold are
-    dropped, but for headings and unlinked paragraphs; in the core, those that are mostly links.
+    dropped, but for headings and unlinked paragraphs; in the core, those that are mostly links. If the
+    core lies in an article or main element, the selection widens to that, less sparse nodes of links.
     """
     nodes = measure(root)
     core, most = root.items[0], -1.0
@@ -309,17 +311,20 @@ def select(root: Node) -> Node:
     threshold = min(x.density for x in path[:-1])
     for node in _order(core)[1:]:  # lists of links are sparse even inside the core
         node.dropped = node.tag in BLOCK and node.density < threshold and node.link_tags >= 3 and 2 * node.link_chars > node.chars
+    own = next((x for tag in ("article", "main") for x in path if x.tag == tag), core)
+    within = {id(x) for x in path[: path.index(own) + 1]}
     for node, up in zip(path, path[1:], strict=False):
         if up.tag == "html":
             return node
+        inside = id(up) in within
         others = [x for x in up.items if isinstance(x, Node) and x is not node and x.tag in BLOCK and not x.pruned and not x.hinted]
-        low = [x for x in others if x.density < threshold]
+        low = [x for x in others if x.density < threshold and x.tag not in HEADINGS and (2 * x.link_chars > x.chars if inside else x.tag != "p" or x.link_chars)]
         around = up.own + sum(x.chars for x in others)
         dense = around - sum(x.chars for x in low)
-        if 2 * dense < around or dense < WIDER * node.chars and not any(x.tag in HEADINGS for x in others):
+        if not inside and (2 * dense < around or dense < WIDER * node.chars and not any(x.tag in HEADINGS for x in others)):
             return node
         for x in low:
-            x.dropped = not (x.tag in HEADINGS or x.tag == "p" and not x.link_chars)
+            x.dropped = True
     return core
 
 

@@ -152,6 +152,14 @@ def test_widening_takes_sections_and_drops_sparse_siblings():
     assert got.count("sentence") == 30 and got.startswith("Title\nPart 0") and "go 1" not in got
 
 
+def test_an_article_keeps_its_title_and_lead():
+    long = "A sentence of the article that goes on for a while. " * 5
+    share = "<div>" + "".join(f'<span><a href="/{i}">to {i}</a></span> ' for i in range(5)) + "</div>"
+    page = f'<body><div>{share}</div><article><h1>Title</h1><div>A lead.</div>{share}<div>{f"<p>{long}</p>" * 4}</div><div>The end.</div></article><div>Other matter, short.</div></body>'
+    got = html_text.main_text(page)
+    assert got.split("\n") == ["Title", "A lead.", *[long.strip()] * 4, "The end."]
+
+
 @pytest.mark.parametrize("name", ["page no-sidebar", "header-fixed-wrap", "social-policy", "has-comments"])
 def test_names_that_only_mention_a_word_cut_nothing(name):
     body = "<p>" + "A sentence of the article that goes on. " * 4 + "</p>"
