@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = "[\\x20\\x09-\\x0D]+"
-SYMBOLS = "#*$%&|<>"
+BLANK = "[\\x20\\x09-\\x0D]"
+SYMBOL = "[#*$%&|<>]"
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -56,46 +56,42 @@ RULES = (
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words=tuple(STOP_WORDS)) -> DataFrame:
     """doc_id and the counts of each text; a null text counts as empty. Every step is a projection of one row.
 
-    A word is a maximal run of characters other than space and U+0009 to U+000D. Repeated windows are
-    found by sorting the 64-bit hashes of the windows of three words with their places.
+    A word is a maximal run of characters other than space and U+0009 to U+000D. Windows of three words
+    are hashed to 64 bits once; a text without two equal ones has no repeated word, and only the others'
+    windows are sorted with their places, equal ones next to each other.
     """
     text = F.coalesce(F.col("__text"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).select(
         "doc_id",
-        F.filter(F.split(text, SPACES), lambda w: w != "").alias("__words"),
-        F.length(text).alias("__length"),
-        F.length(F.translate(text, SYMBOLS, "")).alias("__plain"),
-        F.length(F.translate(text, "!", "")).alias("__calm"),
+        F.array_remove(F.split(text, f"{BLANK}+"), "").alias("__words"),
+        (F.length(text) - F.regexp_count(text, F.lit(BLANK))).alias("__chars"),
+        F.regexp_count(text, F.lit(SYMBOL)).alias("__symbols"),
+        F.regexp_count(text, F.lit("!")).alias("__calls"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__lines"),
     )
     n = F.size("__words")
-    hashed = base.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
-    window = F.when(
-        n >= 3,
-        F.transform(
-            F.arrays_zip(F.slice("__hashes", 1, n - 2).alias("a"), F.slice("__hashes", 2, n - 2).alias("b"), F.slice("__hashes", 3, n - 2).alias("c")),
-            lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i")),
-        ),
-    )
-    windows = hashed.withColumn("__sorted", F.sort_array(window))
-    m = F.size("__sorted")
-    before = F.concat(F.array(F.lit(None).cast("long")), F.slice(F.col("__sorted.h"), 1, m - 1))
-    after = F.concat(F.slice(F.col("__sorted.h"), 2, m - 1), F.array(F.lit(None).cast("long")))
-    found = F.filter(F.arrays_zip(F.col("__sorted").alias("w"), before.alias("p"), after.alias("q")), lambda x: F.coalesce(x["w"]["h"] == x["p"], F.lit(False)) | F.coalesce(x["w"]["h"] == x["q"], F.lit(False)))
-    repeats = windows.withColumn("__at", F.when(m > 1, F.array_sort(F.transform(found, lambda x: x["w"]["i"]))).otherwise(F.array().cast("array<int>")))
+    hashed = base.withColumn("__hashes", F.transform(F.slice("__words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2))))
+    twice = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
+    windows = hashed.withColumn("__sorted", F.when(twice, F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+
+    def again(x: Column, i: Column) -> Column:
+        """If a window is equal to the one before it or after it in the sorted order."""
+        before, after = (F.get("__sorted", i + j)["h"] for j in (-1, 1))
+        return F.coalesce(x["h"] == before, F.lit(False)) | F.coalesce(x["h"] == after, F.lit(False))
+
+    repeats = windows.withColumn("__at", F.when(F.col("__sorted").isNotNull(), F.array_sort(F.transform(F.filter("__sorted", again), lambda x: x["i"]))))
     k = F.size("__at")
-    gaps = F.when(k > 1, F.aggregate(F.zip_with(F.slice("__at", 2, k - 1), F.slice("__at", 1, k - 1), lambda b, a: F.least(b - a, F.lit(3))), F.lit(0), lambda s, x: s + x)).otherwise(0)
-    same = F.when(n > 1, F.size(F.filter(F.zip_with(F.slice("__hashes", 2, n - 1), F.slice("__hashes", 1, n - 1), lambda a, b: a == b), lambda x: x))).otherwise(0)
-    stops = F.array(*[F.lit(w) for w in stop_words])
+    gaps = F.aggregate(F.zip_with(F.slice("__at", 2, k - 1), F.slice("__at", 1, k - 1), lambda b, a: F.least(b - a, F.lit(3))), F.lit(0), lambda s, x: s + x)
+    same = F.size(F.filter("__words", lambda w, i: F.coalesce(w == F.get("__words", i + 1), F.lit(False))))
     return repeats.select(
         "doc_id",
         n.cast("long").alias("n_words"),
-        F.aggregate("__words", F.lit(0), lambda s, w: s + F.length(w)).cast("long").alias("word_chars"),
-        (F.col("__length") - F.col("__plain")).cast("long").alias("n_symbols"),
+        F.col("__chars").cast("long").alias("word_chars"),
+        F.col("__symbols").cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.when(k == 0, 0).otherwise(gaps + 3).cast("long").alias("n_repeat_words"),
+        F.when(F.col("__at").isNull(), 0).otherwise(gaps + 3).cast("long").alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
-        (F.col("__length") - F.col("__calm")).cast("long").alias("n_exclamations"),
+        F.col("__calls").cast("long").alias("n_exclamations"),
         F.size(F.filter("__words", lambda w: F.lower(w).isin(list(stop_words)))).cast("long").alias("n_stop_words"),
         same.cast("long").alias("n_same_words"),
     )
