@@ -22,6 +22,13 @@ class Bits:
         first, last = a >> 3, (b + 7) >> 3
         return (int.from_bytes(self.data[first:last], "big") >> (last * 8 - b)) & ((1 << n) - 1)
 
+    def peek(self, n: int) -> int:
+        """The next n bits without consuming them, zeros beyond the end."""
+        a, b = self.at, self.at + n
+        first, last = a >> 3, (b + 7) >> 3
+        raw = self.data[first : min(last, self.end >> 3)]
+        return (int.from_bytes(raw, "big") << 8 * (last - first - len(raw)) >> (last * 8 - b)) & ((1 << n) - 1)
+
     def signed(self, n: int) -> int:
         v = self.read(n)
         return v - (1 << n) if n and v >> (n - 1) else v

@@ -21,6 +21,8 @@ from strandline.sources.containers import ContainerError, parse_ula2
 #: Fixed values of the format.
 BANDS, WIDTH, CODED, STEPS = 32, 16, 500, 192
 ZERO, QUAD, PAIR = 0, 1, 2
+#: Bits of a word that a code table is asked for at once.
+LOOK = 10
 #: Fixed values of the default tables: by class its type, raw bits and mean magnitude.
 TYPES = (ZERO, QUAD, QUAD, PAIR, PAIR, PAIR, PAIR, PAIR, PAIR, PAIR, PAIR, PAIR, PAIR, PAIR)
 MEANS = (0, 0.12, 0.45, 0.8, 1.3, 2, 3, 4.5, 6.5, 10, 20, 40, 80, 160)
@@ -42,14 +44,24 @@ class Book:
     lengths: list[int]
     codes: list[int] = field(default_factory=list)
     by_code: dict[tuple[int, int], int] = field(default_factory=dict)
+    short: list[tuple[int, int]] = field(default_factory=list)  # symbol and length of the word that the next LOOK bits begin with
 
     def __post_init__(self):
         self.codes = canonical(self.lengths)
         self.by_code = {(n, c): s for s, (n, c) in enumerate(zip(self.lengths, self.codes, strict=True)) if n}
         if sum(2.0**-n for n in self.lengths if n) > 1 + 1e-9:
             raise ContainerError("a code with more words than fit")
+        self.short = [(0, 0)] * (1 << LOOK)
+        for (n, c), s in self.by_code.items():
+            if n <= LOOK:
+                self.short[c << LOOK - n : (c + 1) << LOOK - n] = [(s, n)] * (1 << LOOK - n)
 
     def read(self, b: Bits) -> int:
+        """By a table of the next bits; longer words bit by bit."""
+        s, n = self.short[b.peek(LOOK)]
+        if n and b.at + n <= b.end:
+            b.at += n
+            return s
         code = 0
         for n in range(1, 17):
             code = code << 1 | b.read(1)
@@ -262,10 +274,14 @@ def read_symbols(files: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"path": [path], "segment": [i], "frames": [min(256, n - 256 * i)], "bitpos": [s["bitpos"]], "g_prev": [s["g_prev"]], "base": [first * 8], "tables": [m["tables"]], "part": [m["stream"][first:last]]})
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, Tables] = {}  # an album's segments follow one another
         for batch in batches:
             for r in batch.itertuples(index=False):
-                rows = []
-                for j, f in enumerate(read_frames(bytes(r.part), Tables.parse(bytes(r.tables)), r.bitpos - r.base, r.g_prev, r.frames)):
+                rows, blob = [], bytes(r.tables)
+                if blob not in known:
+                    known.clear()
+                    known[blob] = Tables.parse(blob)
+                for j, f in enumerate(read_frames(bytes(r.part), known[blob], r.bitpos - r.base, r.g_prev, r.frames)):
                     rows.append((r.path, 256 * r.segment + j, f["bitpos"] + r.base, f["bits"], f["g"], bool(f["ms"]), [[{"class": c, "m": m} for c, m in ch] for ch in f["channels"]], *f["ops"].values()))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("path", "frame", "bitpos", "bits", "g", "ms", "channels", "bandsyms", "coded_bands", "pairs", "quads", "nz", "zc", "raws", "escs")])
 
