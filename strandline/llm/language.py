@@ -208,11 +208,13 @@ def drop_unknown(docs: DataFrame, share: float = SHARE, id_col: str = "doc_id",
     distribution does: like sqrt(m / (m + WIDTH)). So the cosine divided by that is compared, and texts of
     every length are judged. A language's border is share of the median that its learning rows have to it:
     chance resemblance doesn't set it, as texts of random letters reach 0.25 where letters and word lengths
-    are shared. Each row is judged by its own text; without learning rows all rows go, as there is no
-    learnt language.
+    are shared. Each row is judged by its own text. Without a learnt language there is no verdict, and all
+    rows stay.
     """
     learnt = ~held_out(F.col(id_col))
     profiles = prototypes(docs.where(learnt), id_col=id_col, text_col=text_col, lang_col=lang_col, **fit)
+    if not profiles:
+        return docs
     found, own = fresh(docs, "__found"), fresh(docs, "__own")
     label = F.when(learnt, F.col(lang_col).cast("string"))
     scored = docs.withColumn(own, label).withColumn(found, judged(F.col(text_col), profiles, fit.get("n", 3), fit.get("seed", 7), F.col(own)))

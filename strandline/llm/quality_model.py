@@ -180,5 +180,9 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that quality_scores predicts 0; all their columns. Each row is judged by its own text."""
-    return docs.where(score_of(F.col(text_col), _fitted(docs, labels, id_col, text_col)) >= threshold)
+    """docs without the rows that quality_scores predicts 0; all their columns. Each row is judged by its own text.
+
+    Without two labelled rows of each class there is no verdict, and all rows stay.
+    """
+    model = _fitted(docs, labels, id_col, text_col)
+    return docs.where(score_of(F.col(text_col), model) >= threshold) if model.counts.min() >= 2 else docs

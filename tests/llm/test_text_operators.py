@@ -290,7 +290,7 @@ def test_language_stage_judges_rows_not_ids(spark, docs):
     assert out.columns == frame.columns
     kept = Counter((r.doc_id, r.text) for r in out.where("`__own` = 'y'").collect())
     assert kept == {(10_000_001, english): 1, (None, english): 1, (10_000_003, rows[-1][1]): 1}  # xx is learnt from its one row
-    assert language.drop_unknown(planted.where("lang is null")).count() == 0
+    assert language.drop_unknown(planted.where("lang is null")).count() == 4  # no language is learnt
     assert language.drop_unknown(docs, share=2.0).count() < 0.1 * docs.count()
 
 
@@ -566,6 +566,7 @@ def test_quality_edges(spark, sf, edge, nothing):
     assert quality_model.quality_scores(edge, labels).count() == len(ROWS)
     assert quality_model.quality_scores(nothing, labels).count() == 0
     none = labels.where("false")
+    assert quality_model.drop_poor(edge, none).count() == len(ROWS)
     assert {r.score for r in quality_model.quality_scores(edge, none).collect()} == {0.5}
 
 
