@@ -28,49 +28,55 @@ def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
     return running_sum(rows, order, F.lit(1).cast("long"), name)
 
 
+def _carried(dealt: DataFrame, total: Column, combine) -> DataFrame:
+    """__p, __g, __before: for groups that a range begins or ends with, what earlier ranges have of them; two rows a range at most.
+
+    A group (__g, a struct) that lies inside one range needs nothing carried.
+    """
+    ends = dealt.groupBy("__p").agg(F.min("__g").alias("a"), F.max("__g").alias("b"))
+    cut = ends.select("__p", F.explode(F.array_distinct(F.array("a", "b"))).alias("__g"))
+    totals = dealt.join(F.broadcast(cut), ["__p", "__g"]).groupBy("__p", "__g").agg(total.alias("__t"))
+    earlier = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("__p", "__g", combine("__t").over(earlier).alias("__before")).where("__before is not null")
+
+
+def placed(rows: DataFrame, by: list[str], order: str, name: str = "n") -> DataFrame:
+    """rows with their place from 0 in their group, by a unique order. A hot group is cut over as many ranges as it fills."""
+    dealt = _dealt(rows.withColumn("__g", F.struct(*by)), "__g", order)
+    inside = Window.partitionBy("__p", "__g").orderBy(order)
+    own = dealt.withColumn("__n", (F.row_number().over(inside) - 1).cast("long"))
+    before = F.broadcast(_carried(dealt, F.count(F.lit(1)), F.sum))
+    return own.join(before, ["__p", "__g"], "left").select(*rows.columns, (F.col("__n") + F.coalesce("__before", F.lit(0))).cast("long").alias(name))
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], key: str, value: list[str]) -> DataFrame:
     """The values of the last right row with right.key <= left.key in each group; null before the first.
 
-    One shuffle of both sides by the group and one running last(); ties on the key go to the right side
-    first, and of equal right keys to the largest values.
+    Both sides are dealt out by ranges of (group, key), so a hot group is cut over tasks; in each range
+    it is one running last(), and a cut group's last right row before the range is carried into it. Ties
+    on the key go to the right side first, and of equal right keys to the largest values.
     """
     a = left.select("*", F.lit(1).alias("__side"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in value], F.lit(False).alias("__hit"))
     b = right.select(*by, key, F.lit(0).alias("__side"), *[F.col(v).alias(f"__{v}") for v in value], F.lit(True).alias("__hit"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(key, "__side", *[F.col(f"__{v}") for v in value]).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("__hit"), F.struct(*[F.col(f"__{v}") for v in value])), ignorenulls=True).over(w)
-    return both.withColumn("__found", found).where("__side = 1").select(*left.columns, *[F.col(f"__found.__{v}").alias(v) for v in value])
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__g", F.struct(*by))
+    dealt = _dealt(both, "__g", key, "__side")
+    hit = F.when(F.col("__hit"), F.struct(key, *[F.col(f"__{v}") for v in value]))
+    w = Window.partitionBy("__p", "__g").orderBy(key, "__side", *[F.col(f"__{v}") for v in value]).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("__own", F.last(hit, ignorenulls=True).over(w)).where("__side = 1")
+    before = F.broadcast(_carried(dealt, F.max(hit), F.max))
+    last = F.coalesce("__own", "__before")
+    return found.join(before, ["__p", "__g"], "left").select(*left.columns, *[last.getField(f"__{v}").alias(v) for v in value])
 
 
-def asof_bucketed(left: DataFrame, right: DataFrame, key: str, value: list[str], width: int) -> DataFrame:
-    """asof without groups: keys are dealt out in ranges of width, so no single task orders all rows.
+def asof_all(left: DataFrame, right: DataFrame, key: str, value: list[str]) -> DataFrame:
+    """asof of whole tables, as one group that is cut over all ranges."""
+    one = F.lit(0).alias("__all")
+    return asof(left.select("*", one), right.select("*", one), ["__all"], key, value).drop("__all")
 
-    The last right row before a range is carried into it: the ranges' own last rows are few (one a
-    range), and only those are ordered in one place.
-    """
-    bucket = F.floor(F.col(key) / width).cast("long")
-    last = right.groupBy(bucket.alias("__b")).agg(F.max(F.struct(key, *value)).alias("__last"))
-    inner = asof(left.withColumn("__b", bucket), right.withColumn("__b", bucket), ["__b"], key, value)
-    carried = _carry(left.select(bucket.alias("__b")).distinct(), last)
-    joined = inner.join(carried, "__b", "left")
-    return joined.select(*left.columns, *[F.coalesce(F.col(v), F.col(f"__before.{v}")).alias(v) for v in value])
-
-
-def _carry(prior: DataFrame, last: DataFrame) -> DataFrame:
-    """For each range the last right row of any earlier range; the ranges themselves are dealt out in ranges."""
-    marks = prior.select("__b", F.lit(None).cast(last.schema["__last"].dataType).alias("__last"), F.lit(0).alias("__s"))
-    dealt = _dealt(marks.unionByName(last.select("__b", "__last", F.lit(1).alias("__s"))), "__b", "__s")
-    ends = dealt.groupBy("__p").agg(F.max_by("__last", F.when(F.col("__last").isNotNull(), F.col("__b"))).alias("__end"))
-    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("__p", F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
-    inside = Window.partitionBy("__p").orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    found = dealt.withColumn("__own", F.last("__last", ignorenulls=True).over(inside)).where("__s = 0")
-    return found.join(F.broadcast(carried), "__p").select("__b", F.coalesce("__own", "__carried").alias("__before"))  # one row a range
-
-
-def range_of(points: DataFrame, spans: DataFrame, key: str, start: str, stop: str, take: list[str], width: int) -> DataFrame:
+
+def range_of(points: DataFrame, spans: DataFrame, key: str, start: str, stop: str, take: list[str]) -> DataFrame:
     """Each point with the span start <= key < stop, spans being disjoint: an as-of lookup and a filter."""
-    found = asof_bucketed(points, spans.withColumn(key, F.col(start)), key, [start, stop, *take], width)
+    found = asof_all(points, spans.withColumn(key, F.col(start)), key, [start, stop, *take])
     return found.where(F.col(key) < F.col(stop))
 
 

@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.bits import trailing_zeros, zigzag
+from strandline.operators.lookup import placed
 
 #: The differences that the predictors of order 0 to 4 take.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
 
 def blocks(signal: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    """Adds blk and i: consecutive blocks of size samples within a group."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return signal.withColumn("__n", n).withColumn("blk", F.expr(f"__n div {size}").cast("long")).withColumn("i", (F.col("__n") % size).cast("long")).drop("__n")
+    """Adds blk and i: consecutive blocks of size samples within a group. A hot group's places are counted by ranges."""
+    return placed(signal, [group], order, "__n").withColumn("blk", F.expr(f"__n div {size}").cast("long")).withColumn("i", (F.col("__n") % size).cast("long")).drop("__n")
 
 
 def fixed_residual(signal: DataFrame, order: int, by: list[str], at: str = "i", x: str = "x", out: str = "e") -> DataFrame:

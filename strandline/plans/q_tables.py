@@ -23,7 +23,7 @@ def seek_asof(spark, sf):
     """The last seek point at or before each target. Targets are dealt out in ranges, so no task orders all rows."""
     e = table(spark, sf, "events").select("event_id")
     points = e.where("event_id % 257 = 3").select("event_id", F.col("event_id").alias("point"))
-    return L.asof_bucketed(e, points, "event_id", ["point"], 4096).select("event_id", "point", (F.col("event_id") - F.col("point")).alias("skip"))
+    return L.asof_all(e, points, "event_id", ["point"]).select("event_id", "point", (F.col("event_id") - F.col("point")).alias("skip"))
 
 
 @query(
@@ -56,7 +56,7 @@ def frame_to_track(spark, sf):
     starts = e.where("event_id % 331 = 0").distinct()
     w = Window.orderBy("event_id")  # one row a track
     tracks = starts.select((F.row_number().over(w) - 1).cast("long").alias("track"), F.col("event_id").alias("start"), F.lead("event_id", 1, 1000000000000).over(w).alias("stop"))
-    return L.range_of(e, tracks, "event_id", "start", "stop", ["track"], 4096).select("event_id", "track", (F.col("event_id") - F.col("start")).alias("pos"))
+    return L.range_of(e, tracks, "event_id", "start", "stop", ["track"]).select("event_id", "track", (F.col("event_id") - F.col("start")).alias("pos"))
 
 
 #: Measured decode rows by block size, predictor kind and order.

@@ -112,7 +112,7 @@ def test_asof_ties_and_misses(spark):
     assert {(r.g, r.k): r.v for r in lookup.asof(left, right, ["g"], "k", ["v"]).collect()} == {("a", 1): None, ("a", 5): 2, ("a", 9): 3, ("b", 3): None, (None, 4): None}
     wide = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
     marks = spark.createDataFrame([(-50, 1), (13, 2), (612, 3)], "k long, v int")
-    got = {r.k: r.v for r in lookup.asof_bucketed(wide, marks, "k", ["v"], 100).collect()}
+    got = {r.k: r.v for r in lookup.asof_all(wide, marks, "k", ["v"]).collect()}
     assert got == {k: 1 if k < 13 else 2 if k < 612 else 3 for k in range(0, 1000, 7)}
 
 
@@ -133,6 +133,22 @@ def test_sums_and_places_run_over_ranges(spark):
     assert lookup.numbered(rows.where("false"), "k").count() == 0
 
 
+def test_a_hot_group_is_cut_over_ranges(spark):
+    """Three quarters of the rows in one group: places, and the last mark before each, over several ranges and for null groups."""
+    rng = np.random.default_rng(8)
+    rows = [(None if g == 9 else 0 if g > 1 else int(g), int(k)) for g, k in zip(rng.integers(0, 10, 900), rng.permutation(5000)[:900], strict=True)]
+    marks = [(0, int(k), int(k) % 7) for k in rng.integers(0, 5000, 40)] + [(None, 700, 3), (1, 2000, 5)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left, right = spark.createDataFrame(rows, "g int, k long"), spark.createDataFrame(marks, "g int, k long, v int")
+        got = {(r.g, r.k): (r.n, r.v) for r in lookup.asof(lookup.placed(left, ["g"], "k"), right, ["g"], "k", ["v"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for g, k in rows:
+        last = max(((mk, v) for mg, mk, v in marks if mg == g and mk <= k), default=(0, None))
+        assert got[g, k] == (sum(g2 == g and k2 < k for g2, k2 in rows), last[1])
+
+
 def test_palette_images_hold_every_sample(spark, sf):
     sizes = [r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()]
     assert registry.QUERIES["palette_images"](spark, sf).count() == sum(-(-n // 64) * 64 for n in sizes)
