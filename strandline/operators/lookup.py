@@ -44,9 +44,9 @@ def placed(rows: DataFrame, by: list[str], order: str, name: str = "n") -> DataF
     """rows with their place from 0 in their group, by a unique order. A hot group is cut over as many ranges as it fills."""
     dealt = _dealt(rows.withColumn("__g", F.struct(*by)), "__g", order)
     inside = Window.partitionBy("__p", "__g").orderBy(order)
-    own = dealt.withColumn("__n", (F.row_number().over(inside) - 1).cast("long"))
+    own = dealt.withColumn("__place", (F.row_number().over(inside) - 1).cast("long"))
     before = F.broadcast(_carried(dealt, F.count(F.lit(1)), F.sum))
-    return own.join(before, ["__p", "__g"], "left").select(*rows.columns, (F.col("__n") + F.coalesce("__before", F.lit(0))).cast("long").alias(name))
+    return own.join(before, ["__p", "__g"], "left").select(*rows.columns, (F.col("__place") + F.coalesce("__before", F.lit(0))).cast("long").alias(name))
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], key: str, value: list[str]) -> DataFrame:

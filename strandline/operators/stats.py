@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.lookup import placed
+
 #: Fixed value: what a counter difference that wrapped is recorded as.
 WRAPPED = 4294967295
 
@@ -91,10 +93,14 @@ def kraft(lengths: DataFrame, by: list[str], length: str = "length") -> DataFram
 
 
 def runs(rows: DataFrame, by: list[str], order: str, flag: str) -> DataFrame:
-    """Maximal runs of rows for which flag holds: by, first, last, length (gaps and islands)."""
-    w = Window.partitionBy(*by).orderBy(order)
-    island = F.row_number().over(w) - F.sum(F.when(F.col(flag), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__g", island).where(F.col(flag)).groupBy(*by, "__g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("length")).drop("__g")
+    """Maximal runs of rows for which flag holds: by, first, last, length.
+
+    A run is where the place among all rows and the place among the flagged ones go in step; both are
+    counted by ranges, so a hot group is no task's own.
+    """
+    flagged = placed(placed(rows, by, order, "__n").where(F.col(flag)), by, order, "__m")
+    island = (F.col("__n") - F.col("__m")).alias("__g")
+    return flagged.groupBy(*by, island).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("length")).drop("__g")
 
 
 def reasons(**tests: Column) -> Column:
