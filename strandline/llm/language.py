@@ -208,7 +208,8 @@ def drop_unknown(docs: DataFrame, share: float = SHARE, id_col: str = "doc_id",
     distribution does: like sqrt(m / (m + WIDTH)). So the cosine divided by that is compared, and texts of
     every length are judged. A language's border is share of the median that its learning rows have to it:
     chance resemblance doesn't set it, as texts of random letters reach 0.25 where letters and word lengths
-    are shared. Each row is judged by its own text. Without a learnt language there is no verdict, and all
+    are shared. A cosine below it by no more than the deviation of unrelated bundles, 1 / sqrt(dimension),
+    passes, so a short text isn't rejected for chance alone. Each row is judged by its own text. Without a learnt language there is no verdict, and all
     rows stay.
     """
     learnt = ~held_out(F.col(id_col))
@@ -223,9 +224,14 @@ def drop_unknown(docs: DataFrame, share: float = SHARE, id_col: str = "doc_id",
     border = F.lit(None).cast("double")
     for r in medians:  # one row a learnt language
         border = F.when(F.col(f"{found}.lang_pred") == r[own], F.lit(share * r["median"])).otherwise(border)
-    return scored.where(_scaled(found, "cosine") >= border).drop(found, own)
+    chance = fit.get("dimension", 512) ** -0.5
+    return scored.where(F.col(f"{found}.cosine") + chance >= border * _growth(found)).drop(found, own)
 
 
-def _scaled(name: str, field: str) -> Column:
+def _growth(name: str) -> Column:
     m = F.col(f"{name}.n_grams")
-    return F.col(f"{name}.{field}") * F.sqrt((m + WIDTH) / F.greatest(m, F.lit(1)))
+    return F.sqrt(m / (m + WIDTH))
+
+
+def _scaled(name: str, field: str) -> Column:
+    return F.col(f"{name}.{field}") / F.nullif(_growth(name), F.lit(0.0))
