@@ -148,11 +148,11 @@ def test_a_stream_pulls_frames_and_rolls_over(spark, tracks, tmp_path):
     folder, signals = tracks
     source = spark.readStream.format("frames").option("path", str(folder)).option("per_batch", "3").load()
     query = source.writeStream.format("memory").queryName("pulled").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
-    for _ in range(300):
-        if spark.table("pulled").count() == 8:
+    for _ in range(300):  # a batch's progress comes after its rows
+        progress = list(query.recentProgress)
+        if sum(p["numInputRows"] for p in progress) == 8:
             break
         time.sleep(0.2)
-    progress = [p for p in query.recentProgress]
     query.stop()
     rows = spark.table("pulled").orderBy("place").collect()
     assert [v for r in rows for v in r.left] == [v for x in signals for v in x] and [r.place for r in rows if r.roll] == [0, 5]
