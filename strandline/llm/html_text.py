@@ -291,8 +291,9 @@ def select(root: Node) -> Node:
     The core is the node of the largest density sum outside elements that hold no article text. From it
     the selection widens upwards while at least half of the characters that would come in lie in nodes
     that reach the threshold, the smallest density on the path from the body to the core, and these are
-    many (WIDER of what there is) or come with a heading. Of what comes in, nodes below the threshold are
-    dropped, but for headings and unlinked paragraphs; in the core, those that are mostly links. If the
+    many (WIDER of what there is). Of what comes in, nodes below the threshold are dropped, but for
+    headings and unlinked paragraphs; in the core, those that are mostly links. Where it ends, headings
+    right above the selection still come in, alone. If the
     core lies in an article or main element, the selection widens to that, less sparse nodes of links.
     """
     nodes = measure(root)
@@ -321,8 +322,13 @@ def select(root: Node) -> Node:
         low = [x for x in others if x.density < threshold and x.tag not in HEADINGS and (2 * x.link_chars > x.chars if inside else x.tag != "p" or x.link_chars)]
         around = up.own + sum(x.chars for x in others)
         dense = around - sum(x.chars for x in low)
-        if not inside and (2 * dense < around or dense < WIDER * node.chars and not any(x.tag in HEADINGS for x in others)):
-            return node
+        if not inside and (2 * dense < around or dense < WIDER * node.chars):
+            above = {id(x) for x in up.items[: up.items.index(node)] if isinstance(x, Node) and x.tag in HEADINGS}
+            if not above or up.own:
+                return node
+            for x in others:
+                x.dropped = id(x) not in above
+            return up
         for x in low:
             x.dropped = True
     return core

@@ -152,6 +152,12 @@ def test_widening_takes_sections_and_drops_sparse_siblings():
     assert got.count("sentence") == 30 and got.startswith("Title\nPart 0") and "go 1" not in got
 
 
+def test_a_heading_above_the_text_comes_in_alone():
+    long = "A sentence of the article that goes on for a while. " * 5
+    page = f'<body><div><a href="/">home</a></div><div><h2>Post title</h2><div>By <a href="/a">Ann</a></div><div>{f"<p>{long}</p>" * 3}</div><div><a href="/t">tag</a></div></div></body>'
+    assert html_text.main_text(page).split("\n") == ["Post title", *[long.strip()] * 3]
+
+
 def test_an_article_keeps_its_title_and_lead():
     long = "A sentence of the article that goes on for a while. " * 5
     share = "<div>" + "".join(f'<span><a href="/{i}">to {i}</a></span> ' for i in range(5)) + "</div>"
