@@ -127,7 +127,8 @@ def prototypes(docs: DataFrame, max_rows: int = 20_000, dimension: int = 512, n:
     max_rows / rows. Each task bundles what it reads; languages x dimension sums reach the driver.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
-    labelled = labelled.where(hashed_share(F.col("__id"), max_rows, labelled.select("__id").count()))
+    rows = docs.where(F.col(lang_col).isNotNull()).select(id_col).count()  # without reading the texts
+    labelled = labelled.where(hashed_share(F.col("__id"), max_rows, rows))
 
     @trimmed
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

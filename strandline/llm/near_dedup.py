@@ -139,12 +139,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     rounds = 0
-    while not _stars(now):
+    while True:
+        unfinished, edges_now = _shape(now)
+        if not unfinished:
+            break
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"components are open after {max_rounds} rounds")
         both = now.union(now.select("v", "u"))
-        total = 2 * now.count()
+        total = 2 * edges_now
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size"))
         large = join_sized(both, low, "u", "size", total, "v", "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
@@ -154,11 +157,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def _stars(edges: DataFrame) -> bool:
-    """If edges (u, v) are stars already: each u has one v, and no v has an edge of its own."""
+def _shape(edges: DataFrame) -> tuple[bool, int]:
+    """If edges (u, v) aren't stars yet (each u has one v, and no v has an edge of its own), and how many there are."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("v", F.lit(0), F.lit(1)))
     nodes = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
-    return not nodes.where("out > 1 or out > 0 and in > 0").limit(1).count()
+    row = nodes.agg(F.max((F.expr("out > 1 or out > 0 and in > 0")).cast("int")).alias("open"), F.sum("out").alias("edges")).first()
+    return bool(row["open"]), row["edges"] or 0
 
 
 def _confirmed(edges: DataFrame, shingles: DataFrame, percent: int, part: int = 250) -> DataFrame:
