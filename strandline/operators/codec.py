@@ -71,6 +71,32 @@ def frame_bits(t: uli.Tables, channels: list) -> tuple[BitWriter, int]:
     return w, len(w.done) * 8 + w.n
 
 
+def channel_bits(t: uli.Tables, bands: list[tuple[int, list[int]]]) -> int:
+    """Bits that write_channel takes, without writing them."""
+    k = before = len(t.types)
+    total = 0
+    for c, m in bands:
+        total += t.contexts[before].lengths[c]
+        before = c
+        if t.types[c] == uli.ZERO:
+            continue
+        pair = t.types[c] == uli.PAIR
+        per, base, top, raw = (2, 16, 15, t.raw[c]) if pair else (4, 3, 2, 0)
+        lengths, escape = t.books[c].lengths, t.escape[c]
+        values = [abs(v) for v in m]
+        total += len(values) * raw + sum(v > 0 for v in values)
+        heads = [v >> raw for v in values]
+        for i in range(0, len(heads), per):
+            s = 0
+            for h in heads[i : i + per]:
+                if h >= top:
+                    total += 2 * ((h - top >> escape) + 1).bit_length() - 1 + escape
+                    h = top
+                s = s * base + h
+            total += lengths[s]
+    return total + (t.contexts[before].lengths[k] if len(bands) < uli.BANDS else 0)
+
+
 def band_choice(x: np.ndarray, t: uli.Tables, c: int, step: float, lam: float, most: int = 65535) -> tuple[list[int], float, int] | None:
     """Magnitudes of one band under class c with the least distortion + lam * bits: every tuple of 2 or 4 is searched whole.
 
@@ -212,7 +238,7 @@ def measure(l: np.ndarray, r: np.ndarray, t: uli.Tables, g: int, cap: float = PE
         step = int(fixed.steps()[g - 4 * ms])
         parts = _sides(l, r, ms)
         channels = [quantise_channel(p, t, step) for p in parts]
-        _, bits = frame_bits(t, channels)
+        bits = sum(channel_bits(t, ch) for ch in channels)
         back = [fixed.dequantise(ch, t.offsets, step)[: uli.CODED] for ch in channels]
         d = sum(float(np.square(p - b).sum()) for p, b in zip(parts, back, strict=True)) * (2 if ms else 1)
         nonzero = sum(v != 0 for ch in channels for _, m in ch for v in m)

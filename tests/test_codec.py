@@ -71,6 +71,15 @@ def test_class_path_is_the_cheapest_of_all():
         assert (want is None) == (not np.isfinite(cost[0, c])) and (want is None or abs(want[1] + lam * want[2] - cost[0, c]) < 1e-6)
 
 
+def test_counted_bits_are_the_written_ones():
+    rng = np.random.default_rng(10)
+    t = uli.Tables.default()
+    for step in (9, 40, 300, 5000):
+        for x in (rng.normal(0, 3e4, 512), rng.normal(0, 200, 512) * (np.arange(512) < 100), np.zeros(512)):
+            for bands in (codec.quantise_channel(x, t, step), codec.best_channel(x, t, step, codec.price(step))):
+                assert codec.channel_bits(t, bands) == codec.frame_bits(t, [bands])[1]
+
+
 def test_plans_refuse_with_both_numbers():
     tables = uli.Tables.default().blob()
     p = codec.plan(44_100, TRACKS, 200_000, tables)
