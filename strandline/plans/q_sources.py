@@ -158,7 +158,8 @@ def symbol_stream(spark, sf):
         blob, out = tables.blob(), []
         track = [{"start_sample": 0, "samples": 512, "preroll_frame": 0, "skip": 0, "title": "t", "artist": "a"}]
         for v in values:
-            m = [int(x) for x in np.floor(np.abs(np.asarray(v, float) * 40) + 0.5) * np.sign(v)]
+            scaled = np.asarray(v, np.float32) * np.float32(40)  # in the column's own precision; half away from zero
+            m = (np.floor(np.abs(scaled.astype(float)) + 0.5) * np.sign(scaled)).astype(int).tolist()
             frame = {"g": 90, "ms": 0, "channels": [[(6, m[16 * b : 16 * b + 16]) for b in range(4)], []]}
             stream, places = uli.write_frames([frame], tables)
             out.append(containers.build_ula2(track, places, blob, stream, 512))

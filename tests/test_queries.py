@@ -162,3 +162,13 @@ def test_alignment_signal_compares_past_the_first_samples(spark, tmp_path):
     best = min((sum(a != b for a, b in zip(x[3:43], x[k : k + 40], strict=True)), abs(k - 4), k) for k in range(21))
     got = {r.user_id: (r.mismatches, abs(r.shift - 4), r.shift) for r in registry.QUERIES["alignment_signal"](spark, str(tmp_path)).collect()}
     assert got[1] == best == (0, 1, 3) and set(got) == {1, 2}
+
+
+def test_symbol_stream_rounds_in_the_vectors_own_precision(spark, tmp_path):
+    """-0.16249999403953552 times 40 is 6.5 in 32 bits and less in 64; the tie goes away from zero."""
+    vectors = [[-0.16249999403953552] + [0.0] * 63, [0.0125] * 64, [0.4999999 / 40] * 64]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r[3] for r in c.execute(registry.ORACLES["symbol_stream"]).fetchall()}
+    assert want[0] == 7 and {r.vec_id: r.magnitude for r in registry.QUERIES["symbol_stream"](spark, str(tmp_path)).collect()} == want
