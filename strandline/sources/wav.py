@@ -83,10 +83,11 @@ def parse(data: bytes) -> dict:
 
 
 def build(samples: np.ndarray, rate: int, tags: dict[str, str] | None = None) -> bytes:
-    """A 16-bit file of integer samples (frames x channels)."""
-    body = np.ascontiguousarray(samples, "<i2").tobytes()
-    channels = samples.shape[1]
-    parts = [b"fmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * channels * 2, channels * 2, 16), b"data" + struct.pack("<I", len(body)) + body]
+    """A 16-bit file of integer samples (frames x channels); of 32-bit floats where a sample doesn't fit 16 bits."""
+    channels, fits = samples.shape[1], not samples.size or -32768 <= samples.min() and samples.max() <= 32767
+    kind, size = (1, 2) if fits else (3, 4)
+    body = (np.ascontiguousarray(samples, "<i2") if fits else np.ascontiguousarray(samples, "<f4") / np.float32(FULL_SCALE)).tobytes()
+    parts = [b"fmt " + struct.pack("<IHHIIHH", 16, kind, channels, rate, rate * channels * size, channels * size, 8 * size), b"data" + struct.pack("<I", len(body)) + body]
     if tags:
         names = {v: k for k, v in INFO_TAGS.items()}
         info = b"INFO"

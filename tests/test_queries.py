@@ -172,3 +172,27 @@ def test_symbol_stream_rounds_in_the_vectors_own_precision(spark, tmp_path):
     c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     want = {r[0]: r[3] for r in c.execute(registry.ORACLES["symbol_stream"]).fetchall()}
     assert want[0] == 7 and {r.vec_id: r.magnitude for r in registry.QUERIES["symbol_stream"](spark, str(tmp_path)).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def loud(spark, tmp_path_factory):
+    """Events whose half signals leave 16 bits: first, last and inside a block, alone in it, and all of a block alike."""
+    at = str(tmp_path_factory.mktemp("loud"))
+    values = {1: [0.02 * i for i in range(70)], 2: [772.66] + [3.0 * i for i in range(40)] + [743.21], 3: [5.0] * 33 + [900.5, 655.34, 655.36], 4: [1310.74] * 40, 5: [83000.01, 1.0] * 20, 6: [700.0]}
+    rows = [(1000 * u + i, u, v) for u, x in values.items() for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{at}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{at}/events.parquet/*.parquet'")
+    return at, c
+
+
+def _same(spark, loud, name):
+    at, c = loud
+    found = c.execute(registry.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    want = sorted((tuple(plain(v) for v in r) for r in found.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[k]) for k in columns) for r in registry.QUERIES[name](spark, at).collect()), key=repr) == want
+
+
+def test_wav_samples_beyond_16_bits_are_kept(spark, loud):
+    _same(spark, loud, "wav_samples")
