@@ -37,13 +37,19 @@ def _flac(x: list[int]) -> bytes:
     return flac.encode([x, [-v for v in x]], block=32, layout="mid_side", seek_every=2)
 
 
+def _flac_whole(x: list[int]) -> bytes:
+    """The same at the depth that a signal beyond 16 bits needs: a frame's first samples are written plainly."""
+    most = max(max(x), -min(x))
+    return flac.encode([x, [-v for v in x]], bits=next((b for b in (16, 24) if most < 1 << b - 1), 32), block=32, layout="mid_side", seek_every=2)
+
+
 def _user():
     return F.col("path").cast("long").alias("user_id")
 
 
 @query("flac_samples", f"SELECT user_id, n AS i, x::INT AS \"left\", (-x)::INT AS \"right\" FROM ({_HALF_SQL})")
 def flac_samples(spark, sf):
-    return flac.pcm(flac.read_frames(_files(spark, sf, _flac))).select(_user(), "i", "left", "right")
+    return flac.pcm(flac.read_frames(_files(spark, sf, _flac_whole))).select(_user(), "i", "left", "right")
 
 
 @query("flac_frames", f"SELECT user_id, f::INT AS frame, f AS number, least(32, n - 32 * f)::INT AS block, 2 AS channels FROM (SELECT user_id, count(*) AS n, unnest(range(0, (count(*) + 31) // 32)) AS f FROM ({_HALF_SQL}) GROUP BY user_id)")
@@ -333,8 +339,8 @@ _PAIR_BYTES = "flatten(list_transform(xs, lambda x: [x & 255, (x >> 8) & 255, (-
                CASE WHEN frame IS NOT NULL THEN list_reduce(list_concat(l, r), lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261::BIGINT) END AS frame_hash FROM b""",
 )
 def pcm_pins(spark, sf):
-    """Digests of what each frame and file decodes to, as samples and as played bytes."""
-    p = audit.pins(_files(spark, sf, _flac))
+    """Digests of what each frame and file decodes to, as samples and as played bytes; a sample beyond 16 bits counts by its low 16."""
+    p = audit.pins(_files(spark, sf, _flac_whole), low=True)
     return p.select(_user(), "frame", "samples", F.get("first", F.lit(0)).alias("first_left"), F.get("last", F.lit(0)).alias("last_left"), "pcm", "played_left", "played_right", "frame_hash")
 
 

@@ -196,3 +196,8 @@ def _same(spark, loud, name):
 
 def test_wav_samples_beyond_16_bits_are_kept(spark, loud):
     _same(spark, loud, "wav_samples")
+
+
+@pytest.mark.parametrize("name", ["pcm_pins", "flac_samples"])
+def test_streams_beyond_16_bits_are_read_back_whole(spark, loud, name):
+    _same(spark, loud, name)
