@@ -467,4 +467,6 @@ def tables_premise(spark, sf):
             rows.append((found[1], found[0]))
         return pd.DataFrame(rows, columns=["what", "class"]).astype({"class": "Int32"})
 
-    return table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", run("conv_id").alias("r")).select("conv_id", "r.*")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # ids are few bytes: without a number, all would come to one task
+    each = table(spark, sf, "conversations").select("conv_id").repartition(tasks, "conv_id").distinct()
+    return each.select("conv_id", run("conv_id").alias("r")).select("conv_id", "r.*")

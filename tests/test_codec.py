@@ -139,3 +139,17 @@ def cost(t, c, ks):
     per = 2 if t.types[c] == uli.PAIR else 4
     zeros = t.books[c].lengths[0] * (16 // per)
     return size([*ks, *[0] * 12]) - size([0] * 16) + zeros - t.books[c].lengths[0] * (12 // per)
+
+
+def test_code_tables_are_made_once_and_stay_apart(monkeypatch):
+    """A thousand tables of the same codes build no book again, and what is changed in one isn't in another."""
+    blob = uli.Tables.parse(uli.Tables.default().blob()).blob()
+    made = []
+    build = uli.Book.__post_init__
+    monkeypatch.setattr(uli.Book, "__post_init__", lambda self: (made.append(1), build(self))[1])
+    for i in range(1000):
+        t = uli.Tables.parse(uli.Tables.default().blob())
+        if i % 2:
+            t.raw[2], t.offsets[5][1], t.contexts[0], t.books[1] = 1, 16, uli.Book([1] + [0] * 14), uli.Book([1] + [0] * 80)
+        assert [v[:2] for v in t.violations()] == ([(1, "code"), (2, "raw"), (5, "offset"), (14, "context")] if i % 2 else [])
+    assert len(made) == 1000 and uli.Tables.default().blob() == blob
