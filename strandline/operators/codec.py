@@ -9,6 +9,7 @@ container, whose size the budget bounds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from math import sqrt
 
 import numpy as np
@@ -484,6 +485,49 @@ def decode(blob: bytes, first: int = 0, frames: int | None = None) -> np.ndarray
     return heard[:, : max(0, m["header"]["samples"] - first * fixed.HOP)]
 
 
+_PIECES = "path string, start long, samples long, bitpos long, g_prev int, skip int, frames int, tables binary, part binary"
+
+
+def decoded(files: DataFrame, track: int | None = None, size: int = 256) -> DataFrame:
+    """files (path, content) -> path, i, left, right: decode of whole albums, or decode_track, a row a sample, by tasks.
+
+    A task decodes size frames, entered at the seek entry before them, and gets that part of the stream
+    alone; a piece's first frame is the last one of the piece before and only fills the overlap. A track's
+    pieces begin at its pre-roll frame.
+    """
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                m = containers.parse_ula2(bytes(content))
+                n, whole = m["header"]["frames"], m["header"]["samples"]
+                row = {"preroll_frame": 0, "skip": 0, "samples": whole} if track is None else m["tracks"][track]
+                heard = min(row["skip"] + row["samples"], whole - row["preroll_frame"] * fixed.HOP)  # from the pre-roll frame on
+                ends = [s["bitpos"] for s in m["seeks"][1:]] + [8 * len(m["stream"])]
+                for at in range(0, -(-heard // fixed.HOP), size):
+                    first = row["preroll_frame"] + at
+                    last = min(n, first + size + 1)
+                    entry = m["seeks"][first // 256]
+                    low, high = entry["bitpos"] // 16 * 2, ends[(last - 1) // 256] // 16 * 2 + 16
+                    skip, start = first % 256, at * fixed.HOP - row["skip"]
+                    end = min(size * fixed.HOP, heard - at * fixed.HOP)
+                    yield pd.DataFrame([(path, start, end, entry["bitpos"] - 8 * low, entry["g_prev"], skip, last - first + skip, m["tables"], m["stream"][low:high])], columns=[c.split()[0] for c in _PIECES.split(", ")])
+
+    def samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                t = uli.Tables.parse(bytes(r.tables))
+                read = list(islice(uli.read_frames(bytes(r.part), t, r.bitpos, r.g_prev, r.frames), r.skip, None))
+                heard = fixed.synthesise(read, t.offsets)[1][:, fixed.HOP :][:, : r.samples]
+                i = r.start + np.arange(heard.shape[1])
+                kept = i >= 0  # a track begins inside its first frame
+                yield pd.DataFrame({"path": r.path, "i": i[kept], "left": heard[0, kept], "right": heard[1, kept]})
+
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pieces are few bytes: without a number, all would come to one task
+    parts = files.select("path", "content").mapInPandas(pieces, _PIECES).repartition(tasks, "path", "start")
+    return parts.mapInPandas(samples, "path string, i long, left int, right int")
+
+
 def decode_track(blob: bytes, track: int) -> np.ndarray:
     """A track's samples: its pre-roll frame is read first, and what lies before its start is skipped."""
     row = containers.parse_ula2(blob)["tracks"][track]

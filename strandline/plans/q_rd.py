@@ -194,12 +194,20 @@ def album_codec(spark, sf):
     frames = -(-n // 512) + 1
     blob = codec.encode(signal, n, 700.0 * frames, tracks, stride=24, width=2, train=False)
     m = containers.parse_ula2(blob)
-    heard = codec.decode(blob)
-    rows = signal.orderBy("i").toPandas()  # one album, whose size the format bounds
-    x = rows[["left", "right"]].to_numpy().T
-    bits = sum(f["bits"] for f in uli.read_frames(m["stream"], uli.Tables.parse(m["tables"]), 0, 0, frames))
-    same = bool((codec.decode_track(blob, 1) == heard[:, n // 3 :]).all())
-    row = (n, m["header"]["frames"], m["header"]["seeks"], len(m["tracks"]), bits <= 700 * frames, bool(codec.snr(x, heard.astype(float)) > 20), same)
+    files = spark.createDataFrame([("album", blob)], "path string, content binary")
+    bits = uli.read_symbols(files).agg(F.sum("bits")).first()[0]
+    whole = codec.decoded(files).select("i", F.col("left").alias("l"), F.col("right").alias("r"))
+    late = codec.decoded(files, 1).select((F.col("i") + n // 3).alias("i"), F.col("left").alias("ll"), F.col("right").alias("lr"))
+    each = signal.join(whole, "i", "full").join(late, "i", "full")
+    square = lambda x, y: F.sum(x * x + y * y)
+    found = each.agg(
+        square(F.col("left"), F.col("right")).alias("x"), square(F.col("left") - F.col("l"), F.col("right") - F.col("r")).alias("e"),
+        F.count_if(F.col("left").isNotNull() & F.col("l").isNotNull()).alias("both"), F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("ll").eqNullSafe(F.col("l")) & F.col("lr").eqNullSafe(F.col("r")) & (F.col("i") >= n // 3) | F.col("ll").isNull() & (F.col("i") < n // 3)).alias("same"),
+    ).first()
+    whole_read = found["both"] == found["rows"] == n
+    good = whole_read and (not found["e"] or found["x"] > 100 * found["e"])  # over 20 dB
+    row = (n, m["header"]["frames"], m["header"]["seeks"], len(m["tracks"]), bits <= 700 * frames, bool(good), whole_read and found["same"] == n)
     return spark.createDataFrame([row], "samples long, frames long, seeks long, tracks long, fits boolean, good boolean, seekable boolean")
 
 

@@ -153,3 +153,37 @@ def test_code_tables_are_made_once_and_stay_apart(monkeypatch):
             t.raw[2], t.offsets[5][1], t.contexts[0], t.books[1] = 1, 16, uli.Book([1] + [0] * 14), uli.Book([1] + [0] * 80)
         assert [v[:2] for v in t.violations()] == ([(1, "code"), (2, "raw"), (5, "offset"), (14, "context")] if i % 2 else [])
     assert len(made) == 1000 and uli.Tables.default().blob() == blob
+
+
+def test_albums_are_decoded_by_tasks_as_in_one_piece(spark):
+    """Two albums of different lengths over several seek entries, whole and by their tracks, in pieces that cross entries."""
+    rng = np.random.default_rng(12)
+    t, blobs, rows = uli.Tables.default(), {}, {}
+    for path, frames, last in (("long", 600, 100), ("short", 3, 512)):
+        n = (frames - 2) * 512 + last
+        found = [{"g": int(g), "ms": int(ms), "channels": [[(6, rng.integers(-9, 10, 16).tolist()) for _ in range(3)] for _ in range(2)]} for g, ms in zip(rng.integers(90, 100, frames), rng.integers(0, 2, frames), strict=True)]
+        stream, places = uli.write_frames(found, t)
+        cut = n * 2 // 3
+        rows[path] = [{"start_sample": a, "samples": b - a, "preroll_frame": a // 512, "skip": a % 512, "title": "t", "artist": "a"} for a, b in ((0, cut), (cut, n))]
+        blobs[path] = containers.build_ula2(rows[path], places, t.blob(), stream, n)
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in blobs.items()], "path string, content binary")
+    for track, size in ((None, 256), (None, 100), (0, 256), (1, 256), (1, 77)):
+        got = codec.decoded(files, track, size).toPandas().sort_values(["path", "i"])
+        for path, blob in blobs.items():
+            want = codec.decode(blob) if track is None else codec.decode_track(blob, track)
+            own = got[got["path"] == path]
+            assert own["i"].tolist() == list(range(want.shape[1])) and np.array_equal(own[["left", "right"]].to_numpy().T, want)
+
+
+def test_the_album_query_brings_no_samples_to_the_driver(spark, sf, monkeypatch):
+    """What is decoded in the driver grows with the album; tasks decode, and the driver gets sums."""
+    from pyspark.sql import DataFrame
+
+    from strandline.plans import registry
+
+    def refuse(*_, **__):
+        raise AssertionError("samples in the driver")
+
+    for owner, name in ((codec, "decode"), (codec, "decode_track"), (DataFrame, "toPandas"), (type(spark.range(1)), "toPandas")):
+        monkeypatch.setattr(owner, name, refuse)
+    assert tuple(registry.QUERIES["album_codec"](spark, sf).first())[3:] == (2, True, True, True)
