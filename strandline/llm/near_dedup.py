@@ -17,7 +17,8 @@
    blocks is one bounded group, in which a matrix product counts what the sets share, and only links
    between different components leave it. After that every pair that shares a bucket is in one component
    or refuted on full sets, so no link is lost to the stars, and no pairs are emitted.
-5. Components are found by rounds of large-star and small-star on tables; nothing is collected.
+5. Components: tasks contract their own edges to stars; up to a million edges that are left are finished
+   by one task, more by rounds of large-star and small-star on tables. Nothing is collected.
 
 One key may hold a third of all rows. Buckets are read from ranges of (key, row), which cut hot keys
 (``_starred``); joins on centres, hubs, shingles and clusters go by the known size of the key: heavy ones
@@ -131,15 +132,58 @@ def _confirm(percent: int):
     return run
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest reachable node) of every node that reaches a smaller one, by large-star and small-star.
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v) that aren't the smallest of their component, and its smallest: hooks and jumps over arrays."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent, a, b = np.arange(len(nodes)), at[: len(u)], at[len(u) :]
+    while True:
+        lo, hi = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        a, b = lo[lo != hi], hi[lo != hi]  # roots alone: every path was jumped to its end
+        if not len(a):
+            return nodes[parent != np.arange(len(nodes))], nodes[parent[parent != np.arange(len(nodes))]]
+        np.minimum.at(parent, b, a)
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+
+
+def _forest(most: int, names: tuple[str, str] = ("u", "v")):
+    """Edges (u, v) -> stars (node, smallest it reaches) over at least most edges of a task at a time, or all it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def stars() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in roots(*np.concatenate(held, 1))], names=list(names))
+
+        for batch in batches:
+            held.append(np.stack([np.asarray(c, np.int64) for c in batch.columns]))
+            if sum(x.shape[1] for x in held) >= most:
+                yield stars()
+                held = []
+        if held:
+            yield stars()
+
+    return run
+
 
-    Each round halves the paths at least, so the rounds grow with the logarithm of the longest one.
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, most: int = 1 << 20, chunk: int = 1 << 20) -> DataFrame:
+    """node, component (its smallest reachable node) of every node that reaches a smaller one.
+
+    Each task first replaces its edges, chunk at a time, by the stars of their components. Up to most
+    edges that are left then are finished by one task (some 16 bytes each). More go through rounds of
+    large-star and small-star on tables, each of which halves the paths at least, until they are stars or
+    few: a round is many jobs and broadcasts, whose plans and relations the driver holds for a while.
     Beyond max_rounds, which only a path of 2 ** max_rounds nodes could need, it raises. Hubs are split.
     """
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+
+    def contracted(u: DataFrame) -> DataFrame:
+        return materialize(u.where("u <> v").mapInArrow(trimmed(_forest(chunk)), "u long, v long").distinct(), "edges")
+
+    now = contracted(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
     rounds = 0
     while True:
+        if now.count() <= most:
+            return now.coalesce(1).mapInArrow(trimmed(_forest(most + 1, ("node", "component"))), "node long, component long")
         unfinished, edges_now = _shape(now)
         if not unfinished:
             break
@@ -152,9 +196,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         large = join_sized(both, low, "u", "size", total, "v", "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
         small = join_sized(large, down, "u", "size", total, "v", "inner")
-        before, now = now, materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        before, now = now, contracted(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))))
         forget(before)
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _shape(edges: DataFrame) -> tuple[bool, int]:
@@ -328,7 +372,7 @@ def _compared(still: DataFrame, shingles: DataFrame, percent: int, block_docs: i
     a cluster of n blocks sends each member to n groups.
     """
     pairs = still.select("row", "centre").union(_tops(still).select("row", "centre"))
-    cluster = components(pairs.where("row <> centre").select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct())
+    cluster = components(pairs.where("row <> centre").select(F.col("row").alias("a"), F.col("centre").alias("b")))
     members = still.select("row", "n_shingles", "label").distinct()
     placed = materialize(members.join(cluster, F.col("row") == F.col("node"), "left").select("row", "n_shingles", "label", F.coalesce("component", "row").alias("cluster")), "placed")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("long")
@@ -358,15 +402,15 @@ def _links(starred: DataFrame, shingles: DataFrame, percent: int, star_rounds: i
     labels = materialize(components(links), "labels")
     for turn in range(1, star_rounds + 1):
         starred = _open(starred, labels, turn)
-        if turn == star_rounds or not starred.limit(1).count():
+        if turn == star_rounds or starred.isEmpty():
             break
         more = materialize(_confirmed(_edges(starred, percent), shingles, percent), "more")
-        if more.limit(1).count():
+        if not more.isEmpty():
             links = links.union(more)
             labels = materialize(components(links), "labels")
-    if starred.limit(1).count():
+    if not starred.isEmpty():
         starred = _reachable(starred, shingles, percent)
-    if starred.limit(1).count():
+    if not starred.isEmpty():
         labels = materialize(components(links.union(materialize(_compared(starred, shingles, percent), "more"))), "labels")
     return labels
 

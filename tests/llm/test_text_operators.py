@@ -191,6 +191,44 @@ def test_components_of_long_paths(spark):
     assert got == {i: 1 for i in range(2, 61)} | {100 + i: 100 for i in range(1, 40)}
 
 
+@pytest.mark.parametrize(("most", "chunk"), [(1 << 20, 1 << 20), (40, 8), (0, 16)])
+def test_components_by_one_task_and_by_rounds(spark, most, chunk):
+    """The three ways agree with a search: one task at the end, rounds until few are left, rounds to the end."""
+    rng = np.random.default_rng(11)
+    names = rng.permutation(1000).tolist()
+    path = [(names[i], names[i + 1]) for i in range(120)]
+    tree = [(names[i], names[200 + (i - 200) // 3]) for i in range(201, 400)]
+    loose = [(names[400 + i], names[400 + j]) for i, j in rng.integers(0, 500, (260, 2)).tolist()]
+    hub = [(names[950], names[i]) for i in range(900, 950)]
+    rows = path + tree + loose + hub + path[:20]
+    near = defaultdict(set)
+    for a, b in rows:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for node in sorted(near):
+        work = [node] if node not in want else []
+        while work:
+            want[x := work.pop()] = node
+            work += [y for y in near[x] if y not in want]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(7)
+    got = [(r.node, r.component) for r in near_dedup.components(edges, most=most, chunk=chunk).collect()]
+    assert sorted(got) == sorted((x, c) for x, c in want.items() if x != c)
+    assert near_dedup.components(edges.where("a = b"), most=most).count() == 0
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Each round is a dozen jobs whose plans and broadcasts the driver holds; few edges need none."""
+    rows = [(i, i + 1) for i in range(1, 200)]
+    sc = spark.sparkContext
+    sc.setJobGroup("few edges", "components")
+    try:
+        assert near_dedup.components(spark.createDataFrame(rows, "a long, b long").repartition(8)).count() == 199
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("few edges")) <= 10
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(5)
     for n in (8, 60, 2000):
